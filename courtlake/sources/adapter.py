@@ -272,3 +272,76 @@ def raw_players(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("position"),
         F.expr(f"split_part('{COUNTRIES}', ',', CAST({n} % 9 + 1 AS INT))").alias("country"),
     )
+
+
+# -- season feeds, accumulated from the boxscores ------------------------------
+_FEED_SUMS = {
+    "pointsScored": "points", "twoPointersMade": "fgm2", "twoPointersAttempted": "fga2", "threePointersMade": "fgm3",
+    "threePointersAttempted": "fga3", "freeThrowsMade": "ftm", "freeThrowsAttempted": "fta", "offensiveRebounds": "off_rebounds",
+    "defensiveRebounds": "def_rebounds", "totalRebounds": "total_rebounds", "turnovers": "turnovers", "steals": "steals",
+    "assists": "assists", "blocks": "blocks_favour", "foulsDrawn": "fouls_received",
+}
+
+
+def _tenths(num: str, den: str):
+    """Percent text with one decimal, rounded in whole tenths: '54.2%'."""
+    t = f"((2000 * ({num}) + ({den})) div (2 * ({den})))"
+    return F.expr(f"CASE WHEN ({den}) > 0 THEN ({t} div 10) || '.' || ({t} % 10) || '%' END")
+
+
+def team_feed(box: DataFrame, opponents: bool = False) -> DataFrame:
+    """Accumulated team statistics, or what the team's opponents accumulated against it."""
+    rows = box
+    if opponents:
+        sides = box.select("season", "gamecode", "team_code").distinct()
+        other = sides.withColumnRenamed("team_code", "for_team")
+        rows = box.join(other, ["season", "gamecode"]).filter("for_team <> team_code").drop("team_code").withColumnRenamed("for_team", "team_code")
+    return rows.groupBy("season", "team_code").agg(
+        F.countDistinct("gamecode").alias("gamesPlayed"), *[F.sum(c).alias(n) for n, c in _FEED_SUMS.items()]
+    ).select(
+        "season", F.struct(F.col("team_code").alias("code"), F.concat(F.lit("Club "), "team_code").alias("name")).alias("team"),
+        "gamesPlayed", *_FEED_SUMS,
+    )
+
+
+def team_advanced_feed(box: DataFrame) -> DataFrame:
+    fga = "twoPointersAttempted + threePointersAttempted"
+    return team_feed(box).select(
+        "season", "team", _tenths("2 * twoPointersMade", "pointsScored").alias("pointsFromTwoPointersPercentage"),
+        _tenths("3 * threePointersMade", "pointsScored").alias("pointsFromThreePointersPercentage"),
+        _tenths("freeThrowsMade", "pointsScored").alias("pointsFromFreeThrowsPercentage"),
+        _tenths("2 * twoPointersMade + 3 * threePointersMade", f"2 * ({fga})").alias("effectiveFieldGoalPercentage"),
+        _tenths("50 * pointsScored", f"100 * ({fga}) + 44 * freeThrowsAttempted").alias("trueShootingPercentage"),
+    )
+
+
+def _player_sums(box: DataFrame) -> DataFrame:
+    return box.filter("seconds > 0").groupBy("season", "player_id").agg(
+        F.max("team_code").alias("team_code"), F.max("player_name").alias("player_name"), F.count("*").alias("n"),
+        F.sum("seconds").alias("seconds"), *[F.sum(c).alias(f) for f, c in _FEED_SUMS.items()],
+    )
+
+
+def player_feed(box: DataFrame) -> DataFrame:
+    """Per-game player statistics as the season feed shows them (numbers as text)."""
+    team = F.struct(F.col("team_code").alias("code"), F.concat(F.lit("Club "), "team_code").alias("name"))
+    per_game = lambda c: F.expr(f"CAST({c} / n AS STRING)").alias(c)
+    return _player_sums(box).select(
+        "season", F.struct(F.col("player_id").alias("code"), F.col("player_name").alias("name"), team.alias("team")).alias("player"),
+        F.col("n").cast("string").alias("gamesPlayed"), F.expr("CAST(seconds / n / 60 AS STRING)").alias("minutesPlayed"),
+        *[per_game(c) for c in _FEED_SUMS],
+    )
+
+
+def player_advanced_feed(box: DataFrame) -> DataFrame:
+    fga = "twoPointersAttempted + threePointersAttempted"
+    return _player_sums(box).select(
+        "season", F.struct(F.col("player_id").alias("code")).alias("player"),
+        F.expr(f"CAST((100 * ({fga}) + 44 * freeThrowsAttempted - 100 * offensiveRebounds + 100 * turnovers) / 100 / n AS STRING)").alias("possesions"),
+        _tenths("50 * pointsScored", f"100 * ({fga}) + 44 * freeThrowsAttempted").alias("trueShootingPercentage"),
+        _tenths("assists", f"{fga} + turnovers + assists").alias("assistsRatio"),
+        _tenths("offensiveRebounds", "totalRebounds").alias("offensiveReboundsPercentage"),
+        _tenths("defensiveRebounds", "totalRebounds").alias("defensiveReboundsPercentage"),
+        _tenths("threePointersAttempted", fga).alias("threePointAttemptsRatio"), _tenths("freeThrowsAttempted", fga).alias("freeThrowsRate"),
+        F.expr("CASE WHEN turnovers > 0 THEN CAST(assists / turnovers AS STRING) ELSE '-' END").alias("assistsToTurnoversRatio"),
+    )
