@@ -2,47 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from courtlake.functions.exprs import team_alias
 from courtlake.operators import box as B, lineups as L, league as T, playmaking as P
+from courtlake.session import scratch_path
 from courtlake.sources import adapter as A, clean as N, feeds as S
 
 
+# Tables already written in this application: (application, folder, table) -> (path, schema).
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 class League:
-    """Every table over all seasons of a data folder; nothing runs until an action does."""
+    """The league over all seasons of a data folder.
+
+    The cleaned feeds are loaded once per application into parquet tables in the
+    shared folder, as the season ETL does; a lost executor re-reads files. All
+    statistics are computed from these tables by every query that asks for them.
+    Plays with their segment numbers and the segment totals feed several
+    consumers and are persisted; ``release`` drops them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: list[DataFrame] = []
 
     def raw(self, feed: str) -> DataFrame:
         return getattr(A, f"raw_{feed}")(self.spark, self.sf_dir)
 
+    def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            df, path = build(), scratch_path(self.spark, name)
+            df.write.parquet(path)
+            _WRITTEN[key] = (path, df.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+
     @cached_property
     def box(self) -> DataFrame:
-        return N.clean_boxscores(self.raw("boxscore"))
+        return self._table("boxscores", lambda: N.clean_boxscores(self.raw("boxscore")))
 
     @cached_property
     def pbp(self) -> DataFrame:
-        return N.clean_play_by_play(self.raw("play_by_play"))
+        return self._table("play_by_play", lambda: N.clean_play_by_play(self.raw("play_by_play")))
 
     @cached_property
     def shots(self) -> DataFrame:
-        return N.clean_shots(self.raw("shots"))
+        return self._table("shots", lambda: N.clean_shots(self.raw("shots")))
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return N.clean_schedule(self.raw("schedule"))
+        return self._table("schedule", lambda: N.clean_schedule(self.raw("schedule")))
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return S.game_metadata(self.raw("game_metadata"))
+        return self._table("metadata", lambda: S.game_metadata(self.raw("game_metadata")))
 
     @cached_property
     def extra(self) -> DataFrame:
-        return S.extra_rounds(self.raw("extra_rounds"))
+        return self._table("extra_rounds", lambda: S.extra_rounds(self.raw("extra_rounds")))
 
     @cached_property
     def logos(self) -> DataFrame:
@@ -64,11 +97,11 @@ class League:
 
     @cached_property
     def teams(self) -> DataFrame:
-        return S.teams_table(self.schedule, self.logos)
+        return self._table("teams", lambda: S.teams_table(self.schedule, self.logos))
 
     @cached_property
     def players(self) -> DataFrame:
-        return self.raw("players").withColumn("team_code", team_alias("team_code"))
+        return self._table("players", lambda: self.raw("players").withColumn("team_code", team_alias("team_code")))
 
     @cached_property
     def adv(self) -> DataFrame:
@@ -80,7 +113,7 @@ class League:
 
     @cached_property
     def tagged(self) -> DataFrame:
-        return L.tag_segments(self.pbp, self.box)
+        return self._keep(L.tag_segments(self.pbp, self.box))
 
     @cached_property
     def segment_lineups(self) -> DataFrame:
@@ -88,7 +121,7 @@ class League:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return L.segment_totals(self.tagged, self.segment_lineups)
+        return self._keep(L.segment_totals(self.tagged, self.segment_lineups))
 
     @cached_property
     def on_off(self) -> DataFrame:
@@ -110,7 +143,3 @@ class League:
     def per_game(self) -> DataFrame:
         """Advanced stats with points created."""
         return B.total_points_created(self.adv, self.pairs)
-
-
-
-
