@@ -42,7 +42,7 @@ def assist_network(pairs: DataFrame) -> DataFrame:
 
 def assist_matrix(links: DataFrame, scorers: list[str], value: str = "count") -> DataFrame:
     """Passer rows by scorer columns. The scorer list is the caller's, so no extra job finds it."""
-    cell = F.count("*") if value == "count" else F.sum(value)
+    cell = F.count(F.lit(1)) if value == "count" else F.sum(value)
     return links.groupBy("season", "team", "passer_id").pivot("shooter_id", scorers).agg(cell).na.fill(0)
 
 

@@ -285,7 +285,7 @@ CTES["matched"] = """
   GROUP BY m.season, m.gamecode, m.shooter_id, m.play_type, a.n"""
 CTES["links"] = """
   SELECT a.*, s.coord_x, s.coord_y, s.zone, m.pick AS num_anot,
-    CASE WHEN shot_value = 3 THEN CASE WHEN sqrt(coord_x * coord_x + (coord_y - 72) * (coord_y - 72)) < 680 THEN 0.37e0 ELSE 0.35e0 END
+    CASE WHEN a.shot_value = 3 THEN CASE WHEN sqrt(coord_x * coord_x + (coord_y - 72) * (coord_y - 72)) < 680 THEN 0.37e0 ELSE 0.35e0 END
          ELSE CASE WHEN coord_x IS NULL OR coord_y IS NULL THEN 0.50e0
                    WHEN sqrt(coord_x * coord_x + (coord_y - 72) * (coord_y - 72)) < 150 THEN 0.65e0
                    WHEN sqrt(coord_x * coord_x + (coord_y - 72) * (coord_y - 72)) < 300 THEN 0.42e0 ELSE 0.38e0 END END * a.shot_value AS xp
