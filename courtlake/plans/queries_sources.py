@@ -1 +1,349 @@
+"""Ingest, cleaning, merge, ETL and streaming queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from courtlake import config as C
+from courtlake.plans.oracle_base import AS_OF, FUTURE_AS_OF, MONTH, STATS, display
+from courtlake.plans.queries_sequences import _LIVE_SCORE
+from courtlake.plans.registry import joined_text, query, rounded
+from courtlake.session import scratch_path
+from courtlake.sources import clean as N, feeds as S, sinks as W
+
+_G = "season, gamecode"
+_day = lambda text: F.to_date(F.lit(text))
+
+
+@query("s1_boxscore_ingest", f"SELECT {_G}, player_id, player_name, team_code, is_home, is_starter, is_playing, points FROM box")
+def _(lg):
+    return N.clean_boxscores(lg.raw("boxscore")).select(
+        "season", "gamecode", "player_id", "player_name", "team_code", "is_home", "is_starter", "is_playing", "points")
+
+
+@query("n1_clean_boxscores", f"SELECT {_G}, player_id, minutes_str, seconds, minutes, {STATS}, valuation, dorsal FROM box")
+def _(lg):
+    return N.clean_boxscores(lg.raw("boxscore")).select(
+        "season", "gamecode", "player_id", "minutes_str", "seconds", "minutes", *C.COUNT_STATS, "valuation", "dorsal")
+
+
+@query("s2_play_by_play_ingest", f"SELECT {_G}, true_numberofplay, playtype, player_id, codeteam, period FROM pbp")
+def _(lg):
+    return N.clean_play_by_play(lg.raw("play_by_play")).select("season", "gamecode", "true_numberofplay", "playtype", "player_id", "codeteam", "period")
+
+
+@query("n2_clean_play_by_play", f"SELECT {_G}, true_numberofplay, player, markertime, clock_secs, points_a, points_b, comment FROM pbp")
+def _(lg):
+    return N.clean_play_by_play(lg.raw("play_by_play")).select(
+        "season", "gamecode", "true_numberofplay", "player", "markertime", "clock_secs", "points_a", "points_b", "comment")
+
+
+_SHOT = "season gamecode num_anot team id_player player id_action points coord_x coord_y zone".split()
+
+
+@query("s3_shot_ingest", f"SELECT {', '.join(_SHOT)} FROM shots")
+def _(lg):
+    return N.clean_shots(lg.raw("shots")).select(*_SHOT)
+
+
+_SHOT2 = "season gamecode num_anot action fastbreak second_chance pts_off_turnover minute console points_a points_b shot_value made".split()
+
+
+@query("n3_clean_shots", f"SELECT {', '.join(_SHOT2)} FROM shots")
+def _(lg):
+    return N.clean_shots(lg.raw("shots")).select(*_SHOT2)
+
+
+@query("s4_schedule_ingest", f"""
+  SELECT {_G}, round, round_name, played, home_code, home_name, coalesce(h.logo_url, '') AS home_logo, home_score, away_code, away_name, coalesce(a.logo_url, '') AS away_logo, away_score
+  FROM schedule LEFT JOIN logos h ON h.team_code = home_code LEFT JOIN logos a ON a.team_code = away_code""")
+def _(lg):
+    return S.season_schedule(lg.raw("schedule"), lg.logos).drop("date", "game_day", "month_index")
+
+
+@query("n4_clean_schedule", f"SELECT {_G}, home_score, away_score, date, CAST(game_day AS VARCHAR) AS game_day, {MONTH} AS month_index FROM schedule")
+def _(lg):
+    return N.clean_schedule(lg.raw("schedule")).select(
+        "season", "gamecode", "home_score", "away_score", "date", F.col("game_day").cast("string").alias("game_day"), "month_index")
+
+
+_FULL = f"""SELECT {_G}, round, home_code, away_code, CASE WHEN NOT fut THEN home_score END AS home_score, CASE WHEN NOT fut THEN away_score END AS away_score, played AND NOT fut AS played
+  FROM (SELECT *, played AND game_day > {FUTURE_AS_OF} AS fut FROM (
+    SELECT season, gamecode, round, home_code, away_code, home_score, away_score, played, game_day FROM schedule
+    UNION ALL SELECT season, gamecode, round, home_code, away_code, home_score, away_score, played, game_day FROM extra) WHERE round <= 38)"""
+
+
+def _full(lg):
+    return S.full_schedule(lg.schedule, lg.extra, _day("2150-01-01"))
+
+
+@query("s5_full_schedule", _FULL)
+def _(lg):
+    return _full(lg).select("season", "gamecode", "round", "home_code", "away_code", "home_score", "away_score", "played")
+
+
+@query("s6_extra_rounds", f"SELECT {_G}, round, played, home_code, home_name, home_score, away_code, away_name, away_score, home_logo, away_logo, date FROM extra")
+def _(lg):
+    return S.extra_rounds(lg.raw("extra_rounds")).drop("round_name", "game_day")
+
+
+@query("s7_game_metadata", "SELECT * FROM metadata")
+def _(lg):
+    return S.game_metadata(lg.raw("game_metadata"))
+
+
+_PF = """SELECT season, player_id, max(team_code) AS team_code, max(player_name) AS player_name, count(*) AS n, CAST(sum(seconds) AS BIGINT) AS secs, CAST(sum(points) AS BIGINT) AS pts,
+    CAST(sum(fga2) AS BIGINT) AS a2, CAST(sum(fga3) AS BIGINT) AS a3, CAST(sum(fta) AS BIGINT) AS fta, CAST(sum(off_rebounds) AS BIGINT) AS orb, CAST(sum(def_rebounds) AS BIGINT) AS drb,
+    CAST(sum(total_rebounds) AS BIGINT) AS reb, CAST(sum(turnovers) AS BIGINT) AS tov, CAST(sum(steals) AS BIGINT) AS stl, CAST(sum(assists) AS BIGINT) AS ast,
+    CAST(sum(blocks_favour) AS BIGINT) AS blk, CAST(sum(fouls_received) AS BIGINT) AS fd FROM box WHERE seconds > 0 GROUP BY 1, 2"""
+
+
+def _pct(n: str, d: str) -> str:
+    t = f"((2000 * ({n}) + ({d})) // (2 * ({d})))"
+    return f"CASE WHEN ({d}) > 0 THEN CAST(({t} // 10) || '.' || ({t} % 10) AS DOUBLE) / 100e0 END"
+
+
+@query("s8_season_feed_pool", f"""
+  SELECT *, CASE WHEN big > 18 AND big > guard * 1.3e0 THEN 'Center' WHEN guard > 14 AND guard > big * 1.1e0 THEN 'Guard' ELSE 'Forward' END AS position FROM (
+    SELECT *, (coalesce(orb_pct, 0) + coalesce(drb_pct, 0)) * 50 + blocks_pg * 10 AS big, coalesce(assist_ratio, 0) * 50 + coalesce(three_pt_rate, 0) * 50 AS guard FROM (
+      SELECT season, player_id AS player_code, {display('player_name')} AS player_name, team_code, 'Club ' || team_code AS team_name, n AS games_played, secs / n / 60 AS minutes_pg, pts / n AS points_pg,
+        {_pct('50 * pts', '100 * (a2 + a3) + 44 * fta')} AS ts_pct, {_pct('ast', 'a2 + a3 + tov + ast')} AS assist_ratio, {_pct('orb', 'reb')} AS orb_pct, {_pct('drb', 'reb')} AS drb_pct,
+        {_pct('a3', 'a2 + a3')} AS three_pt_rate, {_pct('fta', 'a2 + a3')} AS ft_rate, CASE WHEN tov > 0 THEN ast / tov ELSE 0e0 END AS ast_tov_ratio, stl / n AS steals_pg, blk / n AS blocks_pg,
+        CASE WHEN po > 0 THEN (((a2 / n + a3 / n) * 100 + fta / n * 44 + (tov / n + ast / n) * 100) + fd / n * 100) / 100e0 / po END AS true_usg_pct,
+        CASE WHEN po > 0 THEN (stl / n + blk / n + drb / n) / po END AS stop_rate, reb / n AS rebounds_pg, ast / n AS assists_pg
+      FROM (SELECT *, (100 * (a2 + a3) + 44 * fta - 100 * orb + 100 * tov) / 100 / n AS po FROM ({_PF})) WHERE n >= 5 AND secs / n / 60 >= 8))""".replace("SELECT *, CASE WHEN big", "SELECT * EXCLUDE (big, guard), CASE WHEN big", 1))
+def _(lg):
+    from courtlake.operators import league as T
+    from courtlake.sources import adapter as A
+
+    return T.feed_player_pool(A.player_feed(lg.box), A.player_advanced_feed(lg.box))
+
+
+@query("s9_game_info", f"""
+  SELECT {_G}, any_value(home_team) AS home_team, any_value(away_team) AS away_team,
+    CASE WHEN count(*) FILTER (points_a > 0) > 0 THEN max_by(points_a, p) FILTER (points_a > 0) ELSE sum(CASE WHEN side = 0 THEN CASE playtype WHEN '2FGM' THEN 2 WHEN '3FGM' THEN 3 WHEN 'FTM' THEN 1 ELSE 0 END ELSE 0 END) END AS home_score,
+    CASE WHEN count(*) FILTER (points_a > 0) > 0 THEN max_by(points_b, p) FILTER (points_a > 0) ELSE sum(CASE WHEN side = 1 THEN CASE playtype WHEN '2FGM' THEN 2 WHEN '3FGM' THEN 3 WHEN 'FTM' THEN 1 ELSE 0 END ELSE 0 END) END AS away_score,
+    TRUE AS played FROM pbp GROUP BY 1, 2""")
+def _(lg):
+    return S.game_info(lg.box, lg.pbp)
+
+
+@query("s10_team_season_extract", f"SELECT b.season, b.gamecode, player_id, team_code FROM box b JOIN games g USING (season, gamecode) WHERE played AND (home_team = 'FCB' OR away_team = 'FCB')")
+def _(lg):
+    return S.team_season_extract(lg.box, lg.games, "FCB").select("season", "gamecode", "player_id", "team_code")
+
+
+@query("s11_todays_games", f"SELECT {_G}, home_team, away_team, played FROM games WHERE game_day = {AS_OF}")
+def _(lg):
+    return S.todays_games(lg.games, _day("2024-10-09")).select("season", "gamecode", "home_team", "away_team", "played")
+
+
+@query("s11_live_games", f"SELECT {_G}, home_team, away_team FROM games WHERE game_day = {AS_OF} AND NOT played AND EXISTS (SELECT 1 FROM pbp WHERE pbp.season = games.season AND pbp.gamecode = games.gamecode)")
+def _(lg):
+    return S.live_games(lg.games, lg.pbp, _day("2024-10-09")).select("season", "gamecode", "home_team", "away_team")
+
+
+@query("n5_player_dimension", "SELECT player_id, display_name, team_code, height, age, age_bracket, position_group, archetype, country FROM archetypes")
+def _(lg):
+    return N.player_dimension(lg.raw("players"), "2024-10-09").select(
+        "player_id", "display_name", F.expr("team_code").alias("raw_code"), "height", "age", "age_bracket", "position_group", "archetype", "country"
+    ).withColumn("team_code", _alias("raw_code")).drop("raw_code")
+
+
+def _alias(c):
+    from courtlake.functions.exprs import team_alias
+
+    return team_alias(c)
+
+
+# -- merges: stored table from one feed, updates from another -------------------
+@query("s12_load_teams", """
+  SELECT coalesce(t.team_code, b.team_code) AS team_code, CASE WHEN t.team_code IS NULL THEN b.team_code WHEN b.team_code IS NOT NULL AND t.team_name = t.team_code THEN b.team_code ELSE t.team_name END AS team_name,
+    logo_url, CASE WHEN t.team_code IS NULL THEN 'inserted' WHEN b.team_code IS NULL THEN 'kept' ELSE 'updated' END AS change
+  FROM teams t FULL JOIN (SELECT DISTINCT team_code FROM box) b ON b.team_code = t.team_code""")
+def _(lg):
+    return W.load_teams(lg.teams, lg.box)
+
+
+_BARE = "SELECT DISTINCT team_code, team_code AS team_name, CAST(NULL AS VARCHAR) AS logo_url FROM box"
+
+
+def _bare_teams(lg):
+    return lg.box.select("team_code").distinct().select("team_code", F.col("team_code").alias("team_name"), F.lit(None).cast("string").alias("logo_url"))
+
+
+@query("s13_load_teams_from_schedule", f"""
+  SELECT coalesce(s.team_code, t.team_code) AS team_code, CASE WHEN s.team_code IS NULL THEN t.team_name ELSE coalesce(nullif(t.team_name, t.team_code), s.team_name) END AS team_name,
+    coalesce(t.logo_url, s.logo_url) AS logo_url, CASE WHEN s.team_code IS NULL THEN 'inserted' WHEN t.team_code IS NULL THEN 'kept' ELSE 'updated' END AS change
+  FROM ({_BARE}) s FULL JOIN teams t ON t.team_code = s.team_code""")
+def _(lg):
+    return W.load_teams_from_schedule(_bare_teams(lg), lg.teams)
+
+
+@query("s13_update_teams_metadata", f"""
+  SELECT s.team_code, coalesce(t.team_name, s.team_name) AS team_name, coalesce(t.logo_url, s.logo_url) AS logo_url, CASE WHEN t.team_code IS NULL THEN 'kept' ELSE 'updated' END AS change
+  FROM ({_BARE}) s LEFT JOIN teams t ON t.team_code = s.team_code""")
+def _(lg):
+    return W.update_teams_metadata(_bare_teams(lg), lg.teams)
+
+
+@query("s14_load_players", """
+  SELECT coalesce(p.player_id, b.player_id) AS player_id, coalesce(b.player_name, p.player_name) AS player_name, coalesce(b.team_code, p.team_code) AS team_code, coalesce(b.dorsal, p.dorsal) AS dorsal,
+    height, country, CASE WHEN p.player_id IS NULL THEN 'inserted' WHEN b.player_id IS NULL THEN 'kept' ELSE 'updated' END AS change
+  FROM players p FULL JOIN (SELECT player_id, player_name, team_code, dorsal FROM (
+    SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season, gamecode, team_code) AS n FROM box) WHERE n = 1) b ON b.player_id = p.player_id""")
+def _(lg):
+    return W.load_players(lg.players, lg.box).drop("birthdate", "position")
+
+
+_INFO = f"SELECT {_G}, any_value(home_team) AS home_team, any_value(away_team) AS away_team, max(points_a) AS hs, max(points_b) AS aws FROM pbp GROUP BY 1, 2"
+
+
+@query("s15_load_games", f"""
+  SELECT season, gamecode, coalesce(i.home_team, g.home_team) AS home_team, coalesce(i.away_team, g.away_team) AS away_team, coalesce(hs, home_score) AS home_score, coalesce(aws, away_score) AS away_score,
+    game_date, round, CASE WHEN i.hs IS NULL THEN played ELSE TRUE END AS played, referee1, CASE WHEN g.round IS NULL THEN 'inserted' WHEN i.hs IS NULL THEN 'kept' ELSE 'updated' END AS change
+  FROM games g FULL JOIN ({_INFO}) i USING (season, gamecode)""")
+def _(lg):
+    return W.load_games(lg.games, S.game_info(lg.box, lg.pbp)).select(
+        "season", "gamecode", "home_team", "away_team", "home_score", "away_score", "game_date", "round", "played", "referee1", "change")
+
+
+_SEED = f"""SELECT season, gamecode, coalesce(f.home_code, g.home_team) AS home_team, coalesce(f.away_code, g.away_team) AS away_team, coalesce(f.home_score, g.home_score) AS home_score,
+    coalesce(f.away_score, g.away_score) AS away_score, coalesce(f.round, g.round) AS round, coalesce(g.played, FALSE) OR coalesce(f.played, FALSE) AS played,
+    CASE WHEN g.home_team IS NULL THEN 'inserted' WHEN f.home_code IS NULL THEN 'kept' ELSE 'updated' END AS change
+  FROM games g FULL JOIN ({_FULL}) f USING (season, gamecode)"""
+
+
+def _seeded(lg):
+    return W.seed_schedule(lg.games, _full(lg))
+
+
+@query("s16_seed_schedule", _SEED)
+def _(lg):
+    return _seeded(lg).select("season", "gamecode", "home_team", "away_team", "home_score", "away_score", "round", "played", "change")
+
+
+@query("s16_seed_counts", f"SELECT count(*) FILTER (change <> 'kept') AS total, count(*) FILTER (change = 'inserted') AS inserted, count(*) FILTER (change = 'updated') AS updated FROM ({_SEED})")
+def _(lg):
+    return W.merge_counts(_seeded(lg))
+
+
+@query("s17_patch_games", f"""
+  SELECT i.season, i.gamecode, i.home_team, CASE WHEN s.played THEN s.round END AS round, CASE WHEN s.played THEN s.date END AS game_date, coalesce(s.played, FALSE) AS played, CASE WHEN s.played THEN 'updated' ELSE 'kept' END AS change
+  FROM ({_INFO}) i LEFT JOIN schedule s USING (season, gamecode)""")
+def _(lg):
+    stored = S.game_info(lg.box, lg.pbp).select(
+        "season", "gamecode", "home_team", F.lit(None).cast("int").alias("round"), F.lit(None).cast("string").alias("game_date"), F.lit(False).alias("played"))
+    return W.patch_games(stored, lg.schedule)
+
+
+@query("s17_patch_referees", "SELECT s.season, s.gamecode, s.home_code, m.referee1, m.referee2, m.referee3, CASE WHEN m.season IS NULL THEN 'kept' ELSE 'updated' END AS change FROM schedule s LEFT JOIN metadata m USING (season, gamecode)")
+def _(lg):
+    none = [F.lit(None).cast("string").alias(f"referee{i}") for i in (1, 2, 3)]
+    return W.patch_referees(lg.schedule.select("season", "gamecode", "home_code", *none), lg.metadata)
+
+
+@query("s18_replace_games", f"""
+  SELECT {_G}, true_numberofplay, 'stale' AS comment FROM pbp JOIN games USING (season, gamecode) WHERE NOT played
+  UNION ALL SELECT {_G}, true_numberofplay, comment FROM pbp JOIN games USING (season, gamecode) WHERE played""")
+def _(lg):
+    stored = lg.pbp.withColumn("comment", F.lit("stale"))
+    fresh = lg.pbp.join(lg.games.filter("played").select("season", "gamecode"), C.GAME_KEYS, "left_semi")
+    return W.replace_games(stored, fresh).select("season", "gamecode", "true_numberofplay", "comment")
+
+
+@query("s19_load_advanced_stats", f"""
+  SELECT a.season, a.gamecode, a.player_id, a.points, CASE WHEN g.played THEN a.possessions END AS possessions, CASE WHEN g.played THEN 'updated' ELSE 'kept' END AS change
+  FROM adv a JOIN games g USING (season, gamecode)""")
+def _(lg):
+    stored = lg.adv.withColumn("possessions", F.lit(None).cast("double"))
+    fresh = lg.adv.join(lg.games.filter("played").select("season", "gamecode"), C.GAME_KEYS, "left_semi")
+    return W.load_advanced_stats(stored, fresh).select("season", "gamecode", "player_id", "points", "possessions", "change")
+
+
+@query("s19_load_on_off", "SELECT season, player_id, team, games, on_off_diff, 'inserted' AS change FROM season_onoff")
+def _(lg):
+    return W.load_on_off(lg.season_on_off.filter(F.lit(False)), lg.season_on_off).select("season", "player_id", "team", "games", "on_off_diff", "change")
+
+
+@query("s20_missing_games", f"SELECT {_G} FROM extra WHERE played")
+def _(lg):
+    both = lg.schedule.select("season", "gamecode", "played").unionByName(lg.extra.select("season", "gamecode", "played"))
+    return S.missing_games(both, lg.box)
+
+
+# -- ETL and schema -----------------------------------------------------------
+def _loaded(lg):
+    from courtlake.plans.season import load_season
+
+    root = scratch_path(lg.spark, "league")
+    report = load_season(lg.spark, root, lg.box, lg.pbp, lg.shots, lg.schedule, lg.metadata, lg.teams, lg.players)
+    return root, report
+
+
+@query("s21_season_load", "SELECT season, count(*) AS total, count(*) AS loaded, 0 AS failed FROM schedule WHERE played GROUP BY 1")
+def _(lg):
+    return _loaded(lg)[1]
+
+
+@query("s22_season_aggregation", "SELECT season, player_id, team, player_name, games, on_events, on_poss, on_net_rtg, off_net_rtg, on_off_diff FROM season_onoff")
+def _(lg):
+    from courtlake.plans.season import run_season_aggregations
+
+    root = scratch_path(lg.spark, "league")
+    W.write_table(lg.box, root, "boxscores")
+    W.write_table(lg.pbp, root, "play_by_play")
+    run_season_aggregations(lg.spark, root)
+    return W.read_table(lg.spark, root, "season_on_off_splits").select(
+        "season", "player_id", "team", "player_name", "games", "on_events", "on_poss", "on_net_rtg", "off_net_rtg", "on_off_diff")
+
+
+# -- streams: the whole feed lands as files, every play twice --------------------
+def _landing(lg) -> str:
+    path = scratch_path(lg.spark, "landing")
+    raw = lg.raw("play_by_play")
+    raw.unionByName(raw).repartitionByRange(4, "TS").write.parquet(path)
+    return path
+
+
+def _stream(lg, write):
+    from courtlake.streaming import live as R
+
+    out = scratch_path(lg.spark, "live")
+    q = write(R, R.play_stream(lg.spark, _landing(lg)), out, scratch_path(lg.spark, "live-checkpoint"))
+    q.awaitTermination()
+    return R, out
+
+
+@query("r1_live_plays", f"SELECT {_G}, true_numberofplay, playtype, player_id, points_a, points_b FROM pbp")
+def _(lg):
+    R, out = _stream(lg, lambda R, plays, out, cp: R.write_live_games(plays, lg.box, out, cp, tables=("active_run",)))
+    return lg.spark.read.parquet(f"{out}/plays").select("season", "gamecode", "true_numberofplay", "playtype", "player_id", "points_a", "points_b")
+
+
+@query("r2_live_scores", _LIVE_SCORE)
+def _(lg):
+    R, out = _stream(lg, lambda R, plays, out, cp: R.write_live_scores(plays, out, cp))
+    return R.latest_scores(lg.spark, out)
+
+
+@query("r3_live_lineups", f"SELECT {_G}, team, array_to_string(max_by(lineup, p), ',') AS lineup FROM sided GROUP BY 1, 2, 3")
+def _(lg):
+    R, out = _stream(lg, lambda R, plays, out, cp: R.write_live_games(plays, lg.box, out, cp, tables=("current_lineups",)))
+    return joined_text(R.latest_table(lg.spark, out, "current_lineups").select("season", "gamecode", "team", "lineup"), "lineup")
+
+
+@query("r3_live_win_probability", f"""
+  SELECT {_G}, play_number, home_score, away_score, round(greatest(0.001e0, least(0.999e0, 1 / (1 + exp(-0.15e0 * ((home_score - away_score + 3 * f) / greatest(sqrt(f), 0.1e0)))))), 9) AS home_wp
+  FROM (SELECT {_G}, true_numberofplay AS play_number, points_a AS home_score, points_b AS away_score,
+    greatest(greatest(CASE WHEN period <= 4 THEN 2400 - ((period - 1) * 600 + 600 - clock_secs) ELSE clock_secs END, 0) / 2400e0, 0.01e0) AS f FROM pbp WHERE playtype IN ('2FGM', '3FGM', 'FTM'))""")
+def _(lg):
+    R, out = _stream(lg, lambda R, plays, out, cp: R.write_live_games(plays, lg.box, out, cp, tables=("win_probability",)))
+    df = R.latest_table(lg.spark, out, "win_probability").select("season", "gamecode", "play_number", "home_score", "away_score", "home_wp")
+    return df.withColumn("home_wp", F.round("home_wp", 9))
+
+
+@query("r4_live_players", f"SELECT {_G}, player_id, player_name, team_code, minutes, points, total_rebounds, assists, ts_pct, off_rating FROM adv WHERE seconds > 0")
+def _(lg):
+    R, out = _stream(lg, lambda R, plays, out, cp: R.write_live_games(plays, lg.box, out, cp, tables=("players",)))
+    return R.latest_table(lg.spark, out, "players")
