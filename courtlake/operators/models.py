@@ -56,10 +56,25 @@ def _scaled(features: list[str], mean: bool = True) -> list:
     ]
 
 
+ROWS_PER_TASK = 20_000
+
+
+def _training_rows(df: DataFrame, min_rows: int) -> tuple[DataFrame | None, int]:
+    """The training rows, kept and spread by their count; boosting passes over them hundreds of times."""
+    kept = df.persist()
+    n = kept.count()
+    if n < min_rows:
+        return None, n
+    rows = kept.repartition(max(1, -(-n // ROWS_PER_TASK))).persist()
+    rows.count()
+    kept.unpersist()
+    return rows, n
+
+
 def train_win_model(features: DataFrame, min_rows: int = 20) -> PipelineModel | None:
     """Standardised logistic regression over all seasons given; None below ``min_rows`` games."""
-    n = features.count()
-    if n < min_rows:
+    features, n = _training_rows(features, min_rows)
+    if features is None:
         return None
     clf = LogisticRegression(labelCol="home_win", maxIter=1000, regParam=1.0 / n, standardization=False)
     return Pipeline(stages=[*_scaled(C.GAME_FEATURES), clf]).fit(features)
@@ -137,7 +152,8 @@ def lineup_training_set(stats: DataFrame, players: DataFrame, min_events: int =
 
 
 def train_lineup_model(training: DataFrame, min_rows: int = 30, trees: int = 200) -> PipelineModel | None:
-    if training.limit(min_rows).count() < min_rows:
+    training, _ = _training_rows(training, min_rows)
+    if training is None:
         return None
     gbt = GBTRegressor(labelCol="net_rtg", maxIter=trees, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=42)
     return Pipeline(stages=[*_scaled(C.LINEUP_FEATURES), gbt]).fit(training)
@@ -208,10 +224,11 @@ def lineup_radar(features: DataFrame, players: DataFrame, keys: list[str]) -> Da
 
 # -- seasonal form ------------------------------------------------------------
 def train_form_model(monthly: DataFrame, min_rows: int = 20, trees: int = 150) -> PipelineModel | None:
-    if monthly.limit(min_rows).count() < min_rows:
+    rows, _ = _training_rows(monthly.select(*C.FORM_FEATURES, "net_rtg").na.fill(0.0, C.FORM_FEATURES), min_rows)
+    if rows is None:
         return None
     gbt = GBTRegressor(labelCol="net_rtg", maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=42)
-    return Pipeline(stages=[*_scaled(C.FORM_FEATURES), gbt]).fit(monthly.na.fill(0.0, C.FORM_FEATURES))
+    return Pipeline(stages=[*_scaled(C.FORM_FEATURES), gbt]).fit(rows)
 
 
 def predict_form(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -1 +1,275 @@
+"""Feature tables, models, similarity and projection queries.
 
+Fitted models are saved in the shared folder and loaded by the queries that use
+them, so each is trained once per application and folder. Their predictions have
+no SQL equal; feature tables, ranks, similarity and the projection do.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from courtlake import config as C
+from courtlake.operators import filters as FL, league as T, lineups as L, models as M, projection as P, windows as W
+
+from courtlake.plans.queries_league import _FF, _POOL
+from courtlake.plans.registry import joined_text, query, rounded
+from courtlake.session import scratch_path
+
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def _model(lg, name: str, train) -> PipelineModel:
+    key = (lg.spark.sparkContext.applicationId, lg.sf_dir, name)
+    if key not in _SAVED:
+        model = train()
+        if model is None:
+            raise ValueError(f"too few rows to train {name}")
+        _SAVED[key] = M.save_model(model, scratch_path(lg.spark, name))
+    return M.load_model(_SAVED[key])
+
+
+# -- game outcome -------------------------------------------------------------
+_FORM = """SELECT t.season, t.gamecode, t.team_code, coalesce(avg(p.d), 0e0) AS form FROM team_games t LEFT JOIN LATERAL (
+    SELECT pts_for - pts_against AS d FROM team_games q WHERE q.season = t.season AND q.team_code = t.team_code AND q.played AND q.pts_for IS NOT NULL AND q.round < t.round
+    ORDER BY q.round DESC, q.gamecode DESC LIMIT 5) p ON TRUE GROUP BY 1, 2, 3"""
+_REST = """SELECT t.season, t.gamecode, t.team_code, CASE WHEN any_value(t.game_day) IS NULL THEN 3 WHEN count(q.gamecode) = 0 THEN 7 WHEN max(q.game_day) IS NULL THEN 3
+    ELSE greatest(any_value(t.game_day) - max(q.game_day), 0) END AS rest FROM team_games t
+  LEFT JOIN team_games q ON q.season = t.season AND q.team_code = t.team_code AND q.played AND q.round < t.round GROUP BY 1, 2, 3"""
+_GR = ["home_net_rtg", "away_net_rtg", "net_rtg_diff", "home_form_5", "away_form_5"]
+
+
+@query("m1_game_features", f"""
+  SELECT g.season, g.gamecode, g.round, g.home_team, g.away_team, round(coalesce(h.net_rtg, 0), 6) AS home_net_rtg, round(coalesce(a.net_rtg, 0), 6) AS away_net_rtg,
+    round(coalesce(h.net_rtg, 0) - coalesce(a.net_rtg, 0), 6) AS net_rtg_diff, 1 AS home_court_adv, round(fh.form, 6) AS home_form_5, round(fa.form, 6) AS away_form_5,
+    rh.rest AS home_rest_days, ra.rest AS away_rest_days, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS home_win
+  FROM games g LEFT JOIN eff h ON h.season = g.season AND h.team_code = g.home_team LEFT JOIN eff a ON a.season = g.season AND a.team_code = g.away_team
+  JOIN ({_FORM}) fh ON fh.season = g.season AND fh.gamecode = g.gamecode AND fh.team_code = g.home_team JOIN ({_FORM}) fa ON fa.season = g.season AND fa.gamecode = g.gamecode AND fa.team_code = g.away_team
+  JOIN ({_REST}) rh ON rh.season = g.season AND rh.gamecode = g.gamecode AND rh.team_code = g.home_team JOIN ({_REST}) ra ON ra.season = g.season AND ra.gamecode = g.gamecode AND ra.team_code = g.away_team
+  WHERE played AND home_score IS NOT NULL""")
+def _(lg):
+    return rounded(M.game_features(lg.games, lg.efficiency), *_GR)
+
+
+def _win_model(lg) -> PipelineModel:
+    return _model(lg, "win-model", lambda: M.train_win_model(M.game_features(lg.games, lg.efficiency)))
+
+
+@query("m2_win_model_scores")
+def _(lg):
+    return M.predict_games(_win_model(lg), M.game_features(lg.games, lg.efficiency))
+
+
+@query("m3_matchup_predictions")
+def _(lg):
+    fixtures = FL.remaining_games(lg.fixtures)
+    return M.predict_games(_win_model(lg), M.fixture_features(fixtures, lg.games, lg.efficiency, F.to_date(F.lit("2025-06-30"))))
+
+
+# -- lineups ------------------------------------------------------------------
+_PF = f"""
+  SELECT season, player_id, player_name, team_code, games, secs / 60e0 / greatest(games, 1) AS minutes_pg, pts * 50 / (fga * 100 + fta * 44) AS ts_pct, us / po AS true_usg_pct, st * 100 / po AS stop_rate,
+    pts * 100 / po * 100 AS off_rating, ast * 100 / us AS assist_ratio, orb / reb AS orb_pct, drb / reb AS drb_pct, a3 / fga AS three_pt_rate, fta / fga AS ft_rate
+  FROM (SELECT *, greatest(fga * 100 + fta * 44 - orb * 100 + tov * 100, 100) AS po, fga * 100 + fta * 44 + (tov + ast) * 100 AS us FROM (
+    SELECT season, player_id, min_by(player_name, gamecode) AS player_name, min_by(team_code, gamecode) AS team_code, count(DISTINCT gamecode) AS games, CAST(sum(seconds) AS BIGINT) AS secs,
+      CAST(sum(points) AS BIGINT) AS pts, CAST(greatest(sum(fga2 + fga3), 1) AS BIGINT) AS fga, CAST(sum(fga3) AS BIGINT) AS a3, CAST(sum(fta) AS BIGINT) AS fta, CAST(sum(off_rebounds) AS BIGINT) AS orb,
+      CAST(sum(def_rebounds) AS BIGINT) AS drb, CAST(greatest(sum(total_rebounds), 1) AS BIGINT) AS reb, CAST(sum(assists) AS BIGINT) AS ast, CAST(sum(turnovers) AS BIGINT) AS tov,
+      CAST(sum(steals + blocks_favour + def_rebounds) AS BIGINT) AS st FROM adv WHERE seconds > 0 GROUP BY 1, 2))"""
+
+
+@query("m4_player_season_features", _PF)
+def _(lg):
+    return M.player_season_features(lg.adv)
+
+
+_LF = f"""
+  SELECT season, team, lineup, {', '.join(f'avg({c}) AS mean_{c}' for c in C.PLAYER_MODEL_FEATURES)}, stddev_samp(ts_pct) AS std_ts_pct, stddev_samp(true_usg_pct) AS std_true_usg_pct,
+    max(stop_rate) AS max_stop_rate, sum(assist_ratio) AS sum_assist_ratio FROM (SELECT season, team, lineup, events, unnest(lineup) AS player_id FROM lineup_stats) JOIN ({_PF}) USING (season, player_id)
+  GROUP BY 1, 2, 3 HAVING count(*) = 5"""
+_LR = ", ".join(f"round({c}, 6) AS {c}" for c in C.LINEUP_FEATURES)
+_KEYS = ["season", "team", "lineup"]
+
+
+def _lineup_features(lg):
+    return M.lineup_features(L.lineup_stats(lg.totals), M.player_season_features(lg.adv), _KEYS)
+
+
+@query("m5_lineup_features", f"SELECT season, team, array_to_string(lineup, ',') AS lineup, {_LR} FROM ({_LF})")
+def _(lg):
+    return joined_text(rounded(_lineup_features(lg), *C.LINEUP_FEATURES), "lineup")
+
+
+def _training(lg):
+    return M.lineup_training_set(L.lineup_stats(lg.totals), M.player_season_features(lg.adv))
+
+
+@query("m6_lineup_training_set", f"""
+  SELECT season, team, array_to_string(lineup, ',') AS lineup, {_LR}, round(net_rtg, 6) AS net_rtg FROM ({_LF}) JOIN (SELECT season, team, lineup, net_rtg, events FROM lineup_stats) USING (season, team, lineup) WHERE events >= 30""")
+def _(lg):
+    return joined_text(rounded(_training(lg), *C.LINEUP_FEATURES, "net_rtg"), "lineup")
+
+
+def _lineup_model(lg) -> PipelineModel:
+    return _model(lg, "lineup-model", lambda: M.train_lineup_model(_training(lg)))
+
+
+@query("m6_lineup_predictions")
+def _(lg):
+    df = M.predict_lineups(_lineup_model(lg), _lineup_features(lg))
+    from courtlake.functions import exprs as X
+
+    return joined_text(df.select(*_KEYS, "predicted_net_rtg", X.net_rating_tier("predicted_net_rtg").alias("tier")), "lineup")
+
+
+@query("m7_best_fifth_player")
+def _(lg):
+    df = M.best_fifth_player(_lineup_model(lg), L.lineup_stats(lg.totals), M.player_season_features(lg.adv))
+    return joined_text(df, "core")
+
+
+_CAT = {m: c for c, ms in C.RADAR_CATEGORIES.items() for m in ms}
+_ASK = " UNION ALL ".join(f"SELECT season, team, lineup, '{c}' AS category, '{m.split('_', 1)[1]}' AS stat, {m} AS v FROM lf" for m, c in _CAT.items())
+_POOLV = " UNION ALL ".join(f"SELECT season, '{s}' AS stat, {s} AS v FROM pf" for s in sorted({m.split('_', 1)[1] for m in _CAT}))
+
+
+@query("m8_lineup_radar", f"""
+  SELECT season, team, array_to_string(lineup, ',') AS lineup, category, round(avg(below / n * 100), 6) AS score FROM (
+    WITH lf AS MATERIALIZED ({_LF}), pf AS MATERIALIZED ({_PF}), ask AS ({_ASK}), pool AS ({_POOLV})
+    SELECT a.season, a.team, a.lineup, a.category, a.stat, count(*) FILTER (p.v < a.v) AS below, count(*) AS n FROM ask a JOIN pool p ON p.season = a.season AND p.stat = a.stat GROUP BY 1, 2, 3, 4, 5, a.v)
+  GROUP BY 1, 2, 3, 4""")
+def _(lg):
+    df = M.lineup_radar(_lineup_features(lg), M.player_season_features(lg.adv), _KEYS)
+    return joined_text(rounded(df, "score"), "lineup")
+
+
+# -- seasonal form ------------------------------------------------------------
+@query("m9_form_curves")
+def _(lg):
+    monthly = T.monthly_form(lg.adv, lg.games)
+    model = _model(lg, "form-model", lambda: M.train_form_model(monthly))
+    return M.predict_form(model, T.form_features(monthly))
+
+
+@query("m10_saved_model_scores")
+def _(lg):
+    path = M.save_model(_win_model(lg), scratch_path(lg.spark, "copy"))
+    return M.predict_games(M.load_model(path), M.game_features(lg.games, lg.efficiency))
+
+
+# -- team style ---------------------------------------------------------------
+def _factors(lg):
+    return T.four_factors(lg.adv, lg.games).persist()
+
+
+@query("m11_team_clusters")
+def _(lg):
+    return M.cluster_teams(_factors(lg))[0]
+
+
+@query("m12_cluster_names")
+def _(lg):
+    scored = M.cluster_teams(_factors(lg))[0]
+    return scored.groupBy("cluster_id", "cluster_name").agg(F.count("*").alias("teams"), *[F.avg(c).alias(c) for c in C.FOUR_FACTORS])
+
+
+@query("m13_style_profiles")
+def _(lg):
+    return M.style_profiles(_factors(lg))
+
+
+_Z = ", ".join(f"CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0e0 END AS z{i}" for i, c in enumerate(C.SIMILARITY_FEATURES))
+
+
+@query("m11_standardised_factors", f"""
+  SELECT season, team_code, {', '.join(f'round(CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0e0 END, 6) AS {c}_z' for c in C.FOUR_FACTORS)}
+  FROM ({_FF}) WINDOW w AS (PARTITION BY season)""")
+def _(lg):
+    cols = [f"{c}_z" for c in C.FOUR_FACTORS]
+    return rounded(M.standardise(T.four_factors(lg.adv, lg.games), C.FOUR_FACTORS, ["season"]).select("season", "team_code", *cols), *cols)
+
+
+# -- similarity ---------------------------------------------------------------
+def _similar(part: str) -> str:
+    dims = range(len(C.SIMILARITY_FEATURES))
+    dot = " + ".join(f"a.z{i} * b.z{i}" for i in dims)
+    na, nb = " + ".join(f"a.z{i} * a.z{i}" for i in dims), " + ".join(f"b.z{i} * b.z{i}" for i in dims)
+    on = " AND ".join(f"a.{k} = b.{k}" for k in part.split(", "))
+    return f"""
+  SELECT {part}, player_code, team_code, rank, similar_code, similar_team, round(s, 6) AS similarity FROM (
+    SELECT *, row_number() OVER (PARTITION BY {part}, player_code, team_code ORDER BY round(s, 12) DESC, similar_code, similar_team) AS rank FROM (
+      WITH zz AS MATERIALIZED (SELECT season, position, player_code, team_code, {_Z} FROM ({_POOL}) WHERE ts_pct IS NOT NULL WINDOW w AS (PARTITION BY {part}))
+      SELECT {', '.join('a.' + k for k in part.split(', '))}, a.player_code, a.team_code, b.player_code AS similar_code, b.team_code AS similar_team, ({dot}) / (sqrt({na}) * sqrt({nb})) AS s
+      FROM zz a JOIN zz b ON {on} AND (a.player_code, a.team_code) <> (b.player_code, b.team_code))) WHERE rank <= 5"""
+
+
+@query("m14_similar_players", _similar("season"))
+def _(lg):
+    return rounded(M.similar_players(T.scouting_pool(lg.adv, lg.teams)), "similarity")
+
+
+@query("m14_similar_players_same_position", _similar("season, position"))
+def _(lg):
+    return rounded(M.similar_players(T.scouting_pool(lg.adv, lg.teams), same_position=True), "similarity")
+
+
+@query("m15_player_radar", " UNION ALL ".join(
+    f"SELECT season, player_code, team_code, '{c}' AS feature, round({c}, 6) AS raw, round(({c} - min({c}) OVER w) / (CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 1e0 ELSE max({c}) OVER w - min({c}) OVER w END), 6) AS norm "
+    f"FROM ({_POOL}) WHERE ts_pct IS NOT NULL WINDOW w AS (PARTITION BY season)" for c in C.SIMILARITY_FEATURES))
+def _(lg):
+    return rounded(M.radar_vectors(T.scouting_pool(lg.adv, lg.teams)), "raw", "norm")
+
+
+# -- projection ---------------------------------------------------------------
+_RUNS = 200
+
+
+def _uniform(text: str) -> str:
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+_PROJ = f"""
+  WITH st AS MATERIALIZED (SELECT season, team_code, count(*) FILTER (played AND pf > pa) AS w0, count(*) FILTER (played AND pf < pa) AS l0, count(*) FILTER (NOT played) AS left_games FROM (
+      SELECT season, home_team AS team_code, played AND home_score IS NOT NULL AS played, home_score AS pf, away_score AS pa FROM fixtures
+      UNION ALL SELECT season, away_team, played AND home_score IS NOT NULL, away_score, home_score FROM fixtures) GROUP BY 1, 2),
+  fx AS MATERIALIZED (SELECT f.season, f.gamecode, f.home_team, f.away_team, 1 / (1 + exp(-(coalesce(h.net_rtg, 0) - coalesce(a.net_rtg, 0) + 2.5e0) / 10e0)) AS pr FROM fixtures f
+      LEFT JOIN eff h ON h.season = f.season AND h.team_code = f.home_team LEFT JOIN eff a ON a.season = f.season AND a.team_code = f.away_team WHERE NOT played),
+  ng AS (SELECT season, count(*) AS games_simulated FROM fx GROUP BY 1),
+  dr AS (SELECT season, run, CASE WHEN {_uniform("'42-' || season || '-' || gamecode || '-' || run")} < pr THEN home_team ELSE away_team END AS team_code FROM fx, range({_RUNS}) r(run)),
+  wn AS (SELECT season, run, team_code, count(*) AS w FROM dr GROUP BY 1, 2, 3),
+  fin AS (SELECT s.season, s.team_code, r.run, s.w0 + coalesce(w.w, 0) AS sw FROM st s CROSS JOIN range({_RUNS}) r(run) LEFT JOIN wn w ON w.season = s.season AND w.run = r.run AND w.team_code = s.team_code),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY season, run ORDER BY sw DESC, {_uniform("'42-tie-' || season || '-' || run || '-' || team_code")} DESC, team_code) AS pos FROM fin)"""
+_PROJ_AGG = f"""
+  SELECT p.*, row_number() OVER (PARTITION BY season ORDER BY avg_wins DESC, team_code) AS proj_rank FROM (
+    SELECT season, team_code, sum(sw) / {_RUNS} AS avg_wins, any_value(w0) AS current_wins, any_value(l0) AS current_losses, any_value(games_simulated) AS games_simulated,
+      any_value(w0) + any_value(l0) + any_value(left_games) - sum(sw) / {_RUNS} AS avg_losses, {', '.join(f'count(*) FILTER (pos <= {k}) / {_RUNS} * 100 AS {n}' for k, n in ((10, 'make_top_10_pct'), (6, 'make_top_6_pct'), (4, 'make_top_4_pct'), (1, 'win_rs_pct')))}
+    FROM pl JOIN st USING (season, team_code) JOIN ng USING (season) GROUP BY 1, 2) p"""
+
+
+def _projection(lg):
+    return P.project_standings(lg.fixtures, lg.efficiency, runs=_RUNS)
+
+
+@query("m16_standings_projection", f"SELECT * FROM ({_PROJ} {_PROJ_AGG})")
+def _(lg):
+    return _projection(lg).drop("positions", "runs")
+
+
+@query("m16_position_probabilities", f"SELECT * FROM ({_PROJ} SELECT season, team_code, pos AS position, count(*) / {_RUNS} * 100 AS pct FROM pl GROUP BY 1, 2, 3)")
+def _(lg):
+    return P.position_table(_projection(lg))
+
+
+@query("w6_movers", f"""
+  SELECT *, CASE WHEN rank_diff > 0 THEN 'riser' WHEN rank_diff < 0 THEN 'faller' ELSE 'steady' END AS movement FROM (
+    SELECT season, team_code, proj_rank, current_rank, current_rank - proj_rank AS rank_diff, make_top_6_pct > 10 AND make_top_6_pct < 90 AS bubble FROM (
+      SELECT *, row_number() OVER (PARTITION BY season ORDER BY current_wins DESC, avg_wins DESC, team_code) AS current_rank FROM ({_PROJ} {_PROJ_AGG})))""")
+def _(lg):
+    return W.movers(_projection(lg)).select("season", "team_code", "proj_rank", "current_rank", "rank_diff", "bubble", "movement")
+
+
+@query("w7_standing_tiers", f"""
+  SELECT season, team_code, proj_rank, CASE WHEN proj_rank = 1 THEN '#1 Seed' WHEN proj_rank <= 4 THEN 'Home Court' WHEN proj_rank <= 6 THEN 'Playoffs' WHEN proj_rank <= 10 THEN 'Play-In' ELSE 'Eliminated' END AS tier
+  FROM ({_PROJ} {_PROJ_AGG})""")
+def _(lg):
+    return _projection(lg).select("season", "team_code", "proj_rank", W.standing_tier("proj_rank").alias("tier"))
