@@ -194,16 +194,17 @@ def lineup_radar(features: DataFrame, players: DataFrame, keys: list[str]) -> Da
     Player values and lineup values are put on one axis per (season, measure)
     and counted with a running sum over distinct values. Values are cut into
     approximate percentile buckets first, so the running sum is spread over
-    tasks; the buckets only steer partitioning, the counts stay exact.
+    tasks; the buckets only steer partitioning, the counts stay exact. Values
+    are compared at twelve digits: the order of addition must not decide a tie.
     """
     base = {m: m.split("_", 1)[1] for cols in C.RADAR_CATEGORIES.values() for m in cols}
     category = {m: cat for cat, cols in C.RADAR_CATEGORIES.items() for m in cols}
     asked = features.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(category[m]).alias("category"), F.lit(m).alias("measure"), F.lit(b).alias("stat"), F.col(m).alias("value"))
+        F.struct(F.lit(category[m]).alias("category"), F.lit(m).alias("measure"), F.lit(b).alias("stat"), F.round(m, 12).alias("value"))
         for m, b in base.items()
     ])).alias("x")).select(*keys, "x.*")
     pool = players.select("season", F.explode(F.array(*[
-        F.struct(F.lit(b).alias("stat"), F.col(b).alias("value")) for b in sorted(set(base.values()))
+        F.struct(F.lit(b).alias("stat"), F.round(b, 12).alias("value")) for b in sorted(set(base.values()))
     ])).alias("x")).select("season", "x.*")
     size = pool.groupBy("season", "stat").agg(
         F.count("value").alias("n"), F.percentile_approx("value", [i / 32 for i in range(1, 32)]).alias("cuts")

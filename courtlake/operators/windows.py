@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from courtlake import config as C
 from courtlake.operators.league import team_games
 
-_TEAM = Window.partitionBy("season", "team_code")
+def _team():
+    return Window.partitionBy("season", "team_code")
+
 
 
 def recent_form(games: DataFrame, n: int = 5) -> DataFrame:
@@ -16,7 +18,7 @@ def recent_form(games: DataFrame, n: int = 5) -> DataFrame:
         F.col("played") & F.col("pts_for").isNotNull() & F.col("pts_against").isNotNull(),
         F.struct("round", (F.col("pts_for") - F.col("pts_against")).alias("diff")),
     )
-    so_far = F.collect_list(played).over(_TEAM.orderBy("round", "gamecode").rowsBetween(Window.unboundedPreceding, -1))
+    so_far = F.collect_list(played).over(_team().orderBy("round", "gamecode").rowsBetween(Window.unboundedPreceding, -1))
     df = team_games(games).withColumn("past", so_far)
     before = F.filter("past", lambda g: g["round"] < F.col("round"))
     last = F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n)
@@ -29,7 +31,7 @@ def recent_form(games: DataFrame, n: int = 5) -> DataFrame:
 
 def rest_days(games: DataFrame) -> DataFrame:
     """Days since the team's last played game of an earlier round: 3 without a date, 7 without a game, never negative."""
-    earlier = _TEAM.orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = _team().orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
     df = team_games(games).withColumns(
         {
             "n": F.count(F.when(F.col("played"), 1)).over(earlier),

@@ -129,8 +129,8 @@ def _(lg):
 
 
 _CAT = {m: c for c, ms in C.RADAR_CATEGORIES.items() for m in ms}
-_ASK = " UNION ALL ".join(f"SELECT season, team, lineup, '{c}' AS category, '{m.split('_', 1)[1]}' AS stat, {m} AS v FROM lf" for m, c in _CAT.items())
-_POOLV = " UNION ALL ".join(f"SELECT season, '{s}' AS stat, {s} AS v FROM pf" for s in sorted({m.split('_', 1)[1] for m in _CAT}))
+_ASK = " UNION ALL ".join(f"SELECT season, team, lineup, '{c}' AS category, '{m.split('_', 1)[1]}' AS stat, round({m}, 12) AS v FROM lf" for m, c in _CAT.items())
+_POOLV = " UNION ALL ".join(f"SELECT season, '{s}' AS stat, round({s}, 12) AS v FROM pf" for s in sorted({m.split('_', 1)[1] for m in _CAT}))
 
 
 @query("m8_lineup_radar", f"""
