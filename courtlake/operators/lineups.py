@@ -7,7 +7,7 @@ plays; every statistic is first summed per segment and only then meets a lineup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from courtlake import config as C
 from courtlake.functions import exprs as X
@@ -42,7 +42,7 @@ def tag_segments(pbp: DataFrame, box: DataFrame, block: int = C.PLAYS_PER_BLOCK)
     )
 
 
-def segment_lineups(tagged: DataFrame, box: DataFrame, block: int = C.PLAYS_PER_BLOCK) -> DataFrame:
+def segment_lineups(tagged: DataFrame, box: DataFrame) -> DataFrame:
     """Sorted lineup of every (game, side, segment).
 
     IN adds, OUT removes, both idempotent: a player is on court from an IN (or a
@@ -62,20 +62,16 @@ def segment_lineups(tagged: DataFrame, box: DataFrame, block: int = C.PLAYS_PER_
         *C.GAME_KEYS, F.col("is_home").alias("side"), "player_id",
         F.lit(0).cast("bigint").alias("seg"), F.lit(True).alias("enters"),
     ).distinct()
-    moves = starters.unionByName(subs)
-    last_seg = tagged.groupBy(*C.GAME_KEYS).agg(F.max("home_seg").alias("h"), F.max("away_seg").alias("a")).select(
-        *C.GAME_KEYS, F.explode(F.array(
-            F.struct(F.lit(1).alias("side"), (F.col("h") + 1).alias("seg")),
-            F.struct(F.lit(0).alias("side"), (F.col("a") + 1).alias("seg")),
-        )).alias("e"),
-    ).select(*C.GAME_KEYS, "e.side", "e.seg")
-    ends = moves.select(*keys).distinct().join(last_seg, [*C.GAME_KEYS, "side"]).select(
-        *keys, "seg", F.lit(False).alias("enters")
-    )
-    spans = running(
-        moves.unionByName(ends), keys, "seg", previous={"came": F.struct("seg", "enters")}, block=block
-    ).filter(F.col("came.enters")).select(
-        *C.GAME_KEYS, "side", "player_id", F.col("came.seg").alias("lo"), (F.col("seg") - 1).alias("hi")
+    # A game's substitutions are already spread by player here, so a plain window will do.
+    following = F.lead("seg").over(Window.partitionBy(*keys).orderBy("seg"))
+    last_seg = tagged.groupBy(*C.GAME_KEYS).agg(F.max("home_seg").alias("h"), F.max("away_seg").alias("a"))
+    spans = (
+        starters.unionByName(subs).withColumn("next", following).filter("enters")
+        .join(last_seg, C.GAME_KEYS)
+        .select(
+            *keys, F.col("seg").alias("lo"),
+            F.coalesce(F.col("next") - 1, F.when(F.col("side") == 1, F.col("h")).otherwise(F.col("a"))).alias("hi"),
+        )
     )
     # Two-step fan-out keeps each generated array short however long a player stays on.
     fanned = spans.withColumn("b", F.explode(F.sequence(block_of("lo", _FAN), block_of("hi", _FAN)))).select(
@@ -260,66 +256,64 @@ def player_stints(pbp: DataFrame, box: DataFrame, ot_seconds: int = 300, block:
     plays = pbp.join(sides, C.GAME_KEYS)
     valid = (F.coalesce("points_a", F.lit(0)) > 0) | (F.coalesce("points_b", F.lit(0)) > 0)
     score = F.struct(F.coalesce("points_a", F.lit(0)).alias("a"), F.coalesce("points_b", F.lit(0)).alias("b"))
-    scored = running(plays, pkeys, C.PLAY_ORDER, lasts={"now": F.when(valid, score)}, block=block)
-
     made = X.points_of("playtype")
-    own = F.when(F.col("codeteam") == F.col("home_team"), made).otherwise(0)
-    base = scored.groupBy(*pkeys).agg(
+    at_home = F.col("codeteam") == F.col("home_team")
+    base = plays.groupBy(*pkeys).agg(
         F.min_by(F.struct(
-            F.when(F.col("codeteam") == F.col("home_team"), F.greatest(F.col("points_a") - made, F.lit(0)))
-            .otherwise(F.coalesce("points_a", F.lit(0))).alias("a"),
-            F.when((made > 0) & (own == 0), F.greatest(F.col("points_b") - made, F.lit(0)))
-            .otherwise(F.coalesce("points_b", F.lit(0))).alias("b"),
+            F.when(at_home, F.greatest(F.col("points_a") - made, F.lit(0))).otherwise(F.coalesce("points_a", F.lit(0))).alias("a"),
+            F.when(at_home, F.coalesce("points_b", F.lit(0))).otherwise(F.greatest(F.coalesce("points_b", F.lit(0)) - made, F.lit(0))).alias("b"),
         ), F.when(valid, F.col(C.PLAY_ORDER))).alias("base"),
-        F.max_by("now", F.when(F.col("now").isNotNull(), F.col(C.PLAY_ORDER))).alias("final"),
+        F.max_by(score, F.when(valid, F.col(C.PLAY_ORDER))).alias("final"),
     )
     zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
     base = base.withColumn("base", F.coalesce("base", zero)).withColumn("final", F.coalesce("final", "base"))
 
-    acts = scored.filter(
-        F.col("player_id").isNotNull() & ((F.col("codeteam") == F.col("home_team")) | (F.col("codeteam") == F.col("away_team")))
-    ).withColumn("team", F.col("codeteam"))
     is_sub = F.col("playtype").isin("IN", "OUT")
-    first_sub = acts.filter(is_sub).groupBy(*tkeys).agg(F.min(C.PLAY_ORDER).alias("first_sub"))
-    roster = box.select(*C.GAME_KEYS, F.col("team_code").alias("team"), "player_id", "is_starter", "is_home").distinct()
-    seen = acts.groupBy(*tkeys, "player_id").agg(
-        F.min(C.PLAY_ORDER).alias("first_act"),
+    by_team = F.col("player_id").isNotNull() & (at_home | (F.col("codeteam") == F.col("away_team")))
+    seen = plays.filter(by_team).groupBy(*pkeys, F.col("codeteam").alias("team"), "player_id").agg(
+        F.min(C.PLAY_ORDER).alias("first_act"), F.min(F.when(is_sub, F.col(C.PLAY_ORDER))).alias("own_sub"),
         F.max_by("playtype", F.when(is_sub, F.col(C.PLAY_ORDER))).alias("last_sub"),
     )
-    seen = seen.join(first_sub, tkeys, "left").join(
+    roster = box.select(*C.GAME_KEYS, F.col("team_code").alias("team"), "player_id", "is_starter").distinct()
+    seen = seen.join(
         roster.select(*C.GAME_KEYS, "team", "player_id", F.lit(True).alias("rostered")), [*C.GAME_KEYS, "team", "player_id"], "left"
-    ).withColumn(
-        "early",
-        F.coalesce("rostered", F.lit(False)) & (F.col("first_sub").isNull() | (F.col("first_act") < F.col("first_sub"))),
-    )
-    enough = seen.groupBy(*tkeys).agg(F.count_if("early").alias("found"))
-    later = seen.join(enough, tkeys).filter(
-        (F.col("period") > 1)
-        & F.when(F.col("found") >= 5, F.col("early")).otherwise(
-            (F.col("last_sub") == "OUT") & F.col("last_sub").isNotNull() | (F.col("early") & F.col("last_sub").isNull())
-        )
-    ).select(*tkeys, "player_id")
-    first = roster.filter(F.col("is_starter") == 1).select(
-        *C.GAME_KEYS, F.lit(1).alias("period"), "team", "player_id"
-    ).join(base.select(*pkeys), pkeys, "left_semi")
+    )
+    # One row per player and period: a window over a team's period holds its roster, not its plays.
+    team = Window.partitionBy(*tkeys)
+    early = F.col("rostered").isNotNull() & (F.col("first_sub").isNull() | (F.col("first_act") < F.col("first_sub")))
+    later = (
+        seen.withColumn("first_sub", F.min("own_sub").over(team)).withColumn("early", early)
+        .withColumn("found", F.count_if("early").over(team))
+        .filter(
+            (F.col("period") > 1)
+            & F.when(F.col("found") >= 5, F.col("early")).otherwise(
+                F.coalesce(F.col("last_sub") == "OUT", F.lit(False)) | (F.col("early") & F.col("last_sub").isNull())
+            )
+        ).select(*tkeys, "player_id")
+    )
+    first = roster.filter(F.col("is_starter") == 1).select(*C.GAME_KEYS, F.lit(1).alias("period"), "team", "player_id")
     starts = later.unionByName(first).join(base, pkeys).select(
         *tkeys, "player_id", F.lit(-1).alias("ord"), F.lit("IN").alias("move"),
-        X.period_start("period", ot_seconds).alias("at"), F.col("base").alias("score"),
-    )
-    moves = acts.filter(is_sub).join(base.select(*pkeys, "base"), pkeys).select(
-        *tkeys, "player_id", F.col(C.PLAY_ORDER).alias("ord"), F.col("playtype").alias("move"),
-        X.elapsed_seconds("period", "clock_secs", ot_seconds).alias("at"), F.coalesce("now", "base").alias("score"),
-    )
-    closing = F.lit(2147483647)
-    ends = starts.select(*tkeys, "player_id").union(moves.select(*tkeys, "player_id")).distinct().join(base, pkeys).select(
-        *tkeys, "player_id", closing.alias("ord"), F.lit("OUT").alias("move"),
-        (X.period_start("period", ot_seconds) + X.period_length("period", ot_seconds)).alias("at"),
-        F.col("final").alias("score"),
-    )
-    log = starts.unionByName(moves).unionByName(ends)
-    paired = running(
-        log, [*tkeys, "player_id"], "ord", previous={"open": F.struct("move", "at", "score")}, block=block
-    ).filter((F.col("move") == "OUT") & (F.col("open.move") == "IN"))
+        X.period_start("period", ot_seconds).alias("at"), F.col("base").alias("score"), "final",
+    )
+    scored = running(
+        plays.select(*pkeys, C.PLAY_ORDER, "playtype", "player_id", "codeteam", "clock_secs", "home_team", "away_team", "points_a", "points_b"),
+        pkeys, C.PLAY_ORDER, lasts={"now": F.when(valid, score)}, block=block,
+    )
+    moves = scored.filter(by_team & is_sub).join(base, pkeys).select(
+        *pkeys, F.col("codeteam").alias("team"), "player_id", F.col(C.PLAY_ORDER).alias("ord"), F.col("playtype").alias("move"),
+        X.elapsed_seconds("period", "clock_secs", ot_seconds).alias("at"), F.coalesce("now", "base").alias("score"), "final",
+    )
+    # A stint runs from an IN to the player's next row if that is an OUT, else to the period's end; a second IN restarts it.
+    ahead = Window.partitionBy(*tkeys, "player_id").orderBy("ord")
+    period_end = X.period_start("period", ot_seconds) + X.period_length("period", ot_seconds)
+    closing = F.struct(F.lit("OUT").alias("move"), period_end.alias("at"), F.col("final").alias("score"))
+    paired = (
+        starts.unionByName(moves)
+        .withColumn("close", F.coalesce(F.lead(F.struct("move", "at", "score")).over(ahead), closing))
+        .filter((F.col("move") == "IN") & (F.col("close.move") == "OUT"))
+        .select(*tkeys, "player_id", F.struct("at", "score").alias("open"), F.col("close.at").alias("at"), F.col("close.score").alias("score"))
+    )
     home = F.col("team") == F.col("home_team")
     a = F.col("score.a") - F.col("open.score.a")
     b = F.col("score.b") - F.col("open.score.b")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from courtlake import config as C
 from courtlake.functions import exprs as X
@@ -73,9 +73,9 @@ def link_assists_to_shots(pairs: DataFrame, shots: DataFrame) -> DataFrame:
         *_G, F.col("id_player").alias("shooter_id"), F.col("id_action").alias("play_type"),
         F.col("minute").cast("double").alias("shot_minute"), "num_anot", "coord_x", "coord_y", "zone",
     )
-    sizes = asked.groupBy(*key).agg(F.count("*").alias("assists"))
-    single = asked.join(sizes.filter("assists = 1").select(*key), key, "left_semi")
-    several = asked.join(sizes.filter("assists > 1").select(*key), key, "left_semi")
+    many = Window.partitionBy(*key)
+    asked = asked.withColumn("assists", F.count("*").over(many))
+    single, several = asked.filter("assists = 1"), asked.filter("assists > 1")
 
     nearest = (
         single.select(*key, "assist_play", "minute").join(made, key)
@@ -91,7 +91,7 @@ def link_assists_to_shots(pairs: DataFrame, shots: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("coord_y"), F.lit(None).cast("string").alias("zone"),
         F.lit(None).cast("double").alias("num_anot"),
     ).unionByName(
-        made.join(sizes.filter("assists > 1").select(*key), key, "left_semi").select(
+        made.join(several.select(*key), key, "left_semi").select(
             *key, F.lit(None).cast("double").alias("assist_play"), F.col("shot_minute").alias("minute"),
             "coord_x", "coord_y", "zone", F.col("num_anot").cast("double").alias("num_anot"),
         )

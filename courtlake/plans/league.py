@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from courtlake.functions.exprs import team_alias
-from courtlake.operators import box as B, lineups as L, league as T, playmaking as P
+from courtlake.operators import box as B, lineups as L, league as T, models as M, playmaking as P
 from courtlake.session import scratch_path
 from courtlake.sources import adapter as A, clean as N, feeds as S
 
@@ -25,8 +25,8 @@ class League:
     The cleaned feeds are loaded once per application into parquet tables in the
     shared folder, as the season ETL does; a lost executor re-reads files. All
     statistics are computed from these tables by every query that asks for them.
-    Plays with their segment numbers and the segment totals feed several
-    consumers and are persisted; ``release`` drops them.
+    Plays with their segment numbers, the segment totals and the assist pairs
+    feed several consumers and are persisted; ``release`` drops them.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -123,6 +123,14 @@ class League:
     def totals(self) -> DataFrame:
         return self._keep(L.segment_totals(self.tagged, self.segment_lineups))
 
+    @cached_property
+    def player_features(self) -> DataFrame:
+        return self._keep(M.player_season_features(self.adv))
+
+    @cached_property
+    def lineup_features(self) -> DataFrame:
+        return self._keep(M.lineup_features(L.lineup_stats(self.totals), self.player_features, ["season", "team", "lineup"]))
+
     @cached_property
     def on_off(self) -> DataFrame:
         return L.on_off_splits(self.totals, self.box)
@@ -133,7 +141,7 @@ class League:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return P.assist_pairs(self.pbp)
+        return self._keep(P.assist_pairs(self.pbp))
 
     @cached_property
     def links(self) -> DataFrame:

@@ -92,7 +92,7 @@ _KEYS = ["season", "team", "lineup"]
 
 
 def _lineup_features(lg):
-    return M.lineup_features(L.lineup_stats(lg.totals), M.player_season_features(lg.adv), _KEYS)
+    return lg.lineup_features
 
 
 @query("m5_lineup_features", f"SELECT season, team, array_to_string(lineup, ',') AS lineup, {_LR} FROM ({_LF})")
@@ -101,7 +101,7 @@ def _(lg):
 
 
 def _training(lg):
-    return M.lineup_training_set(L.lineup_stats(lg.totals), M.player_season_features(lg.adv))
+    return M.lineup_training_set(L.lineup_stats(lg.totals), lg.player_features)
 
 
 @query("m6_lineup_training_set", f"""
@@ -124,7 +124,7 @@ def _(lg):
 
 @query("m7_best_fifth_player")
 def _(lg):
-    df = M.best_fifth_player(_lineup_model(lg), L.lineup_stats(lg.totals), M.player_season_features(lg.adv))
+    df = M.best_fifth_player(_lineup_model(lg), L.lineup_stats(lg.totals), lg.player_features)
     return joined_text(df, "core")
 
 
@@ -139,7 +139,7 @@ _POOLV = " UNION ALL ".join(f"SELECT season, '{s}' AS stat, round({s}, 12) AS v
     SELECT a.season, a.team, a.lineup, a.category, a.stat, count(*) FILTER (p.v < a.v) AS below, count(*) AS n FROM ask a JOIN pool p ON p.season = a.season AND p.stat = a.stat GROUP BY 1, 2, 3, 4, 5, a.v)
   GROUP BY 1, 2, 3, 4""")
 def _(lg):
-    df = M.lineup_radar(_lineup_features(lg), M.player_season_features(lg.adv), _KEYS)
+    df = M.lineup_radar(lg.lineup_features, lg.player_features, _KEYS)
     return joined_text(rounded(df, "score"), "lineup")
 
 

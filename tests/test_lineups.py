@@ -9,7 +9,7 @@ from courtlake.operators import lineups as L
 def tracked(make, plays, box_rows, block=4096):
     box = make.box(box_rows)
     tagged = L.tag_segments(make.pbp(plays), box, block)
-    return box, tagged, L.segment_lineups(tagged, box, block)
+    return box, tagged, L.segment_lineups(tagged, box)
 
 
 def test_substitution_order(make):
