@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from courtlake import config as C
 from courtlake.functions import exprs as X
-from courtlake.functions.scans import block_of, running
+from courtlake.functions.scans import BLOCK, block_of, join_per_key, running
 
 SEGMENT_KEYS = ["season", "gamecode", "side", "seg"]
 _FAN = 1024
@@ -33,13 +33,13 @@ def player_names(box: DataFrame) -> DataFrame:
 
 def tag_segments(pbp: DataFrame, box: DataFrame, block: int = C.PLAYS_PER_BLOCK) -> DataFrame:
     """Plays with home and away team and each side's substitution count up to and including the play."""
-    df = pbp.join(game_sides(box), C.GAME_KEYS)
+    df = join_per_key(pbp, game_sides(box), C.GAME_KEYS, C.PLAY_ORDER, block)
     sub = F.col("playtype").isin("IN", "OUT") & F.col("player_id").isNotNull()
     flag = lambda team: F.when(sub & (F.col("codeteam") == F.col(team)), 1).otherwise(0)
     return running(
         df, C.GAME_KEYS, C.PLAY_ORDER,
-        sums={"home_seg": flag("home_team"), "away_seg": flag("away_team")}, block=block,
-    )
+        sums={"home_seg": flag("home_team"), "away_seg": flag("away_team")}, block=F.col(BLOCK),
+    ).drop(BLOCK)
 
 
 def segment_lineups(tagged: DataFrame, box: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def player_stints(pbp: DataFrame, box: DataFrame, ot_seconds: int = 300, block:
     pkeys = [*C.GAME_KEYS, "period"]
     tkeys = [*pkeys, "team"]
     sides = game_sides(box)
-    plays = pbp.join(sides, C.GAME_KEYS)
+    plays = join_per_key(pbp, sides, C.GAME_KEYS, C.PLAY_ORDER, block)
     valid = (F.coalesce("points_a", F.lit(0)) > 0) | (F.coalesce("points_b", F.lit(0)) > 0)
     score = F.struct(F.coalesce("points_a", F.lit(0)).alias("a"), F.coalesce("points_b", F.lit(0)).alias("b"))
     made = X.points_of("playtype")
@@ -297,8 +297,8 @@ def player_stints(pbp: DataFrame, box: DataFrame, ot_seconds: int = 300, block:
         X.period_start("period", ot_seconds).alias("at"), F.col("base").alias("score"), "final",
     )
     scored = running(
-        plays.select(*pkeys, C.PLAY_ORDER, "playtype", "player_id", "codeteam", "clock_secs", "home_team", "away_team", "points_a", "points_b"),
-        pkeys, C.PLAY_ORDER, lasts={"now": F.when(valid, score)}, block=block,
+        plays.select(*pkeys, C.PLAY_ORDER, "playtype", "player_id", "codeteam", "clock_secs", "home_team", "away_team", "points_a", "points_b", BLOCK),
+        pkeys, C.PLAY_ORDER, lasts={"now": F.when(valid, score)}, block=F.col(BLOCK),
     )
     moves = scored.filter(by_team & is_sub).join(base, pkeys).select(
         *pkeys, F.col("codeteam").alias("team"), "player_id", F.col(C.PLAY_ORDER).alias("ord"), F.col("playtype").alias("move"),

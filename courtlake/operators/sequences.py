@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from courtlake import config as C
 from courtlake.functions import exprs as X
-from courtlake.functions.scans import running
+from courtlake.functions.scans import BLOCK, join_per_key, running
 from courtlake.operators.lineups import game_sides
 
 _G = C.GAME_KEYS
@@ -22,8 +22,9 @@ def scoring_runs(pbp: DataFrame, block: int = C.PLAYS_PER_BLOCK) -> DataFrame:
     first = scored.groupBy(*_G).agg(F.min("codeteam").alias("team_one"))
     own = F.when(F.col("codeteam") == F.col("team_one"), 1).otherwise(0)
     counted = running(
-        scored.join(first, _G), _G, C.PLAY_ORDER, sums={"one_n": own, "two_n": 1 - own}, block=block
-    )
+        join_per_key(scored, first, _G, C.PLAY_ORDER, block), _G, C.PLAY_ORDER,
+        sums={"one_n": own, "two_n": 1 - own}, block=F.col(BLOCK),
+    ).drop(BLOCK)
     one = F.col("codeteam") == F.col("team_one")
     return counted.withColumns(
         {
