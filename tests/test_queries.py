@@ -69,3 +69,22 @@ def test_scans_are_pruned_and_filtered(spark):
     text = plan(lg.pbp.filter("season = 2024").select("gamecode", "playtype").filter("playtype = 'AS'"))
     assert "ReadSchema: struct<season:int,gamecode:int,playtype:string>" in text and "EqualTo(playtype,AS)" in text
     assert "comment" not in plan(Q.live_score(lg.pbp)).split("ReadSchema")[1]
+
+
+def test_play_log_is_shuffled_once_by_block(spark):
+    """Without broadcasts the full play rows meet one exchange, keyed by game and block; join and window share it."""
+    from courtlake.operators import lineups as L
+
+    lg = League(spark, SF)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        text = plan(L.tag_segments(lg.pbp, lg.box))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    lines = text.split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "comment" in line)
+    above = [line for line in lines[:scan] if "Exchange hashpartitioning" in line]
+    assert len(above) == 1 and "play_block" in above[0]

@@ -24,3 +24,14 @@ def test_running_keeps_columns_and_rows(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, 5)], "g int, n int, v int")
     out = running(df, ["g"], "n", sums={"t": F.col("v")})
     assert out.columns == ["g", "n", "v", "t"] and sorted(r.t for r in out.collect()) == [0, 5]
+
+
+@pytest.mark.parametrize("size", [2, 100])
+def test_join_per_key_repeats_values_per_block(spark, size):
+    from courtlake.functions.scans import BLOCK, join_per_key
+
+    df = spark.createDataFrame([(g, n) for g in (1, 2, 3) for n in range(7)], "g int, n int")
+    per = spark.createDataFrame([(1, "x"), (2, "y")], "g int, v string")
+    out = join_per_key(df, per, ["g"], "n", size)
+    assert sorted((r.g, r.n, r.v) for r in out.collect()) == [(g, n, v) for g, v in ((1, "x"), (2, "y")) for n in range(7)]
+    assert out.select(BLOCK).distinct().count() == (4 if size == 2 else 1)
