@@ -29,11 +29,12 @@ _ANSWER = StructType([StructField(CHUNK, IntegerType()), StructField(BUCKET, Int
 
 
 class Keys(NamedTuple):
-    """Distinct keys of a chunk in the order of (bucket, key), each with its smallest owner."""
+    """Distinct keys of a chunk in the order of (bucket, key), each with its smallest and largest owner."""
 
     bucket: np.ndarray
     key: np.ndarray
     owner: np.ndarray
+    top: np.ndarray
     of: np.ndarray  # for every key given: its place among the distinct ones
 
 
@@ -47,7 +48,8 @@ def distinct(bucket: np.ndarray, key: np.ndarray, owner: np.ndarray) -> Keys:
     head = np.flatnonzero(new)
     of = np.empty(len(k), dtype=np.int64)
     of[order] = np.cumsum(new) - 1
-    return Keys(b[head], k[head], np.minimum.reduceat(o, head) if len(head) else o, of)
+    least, most = (f.reduceat(o, head) if len(head) else o for f in (np.minimum, np.maximum))
+    return Keys(b[head], k[head], least, most, of)
 
 
 def chunked(docs: DataFrame, id_col: str, chunks: int) -> DataFrame:
@@ -62,7 +64,8 @@ def n_chunks(docs: DataFrame, n_bytes: int, chunk_bytes: int) -> int:
 
 
 def ask(chunks: DataFrame, keys: Callable[[pa.Table], Keys], smaller: bool) -> DataFrame:
-    """A row (chunk, bucket, bits) per request; a bit says that another chunk has the key (``smaller``: with a smaller owner)."""
+    """A row (chunk, bucket, bits) per request. A bit says that the key has a smaller owner than here, or, if not
+    ``smaller``, that it has more than one owner."""
 
     def request(table: pa.Table) -> pa.Table:
         k = keys(table)
@@ -71,9 +74,11 @@ def ask(chunks: DataFrame, keys: Callable[[pa.Table], Keys], smaller: bool) -> D
             heads = np.concatenate([[0], np.flatnonzero(np.diff(k.bucket)) + 1, [len(k.key)]])
             chunk = table.column(CHUNK)[0].as_py()
             for lo, hi in zip(heads[:-1], heads[1:]):
-                ids, at = np.unique(k.owner[lo:hi], return_inverse=True) if smaller else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                planes = at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T if len(at) else at
-                rows.append((chunk, int(k.bucket[lo]), W.pack(k.key[lo:hi]), W.squeeze(planes), W.pack(ids.view(np.uint64))))
+                ids = np.unique(k.owner[lo:hi] if smaller else np.concatenate([k.owner[lo:hi], k.top[lo:hi]]))
+                at = [np.searchsorted(ids, o[lo:hi]).astype(np.uint32) for o in ((k.owner,) if smaller else (k.owner, k.top))]
+                at[1:] = [at[1] - at[0]] if not smaller else []
+                planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T) for x in at]
+                rows.append((chunk, int(k.bucket[lo]), W.pack(k.key[lo:hi]), W.squeeze(np.concatenate(planes)), W.pack(ids.view(np.uint64))))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _arrow(_REQUEST))], schema=_arrow(_REQUEST))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -81,19 +86,23 @@ def ask(chunks: DataFrame, keys: Callable[[pa.Table], Keys], smaller: bool) -> D
         for blob, owners, ids in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "ids"))):
             key = W.unpack(blob)
             size.append(len(key))
-            at = np.ascontiguousarray(W.expand(owners, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32) if smaller else None
-            part.append((key, W.unpack(ids, np.int64)[at] if smaller else np.zeros(0, np.int64)))
+            planes = W.expand(owners, np.uint8).reshape(1 if smaller else 2, 4, -1)
+            at = [np.ascontiguousarray(x.T).reshape(-1).view(np.uint32) for x in planes]
+            known = W.unpack(ids, np.int64)
+            part.append((key, known[at[0]], known[at[-1] + at[0]] if not smaller else None))
         key = np.concatenate([p[0] for p in part])
         order = np.argsort(key)
         key = key[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(head, append=len(key))
         yes = np.empty(len(key), dtype=bool)
+        owner = np.concatenate([p[1] for p in part])[order]
+        least = np.minimum.reduceat(owner, head)
         if smaller:
-            owner = np.concatenate([p[1] for p in part])
-            yes[order] = np.repeat(np.minimum.reduceat(owner[order], head), length) < owner[order]
+            yes[order] = np.repeat(least, length) < owner
         else:
-            yes[order] = np.repeat(length > 1, length)
+            top = np.concatenate([p[2] for p in part])[order]
+            yes[order] = np.repeat(least < np.maximum.reduceat(top, head), length)
         ends = np.cumsum(size)
         bits = [W.squeeze(np.packbits(yes[e - n : e])) for e, n in zip(ends, size)]
         return pa.table([table.column(CHUNK), table.column(BUCKET), pa.array(bits, pa.binary())], schema=_arrow(_ANSWER))

@@ -15,4 +15,16 @@ STATEMENTS = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op9_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), k -> array_to_string(ws[k:k + 4], ' '))
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        c AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * k >= 75 * (ca.n + cb.n - k)),
+        r AS (SELECT doc_id, doc_id AS other FROM c UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+        SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM r JOIN c USING (doc_id) GROUP BY doc_id
+    """,
 }
