@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake.llm import oracle
+from courtlake.llm.mixing import copies_of
 from courtlake.llm.near_copies import near_copies
+from courtlake.llm.packing import best_fit_packing
 from courtlake.llm.rules import BASE, learn_from, quality_rules
 from courtlake.llm.substrings import dedup_substrings
 
@@ -29,6 +31,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return copies_of(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))

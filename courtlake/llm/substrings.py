@@ -38,7 +38,7 @@ def prefix_counts(docs: DataFrame, text: str, min_words: int) -> tuple[np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n_bytes = np.zeros((len(levels), CELLS), dtype=np.int64), 0
-        for b in batches:
+        for b in (x for batch in batches for x in W.slices(batch, 0)):
             w = W.split(b.column(0))
             n_bytes += len(w.data)
             h = W.hashes(w)

@@ -148,3 +148,13 @@ def expand(blob: bytes, dtype) -> np.ndarray:
     import zstandard
 
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
+
+
+def slices(batch: pa.RecordBatch, column: int, n_bytes: int = 1 << 22):
+    """The batch in runs of rows of about ``n_bytes`` of the column's text, so that working memory stays bounded; a row is never cut."""
+    _, at = text_bytes(batch.column(column))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + n_bytes, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
