@@ -6,11 +6,13 @@ documents move along the null space of the constraints (documents and words take
 reaches 0 or 1, so both totals stay exactly as they are. Documents of a source are dealt into buckets of
 a bounded size; the two or fewer that a bucket leaves undecided meet those of other buckets in the next
 level. Before the last ones land, the constraint on documents is given up: pairs move along that on
-words alone, against some short documents kept back for this, so that one short document is left to land.
+words alone, against some short documents kept back for this. The landing decides the one that is left
+and turns over a few documents (four times one or two at most) so that the words come nearest to the target.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 
 import numpy as np
@@ -100,13 +102,29 @@ def pair_flight(p: list[float], size: list[float], order: list[int], draws: np.n
         a = a if 0.0 < p[a] < 1.0 else b if 0.0 < p[b] < 1.0 else None
 
 
-def landing(p: list[float], size: list[float], due: float) -> None:
-    """Decides the last ones (two or fewer) so that the words taken come nearest to ``due``."""
+def landing(p: list[float], size: list[float], due: float, most_flips: int = 4) -> None:
+    """Decides the last ones so that the words taken come nearest to ``due``: all ways to round what is undecided
+    (two or fewer), then, while that brings the words nearer, one or two decided documents turn over."""
     left = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
     taken = sum(s for x, s in zip(p, size) if x == 1.0)
     best = min(itertools.product((0.0, 1.0), repeat=len(left)), key=lambda c: (abs(taken + sum(x * size[i] for x, i in zip(c, left)) - due), c))
     for i, x in zip(left, best):
         p[i] = x
+    for _ in range(most_flips):
+        off = sum(s for x, s in zip(p, size) if x == 1.0) - due
+        change = sorted((size[i] if p[i] == 0.0 else -size[i], i) for i in range(len(p)))
+        values = [c for c, _ in change]
+        found = (abs(off), ())
+        for c, i in change:
+            found = min(found, (abs(off + c), (i,)))
+            at = bisect.bisect_left(values, -off - c)
+            for d, j in change[max(at - 1, 0) : at + 1]:
+                if j != i:
+                    found = min(found, (abs(off + c + d), (i, j)))
+        if not found[1] or found[0] > abs(off) - 1:
+            break
+        for i in found[1]:
+            p[i] = 1.0 - p[i]
 
 
 def copies_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), bucket_docs: int = 5000) -> DataFrame:
@@ -134,6 +152,7 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
             p, size = rows.column("p").to_pylist(), [float(s) for s in rows.column("size").to_pylist()]
             rng = np.random.default_rng([len(p), rows.column("__hash")[0].as_py() & 0xFFFFFFFF])
             due = sum(x * s for x, s in zip(p, size))
+            fixed = [x < _EPS or x > 1 - _EPS for x in p]  # of a whole rate
             short = rows.column("short").to_pylist()
             at = [i for i, x in enumerate(short) if not x]
             own = [p[i] for i in at]
@@ -142,7 +161,11 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
                 p[i] = x
             if last:
                 pair_flight(p, size, at + [i for i, x in enumerate(short) if x], rng.random(len(p) + 1))
-                landing(p, size, due)
+                at = [i for i, x in enumerate(fixed) if not x]
+                own = [p[i] for i in at]
+                landing(own, [size[i] for i in at], due - sum(p[i] * size[i] for i, x in enumerate(fixed) if x))
+                for i, x in zip(at, own):
+                    p[i] = x
             return rows.select(names).set_column(names.index("p"), "p", pa.array(p, pa.float64()))
 
         return run
