@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Tokens come from a public tokenizer file; every distinct word of a worker's texts is encoded once.
-Pieces are dealt into shards of a bounded size, each packed by bounded-space online best-fit: a
-piece goes to the open bin with the least free space that holds it, found in a bitset with one bit
+Pieces are dealt into shards of a bounded size, each packed, its longest piece first, by bounded-space
+online best-fit: a piece goes to the open bin with the least free space that holds it, found in a bitset with one bit
 per free space; if too many bins are open, the fullest closes first. Only sizes are shuffled.
 """
 
@@ -155,7 +155,7 @@ def best_fit(sizes: list[int], capacity: int, most_open: int) -> tuple[list[int]
     return bin_of, offset, n_bins
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 0, shard_pieces: int = 50_000, most_open: int = 4096, with_ids: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 0, shard_pieces: int = 20_000, most_open: int = 16_384, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` per piece (and ``ids``).
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Longer ones are cut
@@ -166,8 +166,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     shards = max(1, -(-cut.count() // shard_pieces))
 
     def pack(rows: pa.Table) -> pa.Table:
-        by = ["order", "doc_id", "piece", "start", "length", "ids_crc32"]
-        rows = rows.take(pc.sort_indices(rows.select(by), sort_keys=[(c, "ascending") for c in by]))
+        by = [("length", "descending"), *((c, "ascending") for c in ("order", "doc_id", "piece", "start"))]
+        rows = rows.take(pc.sort_indices(rows.select([c for c, _ in by]), sort_keys=by))
         bin_of, offset, _ = best_fit(rows.column("length").to_pylist(), length, most_open)
         first = rows.column("shard")[0].as_py() << 32
         rows = rows.drop_columns(["shard", "order"])
