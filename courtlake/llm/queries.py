@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake.llm import oracle
+from courtlake.llm.chat import format_chat, read_back
 from courtlake.llm.mixing import copies_of
 from courtlake.llm.near_copies import near_copies
 from courtlake.llm.packing import best_fit_packing
@@ -48,6 +49,21 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies_of(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql("""
+        SELECT CAST(x.conv_id AS BIGINT) AS conv_id, CAST(x.turn AS BIGINT) AS turn, x.role, x.text FROM VALUES
+        (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]') AS x(conv_id, turn, role, text)""")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    out = read_back(format_chat(rows))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
