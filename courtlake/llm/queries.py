@@ -11,6 +11,7 @@ from courtlake.llm.chat import format_chat, read_back
 from courtlake.llm.mixing import copies_of
 from courtlake.llm.near_copies import near_copies
 from courtlake.llm.packing import best_fit_packing
+from courtlake.llm.pages import extract_text
 from courtlake.llm.rules import BASE, learn_from, quality_rules
 from courtlake.llm.substrings import dedup_substrings
 
@@ -49,6 +50,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies_of(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql("""
