@@ -211,7 +211,7 @@ LABELLED = [
     """<body><div class="cookie-notice">We use cookies to make this page better for you. <a href=/c>Settings</a></div>
     <nav><a href=1>News</a></nav><main><h1>+ Trains run late again</h1><p>+ For the third time in this month trains between the two towns ran late, some of them by more than an hour.</p><p>+ Why?</p>
     <div class="advert">The best shoes of the year, now at a lower price in our shop in the city.</div><p>+ A broken switch, says the company, and promises to replace all of that type before winter comes.</p>
-    <form><p>Write to us if you were in one of these trains and tell us your story in a few words.</p></form></main><footer>Contact</footer></body>""",
+    <ul><li><a href=7>More on trains</a></li><li><a href=8>More on towns and what goes on in them</a></li></ul><form><p>Write to us if you were in one of these trains and tell us your story in a few words.</p></form></main><footer>Contact</footer></body>""",
     """<body><table><tr><td><a href=a>One</a><td><a href=b>Two</a><td><a href=c>Three</a></tr></table><p>+ This page has no article element, yet its text is plain to see since
     the paragraphs are long and hold no links at all, as is usual for prose of any kind.</p><p>+ A second paragraph follows the first one here, nearly as long as the first and just as free of links.</p>
     <p><a href=n>Next page</a> <a href=p>Last page</a></p><div class="sidebar"><p>About the author: a writer of long sentences who lives by the sea with two cats and a dog.</p></div></body>""",
@@ -222,6 +222,15 @@ LABELLED = [
     has been run by the same family for four generations, in summer and in winter.</div><div>+ Dogs may stay.</div><div>+ Each room has a view of the water, and on clear days the mountains on the other shore
     are so near that one could count the trees on them.</div><div><a href=4>Book a room</a></div><div>Open all year</div><div><a href=5>Imprint</a></div><div>Made by hand</div><div><a href=6>Top</a></div></body>""",
     """<body><nav><ul><li><a href=1>It</a></li></ul></nav><div class=ad>Yes.</div><article><h1>+ Yes.</h1><p>+ No.</p></article><footer>It is.</footer></body>""",
+    """<body><div class=ad>Now cheaper than ever.</div><p>+ Clay is dug in autumn and left outside through the winter, so that frost breaks it up and rain washes out the salt and the chalk that is in it.</p>
+    <div class="promo box">Three for two.</div><p>+ In spring it is stirred with water, let through a sieve and dried in the sun until it can be cut with a wire into blocks of equal weight.</p>
+    <div id=newsletter>Sign up here.</div><p>+ Only then does the potter take it to the wheel, where a morning is enough for forty cups or for a dozen of the large bowls.</p></body>""",
+    """<body><div class=ad>A good pen writes by itself.</div><article><p>+ He who wishes to write must first learn to look, for there is more to be seen in one street than in ten books, said the old man, and went on to mend his net.</p></article>
+    <div class=sponsored>Pens for all.</div><article><p>+ The net was green and had been mended so often that not one thread of the first was left in it, yet it was, he said, the net that his father had given to him.</p></article></body>""",
+    """<body><article><h1>+ A talk</h1><p>+ You came.</p><p>+ Yes.</p><p>+ I waited for you at the gate until it was dark and the last of the carts had gone by on its way home.</p><p>+ Why?</p><p>+ So.</p>
+    <p>+ Go on then and tell me what it is that you want of me, since you have come all this way.</p><p>+ Bread.</p><p>+ Bread?</p><p>+ Of course.</p></article><footer>Ends.</footer></body>""",
+    """<body><main><p>+ One of the boats came back at noon with its sails torn and nobody on board but the cook.</p><p>+ Rain.</p><p>+ All day.</p><p>+ Rain.</p>
+    <p>+ He said that they had left the others on the island, alive and well, and would fetch them soon.</p><p>+ So.</p></main><div>Contact</div><div><a href=1>Home</a></div></body>""",
     """<body><nav><li><a href=1>For all</a></li></nav><div class=ad>Of the to.</div><article><h1>+ In time</h1><p>+ Old.</p><p>+ It is as it was.</p><p>+ Go.</p></article><footer>A site of ours. We know who reads it and when they do.</footer></body>""",
 ]
 
