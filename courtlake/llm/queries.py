@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake.llm import oracle
 from courtlake.llm.chat import format_chat, read_back
+from courtlake.llm import langid
 from courtlake.llm.mixing import copies_of
 from courtlake.llm.near_copies import near_copies
 from courtlake.llm.packing import best_fit_packing
@@ -27,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold_of("doc_id", 3) == 1, F.lit(False))
+    model = langid.learn(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
