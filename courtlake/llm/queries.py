@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake.llm import oracle
 from courtlake.llm.chat import format_chat, read_back
-from courtlake.llm import langid
+from courtlake.llm import crf, langid
 from courtlake.llm.mixing import copies_of
 from courtlake.llm.near_copies import near_copies
 from courtlake.llm.packing import best_fit_packing
@@ -54,6 +54,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels")
+    model = crf.learn(docs, labels.where(langid.fold_of("doc_id", 5) != 0))
+    scored = crf.score_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
