@@ -15,6 +15,16 @@ STATEMENTS = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op5_embedding_near_dedup": """
+        WITH RECURSIVE u AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+        r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.other),
+        m AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id)
+        SELECT m.vec_id, count(e.b) AS n_links, any_value(component_id) AS component_id, m.vec_id = any_value(component_id) AS kept
+        FROM m LEFT JOIN e ON e.a = m.vec_id GROUP BY m.vec_id
+    """,
     "op8_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
