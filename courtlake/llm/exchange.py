@@ -11,7 +11,7 @@ is the same for the request and for the answer, so Spark reuses it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +63,12 @@ def n_chunks(docs: DataFrame, n_bytes: int, chunk_bytes: int) -> int:
     return max(1, -(-n_bytes // chunk_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ask(chunks: DataFrame, keys: Callable[[pa.Table], Keys], smaller: bool) -> DataFrame:
+def ask(chunks: DataFrame, keys: Callable[[pa.Table], tuple[Keys, Any]], smaller: bool) -> DataFrame:
     """A row (chunk, bucket, bits) per request. A bit says that the key has a smaller owner than here, or, if not
     ``smaller``, that it has more than one owner."""
 
     def request(table: pa.Table) -> pa.Table:
-        k = keys(table)
+        k, _ = keys(table)
         rows = []
         if len(k.key):
             heads = np.concatenate([[0], np.flatnonzero(np.diff(k.bucket)) + 1, [len(k.key)]])
@@ -110,19 +110,19 @@ def ask(chunks: DataFrame, keys: Callable[[pa.Table], Keys], smaller: bool) -> D
     return chunks.groupBy(CHUNK).applyInArrow(request, _REQUEST).groupBy(BUCKET).applyInArrow(judge, _ANSWER)
 
 
-def answered(chunks: DataFrame, answers: DataFrame, keys: Callable[[pa.Table], Keys], apply: Callable[[pa.Table, Keys, np.ndarray], pa.Table], schema: StructType) -> DataFrame:
-    """``apply(chunk's rows, its keys, one answer per distinct key)`` for every chunk."""
+def answered(chunks: DataFrame, answers: DataFrame, keys: Callable[[pa.Table], tuple[Keys, Any]], apply: Callable[[pa.Table, Keys, Any, np.ndarray], pa.Table], schema: StructType) -> DataFrame:
+    """``apply(chunk's rows, its keys, what else keys() made, one answer per distinct key)`` for every chunk."""
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _arrow(schema).empty_table()
-        k = keys(table)
+        k, made = keys(table)
         yes = np.zeros(len(k.key), dtype=bool)
         heads = {int(b): (lo, hi) for b, lo, hi in _heads(k.bucket)}
         for b, blob in zip(replies.column(BUCKET).to_pylist(), replies.column("bits").to_pylist()):
             lo, hi = heads[b]
             yes[lo:hi] = np.unpackbits(W.expand(blob, np.uint8), count=hi - lo).astype(bool)
-        return apply(table, k, yes)
+        return apply(table, k, made, yes)
 
     return chunks.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(finish, schema)
 

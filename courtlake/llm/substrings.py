@@ -101,13 +101,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         ids = table.column(id_col).cast(pa.int64()).combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         return w, h, leaf, at, np.repeat(ids, np.diff(before))
 
-    def keys(table: pa.Table) -> X.Keys:
-        _, h, leaf, at, owner = leaves(table)
-        return X.distinct((_groups(h, at, counts, levels, group_suffixes) % buckets).astype(np.int32), leaf, owner)
+    def keys(table: pa.Table) -> tuple[X.Keys, tuple]:
+        w, h, leaf, at, owner = leaves(table)
+        return X.distinct((_groups(h, at, counts, levels, group_suffixes) % buckets).astype(np.int32), leaf, owner), (w, at, owner)
 
-    def cut(table: pa.Table, k: X.Keys, elsewhere: np.ndarray) -> pa.Table:
-        w, _, _, at, owner = leaves(table)
-        gone = (elsewhere | False)[k.of] | (k.owner[k.of] < owner) if len(at) else np.zeros(0, bool)
+    def cut(table: pa.Table, k: X.Keys, made: tuple, elsewhere: np.ndarray) -> pa.Table:
+        w, at, owner = made
+        gone = elsewhere[k.of] | (k.owner[k.of] < owner) if len(at) else np.zeros(0, bool)
         edge = np.zeros(len(w.start) + 1, dtype=np.int64)  # +1 where a removed window starts, -1 behind its last word
         np.add.at(edge, at[gone], 1)
         np.add.at(edge, at[gone] + min_words, -1)
