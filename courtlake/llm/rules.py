@@ -22,10 +22,7 @@ FEATURES = {
     "word_length": "word_chars / greatest(n_words, 1)",
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "upper": "n_upper / greatest(word_chars, 1)",
-    "digits": "n_digits / greatest(word_chars, 1)",
     "marks": "n_marks / greatest(word_chars, 1)",
-    "ends": "n_ends / greatest(n_words, 1)",
-    "bars": "n_bars / greatest(n_words, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "words_a_line": "n_words / greatest(n_lines, 1)",
@@ -53,17 +50,16 @@ def repeat_words(words: str, window: int) -> str:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one struct column ``__s`` of a text's statistics; a null text has none of anything."""
     t, words, lines = "__t", "__words", "__lines"
-    removed = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    count = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
     out = docs.withColumn(t, F.coalesce(text, F.lit("")))
     out = out.withColumns({
         words: F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != ""),
         lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")),
     })
     stats = {
-        "n_words": F.size(words), "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")), "n_symbols": removed("#*$%&|<>"),
+        "n_words": F.size(words), "word_chars": F.length(F.array_join(words, "")), "n_symbols": count("#*$%&|<>"),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": F.expr(repeat_words(words, 8)),
-        "n_lines": F.size(lines), "n_upper": removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "n_digits": removed("0123456789"),
-        "n_marks": removed("!?"), "n_ends": removed(".!?"), "n_bars": removed("|"),
+        "n_lines": F.size(lines), "n_upper": count("A-Z"), "n_marks": count("!?"),
     }
     s = F.struct(*[c.cast("long").alias(n) for n, c in stats.items()])
     return out.withColumn("__s", s).drop(t, words, lines)
@@ -155,12 +151,13 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     ids = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__bad"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id", "__bad").limit(sample)
     rows = statistics(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(ids), "__id"), "__text")
-    rows = rows.where(~base_failed()).select("__id", "__bad", *[F.expr(e.replace("n_", "__s.n_").replace("word_chars", "__s.word_chars")).cast("double").alias(f) for f, e in FEATURES.items()])
-    rows = sorted(tuple(r) for r in rows.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect())
+    rows = rows.select("__id", "__bad", base_failed().alias("failed"), *[F.expr(e.replace("n_", "__s.n_").replace("word_chars", "__s.word_chars")).cast("double").alias(f) for f, e in FEATURES.items()])
+    # Failed rows go here, not in a filter: that would be pushed below the join and compute all documents' statistics.
+    rows = sorted(tuple(r) for r in rows.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect() if not r.failed)
     if not rows:
         return []
     values = np.array([r[1:] for r in rows], dtype=float)
-    return learn({f: values[:, 1 + i] for i, f in enumerate(FEATURES)}, values[:, 0] == 0)
+    return learn({f: values[:, 2 + i] for i, f in enumerate(FEATURES)}, values[:, 0] == 0)
 
 
 def verdict(rules: list[Rule], stats: str = "__s") -> Column:
