@@ -1,4 +1,4 @@
-"""The season ETL: read, derive, merge, write, aggregate; one lazy job graph for all games at once."""
+"""The season ETL: load the games that are missing, merge them into the stored tables, rebuild the aggregates they touch."""
 
 from __future__ import annotations
 
@@ -6,45 +6,58 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake import config as C
 from courtlake.operators import box as B, lineups as L
+from courtlake.session import scratch_path
 from courtlake.sources import feeds as S, sinks as W
+from courtlake.sources.store import Store
 
+_G = C.GAME_KEYS
 
-def load_season(
+
+def sync_games(
     spark: SparkSession, root: str, box: DataFrame, pbp: DataFrame, shots: DataFrame, schedule: DataFrame,
     metadata: DataFrame, teams: DataFrame, players: DataFrame | None = None,
 ) -> DataFrame:
-    """Write the league tables under ``root`` and report games total, loaded and missing per season."""
-    info = S.game_info(box, pbp)
-    games = W.patch_referees(W.load_games(W.seed_schedule(_empty_games(schedule), schedule).drop("change"), info).drop("change"), metadata)
-    W.write_table(teams, root, "teams")
-    bio = W.players_of(box)
+    """Load the played games that ``root`` lacks; report total, loaded and failed games per season.
+
+    A game is loaded when the feeds hold its boxscore and its plays, else it has failed and is tried again by the
+    next sync. Stored rows of other games, seasons, teams and players stay. All tables switch together at the end.
+    """
+    store = Store(spark, root)
+    missing = S.missing_games(schedule, store.read("boxscores"))
+    path = scratch_path(spark, "missing-games")
+    missing.join(box.select(*_G), _G, "left_semi").join(pbp.select(*_G), _G, "left_semi").write.parquet(path)
+    new = spark.read.schema("season INT, gamecode INT").parquet(path)
+    fresh = lambda df: df.join(new, _G, "left_semi")
+    seasons = sorted(r.season for r in new.select("season").distinct().collect())
+
+    merged = lambda df: df.drop("change")
+    scheduled = sorted(r.season for r in schedule.select("season").distinct().collect())
+    games = merged(W.seed_schedule(store.read("games", scheduled), schedule))
+    games = merged(W.load_games(games, S.game_info(fresh(box), fresh(pbp))))
+    store.stage("games", merged(W.patch_referees(games, metadata)))
+    clubs = merged(W.load_teams_from_schedule(store.read("teams"), teams))
+    store.stage("teams", merged(W.load_teams(clubs, fresh(box))))
+    people = merged(W.load_players(store.read("players"), fresh(box)))
     if players is not None:
-        bio = bio.join(players.select("player_id", "height", "birthdate", "position", "country"), "player_id", "left")
-    W.write_table(bio, root, "players")
-    W.write_table(games, root, "games")
-    W.write_table(box, root, "boxscores")
-    W.write_table(pbp, root, "play_by_play")
-    W.write_table(shots, root, "shots")
-    # What follows reads the written tables back, so it depends on files and not on the feeds' lineage.
-    stored_box, stored_pbp = W.read_table(spark, root, "boxscores"), W.read_table(spark, root, "play_by_play")
-    W.write_table(B.advanced_stats(stored_box), root, "player_advanced_stats")
-    run_season_aggregations(spark, root)
-    loaded = stored_box.select(*C.GAME_KEYS).distinct().withColumn("ok", F.lit(True))
-    return (
-        schedule.filter("played").select(*C.GAME_KEYS).join(loaded, C.GAME_KEYS, "left").groupBy("season")
-        .agg(F.count("*").alias("total"), F.count("ok").alias("loaded"), F.count_if(F.col("ok").isNull()).alias("failed"))
-    )
-
-
-def run_season_aggregations(spark: SparkSession, root: str) -> str:
-    """Season on/off splits from the stored plays and boxscores, written as their own table."""
-    box, pbp = W.read_table(spark, root, "boxscores"), W.read_table(spark, root, "play_by_play")
+        people = merged(W.merge(people, players.select("player_id", "height", "birthdate", "position", "country"), ["player_id"], insert=False))
+    store.stage("players", people)
+    if seasons:
+        for name, feed in (("boxscores", box), ("play_by_play", pbp), ("shots", shots)):
+            store.stage(name, W.replace_games(store.read(name, seasons), fresh(feed)))
+        adv = W.load_advanced_stats(store.read("player_advanced_stats", seasons), B.advanced_stats(fresh(store.read("boxscores", seasons))))
+        store.stage("player_advanced_stats", merged(adv))
+        aggregate_seasons(store, seasons)
+    store.commit()
+    done = new.withColumn("ok", F.lit(True))
+    known = store.read("boxscores").select(*_G).distinct().withColumn("stored", F.lit(True))
+    report = schedule.filter("played").select(*_G).join(done, _G, "left").join(known, _G, "left")
+    return report.groupBy("season").agg(F.count("*").alias("total"), F.count("ok").alias("loaded"), F.count_if(F.col("stored").isNull()).alias("failed"))
+
+
+def aggregate_seasons(store: Store, seasons: list[int]) -> None:
+    """Season on/off splits of the given seasons, from their stored plays and boxscores; other seasons are not read."""
+    box, pbp = store.read("boxscores", seasons), store.read("play_by_play", seasons)
     tagged = L.tag_segments(pbp, box)
     totals = L.segment_totals(tagged, L.segment_lineups(tagged, box))
-    return W.write_table(L.season_on_off(L.on_off_splits(totals, box)), root, "season_on_off_splits")
-
+    store.stage("season_on_off_splits", L.season_on_off(L.on_off_splits(totals, box)))
 
-def _empty_games(schedule: DataFrame) -> DataFrame:
-    """A ``games`` table without rows, for the first load."""
-    text = lambda c: F.lit(None).cast("string").alias(c)
-    return S.games_table(schedule).select("*", text("referee1"), text("referee2"), text("referee3")).filter(F.lit(False))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "courtlake", **conf: str) -> SparkSession:
@@ -43,8 +43,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on the shared folder, so a lost executor re-reads files and not the whole plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from courtlake import config as C, schemas as S
 from courtlake.functions import exprs as X
-from courtlake.session import scratch_path
 
 _G = C.GAME_KEYS
 Rule = Callable[[Column, Column], Column]
@@ -172,9 +171,3 @@ def write_table(df: DataFrame, root: str, name: str, columns: list[str] | None =
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(S.TABLES[name]).parquet(f"{root}/{name}")
 
-
-def store_and_reload(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: the written table replaces the lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

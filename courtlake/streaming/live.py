@@ -1,9 +1,9 @@
 """Live games: play-by-play files landing while a game is on.
 
-The source has no change feed; files may repeat plays already delivered. A
-watermark on the event time bounds the state of the de-duplication, and every
-sink write is keyed by micro-batch, so a restarted query overwrites its own
-output instead of adding to it.
+The source has no change feed; files may repeat plays, and plays may come late and out of order.
+Nothing is dropped for being late and no state is kept in the stream: each micro-batch is compared with
+the plays already stored of the games it touches, which lie in folders by season and game bucket, so only
+those are read. Every write is keyed by micro-batch, so a restarted query overwrites its own output.
 """
 
 from __future__ import annotations
@@ -17,53 +17,37 @@ from courtlake.sources.clean import clean_play_by_play
 
 _G = C.GAME_KEYS
 PLAY_KEY = ["season", "gamecode", C.PLAY_ORDER]
+GAME_BUCKETS = 64
+_BUCKET = f"CAST(pmod(gamecode, {GAME_BUCKETS}) AS INT)"
+_STORED = f"{S.TABLES['play_by_play']}, batch BIGINT, bucket INT"
 
 
-def play_stream(spark: SparkSession, landing: str, delay: str = "10 minutes", max_files: int | None = None) -> DataFrame:
-    """Cleaned plays from a landing folder, each play once within the watermark."""
+def play_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+    """Cleaned plays of a landing folder as they arrive, repeats included."""
     reader = spark.readStream.schema(S.RAW_PLAY_BY_PLAY)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.parquet(landing)
-    return clean_play_by_play(raw, keep=("TS",)).withWatermark("TS", delay).dropDuplicatesWithinWatermark(PLAY_KEY)
+    return clean_play_by_play(reader.parquet(landing))
 
 
-def live_score_stream(plays: DataFrame, ot_seconds: int = 300) -> DataFrame:
-    """Latest score and clock per game as a running aggregate (update mode)."""
-    return Q.live_score(plays, ot_seconds)
+def stored_plays(spark: SparkSession, out: str) -> DataFrame:
+    """Every play stored so far, once."""
+    return spark.read.schema(_STORED).parquet(f"{out}/plays")
 
 
 def _overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def _start(stream: DataFrame, handle, checkpoint: str, mode: str) -> StreamingQuery:
-    return (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(handle).start()
-    )
-
-
-def write_live_scores(plays: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Changed games of each micro-batch under ``out/batch=N``."""
-    return _start(live_score_stream(plays), lambda df, n: _overwrite(df, f"{out}/batch={n}"), checkpoint, "update")
-
-
-def latest_scores(spark: SparkSession, out: str) -> DataFrame:
-    """The newest row of every game over all micro-batches written so far."""
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    cols = [c for c in rows.columns if c not in (*_G, "batch")]
-    newest = rows.groupBy(*_G).agg(F.max_by(F.struct(*cols), "batch").alias("r"))
-    return newest.select(*_G, "r.*")
-
-
 def live_tables(plays: DataFrame, box: DataFrame) -> dict[str, DataFrame]:
     """Current lineups, active run, win probability and player table of the given games."""
     tagged = L.tag_segments(plays, box)
     totals = L.segment_totals(tagged, L.segment_lineups(tagged, box))
     return {
+        "scores": Q.live_score(plays),
         "current_lineups": L.current_lineups(totals),
         "active_run": Q.active_run(plays),
+        "momentum": Q.momentum_timeline(plays),
         "win_probability": Q.win_probability_timeline(plays),
     }
 
@@ -74,19 +58,35 @@ def live_players(box: DataFrame) -> DataFrame:
     return B.advanced_stats(box).filter(F.col("seconds") > 0).select(*cols).orderBy(*_G, F.desc("points"), "player_id")
 
 
-def write_live_games(plays: DataFrame, box: DataFrame, out: str, checkpoint: str, tables: tuple[str, ...] | None = None) -> StreamingQuery:
-    """Per micro-batch: append the new plays, then recompute the games they touch, and only those.
+def write_live_games(
+    plays: DataFrame, box: DataFrame, out: str, checkpoint: str, tables: tuple[str, ...] | None = None, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Per micro-batch: append the plays that are new, then recompute the games they touch, and only those.
 
-    ``out/plays/batch=N`` holds the plays, ``out/<table>/batch=N`` the results.
+    ``out/plays/batch=N`` holds the plays, ``out/<table>/batch=N`` the results. ``trigger`` is that of
+    ``DataStreamWriter.trigger``; by default what has landed is processed and the query ends.
     """
-    wanted = tables or ("current_lineups", "active_run", "win_probability", "players")
+    wanted = tables or ("scores", "current_lineups", "active_run", "momentum", "win_probability", "players")
 
     def handle(batch: DataFrame, n: int) -> None:
+        """An empty first micro-batch does not occur: Spark numbers only batches with data."""
         spark = batch.sparkSession
-        _overwrite(batch, f"{out}/plays/batch={n}")
-        every = spark.read.option("basePath", f"{out}/plays").parquet(f"{out}/plays/batch=*").filter(F.col("batch") <= n)
-        touched = spark.read.parquet(f"{out}/plays/batch={n}").select(*_G).distinct()
-        mine = every.join(touched, _G, "left_semi").drop("batch", "TS")
+        new = batch.dropDuplicates(PLAY_KEY).withColumn("bucket", F.expr(_BUCKET)).persist()
+        places = new.select("season", "bucket").distinct().collect()  # seasons times GAME_BUCKETS at most
+        if not places:
+            return
+        here = F.lit(False)
+        for season in {r.season for r in places}:
+            here = here | ((F.col("season") == season) & F.col("bucket").isin(sorted(r.bucket for r in places if r.season == season)))
+        fresh = new
+        if n:
+            before = stored_plays(spark, out).where((F.col("batch") < n) & here)
+            fresh = new.join(before.select(*PLAY_KEY), PLAY_KEY, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("season", "bucket").parquet(f"{out}/plays/batch={n}")
+        new.unpersist()
+        now = stored_plays(spark, out).where((F.col("batch") <= n) & here)
+        touched = now.where(F.col("batch") == n).select(*_G).distinct()
+        mine = now.join(touched, _G, "left_semi").drop("batch", "bucket")
         rows = box.join(touched, _G, "left_semi")
         built = live_tables(mine, rows) if set(wanted) - {"players"} else {}
         if "players" in wanted:
@@ -94,14 +94,14 @@ def write_live_games(plays: DataFrame, box: DataFrame, out: str, checkpoint: str
         for name in wanted:
             _overwrite(built[name], f"{out}/{name}/batch={n}")
 
-    return _start(plays, handle, checkpoint, "append")
+    return (
+        plays.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(handle).start()
+    )
 
 
 def latest_table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """Rows of each game from the last micro-batch that touched it."""
+    """Rows of each game from the last micro-batch that brought plays of it."""
     rows = spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch=*")
-    last = (
-        spark.read.option("basePath", f"{out}/plays").parquet(f"{out}/plays/batch=*")
-        .groupBy(*_G).agg(F.max("batch").alias("batch"))
-    )
+    last = stored_plays(spark, out).groupBy(*_G).agg(F.max("batch").alias("batch"))
     return rows.join(last, [*_G, "batch"], "left_semi").drop("batch")

@@ -6,19 +6,18 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_slices_end_like_the_batch(spark, tmp_path):
-    """A feed delivered in three slices, the middle one twice, ends in the batch result."""
+    """A feed delivered in slices, the last plays first and one slice twice, ends in the batch result."""
     lg = League(spark, SF)
     raw = lg.raw("play_by_play").filter("Gamecode = 4")
     landing, out, cp = (str(tmp_path / n) for n in ("landing", "live", "cp"))
     batch = lg.pbp.filter("gamecode = 4")
     box = lg.box.filter("gamecode = 4")
-    for i, (lo, hi) in enumerate([(1, 30), (25, 70), (25, 70), (60, 100)]):
+    for i, (lo, hi) in enumerate([(60, 100), (25, 70), (25, 70), (1, 30)]):
         raw.filter(f"TRUE_NUMBEROFPLAY BETWEEN {lo} AND {hi}").write.mode("append").parquet(landing)
-        R.write_live_games(R.play_stream(spark, landing, delay="30 days"), box, out, cp).awaitTermination()
-        R.write_live_scores(R.play_stream(spark, landing, delay="30 days"), out + "-scores", cp + "-scores").awaitTermination()
-    assert spark.read.parquet(out + "/plays").count() == batch.count() == 100
+        R.write_live_games(R.play_stream(spark, landing), box, out, cp).awaitTermination()
+    assert R.stored_plays(spark, out).count() == batch.count() == 100
     want = Q.live_score(batch).first()
-    assert R.latest_scores(spark, out + "-scores").first() == want
+    assert R.latest_table(spark, out, "scores").first() == want
     wp = sorted((r.play_number, r.home_wp) for r in R.latest_table(spark, out, "win_probability").collect())
     assert wp == sorted((r.play_number, r.home_wp) for r in Q.win_probability_timeline(batch).collect())
     cur = {r.team: r.lineup for r in R.latest_table(spark, out, "current_lineups").collect()}
