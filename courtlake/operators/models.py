@@ -163,25 +163,30 @@ def predict_lineups(model: PipelineModel, features: DataFrame) -> DataFrame:
     return model.transform(features).withColumnRenamed("prediction", "predicted_net_rtg").drop("raw", "features")
 
 
-def fifth_player_candidates(stats: DataFrame, players: DataFrame) -> DataFrame:
+def fifth_player_candidates(stats: DataFrame, players: DataFrame, box: DataFrame | None = None) -> DataFrame:
     """Every four-man core of a used lineup with every other team-mate of the season.
 
     Cores come from the five subsets of each lineup and candidates through an
-    equi join on season and team, so the row count follows the rosters.
+    equi join on season and team, so the row count follows the rosters. With
+    boxscores a player is a team-mate of every club played for in the season;
+    without them, of the first club only.
     """
     cores = stats.select("season", "team", F.explode(
         F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.filter(
             F.transform("lineup", lambda p, j: F.when(j != i, p)), lambda p: p.isNotNull()))
     ).alias("core")).distinct()
     mates = players.select("season", F.col("team_code").alias("team"), F.col("player_id").alias("candidate"))
+    if box is not None:
+        played = box.filter(F.col("seconds") > 0).select("season", F.col("team_code").alias("team"), F.col("player_id").alias("candidate")).distinct()
+        mates = played.join(mates.select("season", "candidate"), ["season", "candidate"], "left_semi")
     return cores.join(mates, ["season", "team"]).filter(~F.array_contains("core", F.col("candidate"))).withColumn(
         "lineup", F.array_sort(F.array_append("core", F.col("candidate")))
     )
 
 
-def best_fifth_player(model: PipelineModel, stats: DataFrame, players: DataFrame, n: int = 1) -> DataFrame:
+def best_fifth_player(model: PipelineModel, stats: DataFrame, players: DataFrame, n: int = 1, box: DataFrame | None = None) -> DataFrame:
     """Best candidates per core by predicted net rating; each distinct lineup is scored once."""
-    cand = fifth_player_candidates(stats, players)
+    cand = fifth_player_candidates(stats, players, box)
     keys = ["season", "team", "lineup"]
     scored = predict_lineups(model, lineup_features(cand.select(*keys).distinct(), players, keys)).select(*keys, "predicted_net_rtg")
     order = Window.partitionBy("season", "team", "core").orderBy(F.desc("predicted_net_rtg"), "candidate")

@@ -40,10 +40,11 @@ def assist_network(pairs: DataFrame) -> DataFrame:
     )
 
 
-def assist_matrix(links: DataFrame, scorers: list[str], value: str = "count") -> DataFrame:
-    """Passer rows by scorer columns. The scorer list is the caller's, so no extra job finds it."""
+def assist_matrix(links: DataFrame, value: str = "count") -> DataFrame:
+    """The matrix of passers and scorers in long form: a row per cell that is not zero, for every player.
+    A passer's row as a map is ``map_from_entries(collect_list(struct(shooter_id, value)))`` over it."""
     cell = F.count(F.lit(1)) if value == "count" else F.sum(value)
-    return links.groupBy("season", "team", "passer_id").pivot("shooter_id", scorers).agg(cell).na.fill(0)
+    return links.groupBy("season", "team", "passer_id", "shooter_id").agg(cell.alias(value))
 
 
 def _nearest_unused(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,69 +1,50 @@
-"""Final-standing probabilities from repeated draws of the remaining fixtures."""
+"""Final standings from the win probabilities of the remaining fixtures, in closed form."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from courtlake.functions import exprs as X
 from courtlake.operators import filters, league
 
 
-def hash_uniform(*parts) -> Column:
-    """Uniform number in [0, 1) from the first 32 bits of an MD5 digest; the same on every engine and retry."""
-    text = F.concat_ws("-", *[F.col(p) if isinstance(p, str) else p for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / 4294967296.0
+def _wins_of(chances) -> F.Column:
+    """P(0 wins), P(1 win), ... over independent games with the given chances, one game folded in after the other."""
+    more = lambda d, p: F.zip_with(
+        F.concat(F.transform(d, lambda x: x * (1 - p)), F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), F.transform(d, lambda x: x * p)), lambda a, b: a + b)
+    return F.aggregate(chances, F.array(F.lit(1.0)), more)
 
 
-def project_standings(games: DataFrame, efficiency: DataFrame, runs: int = 10_000, seed: int = 42) -> DataFrame:
-    """Probability of each finishing position, of the top 10/6/4 and of first place, per season and team.
-
-    Each fixture fans out into ``runs`` draws and each draw into a win for one
-    team; wins per (season, run, team) combine map-side. Ties are broken by a
-    hash. A season without fixtures has only its current order, at 100 percent.
+def project_standings(games: DataFrame, efficiency: DataFrame) -> DataFrame:
+    """Per season and team: expected wins and losses at the season's end, their rank, and ``distribution``, the exact
+    probability of each number of wins from the current one up. Equal expectations keep code order. A season without
+    fixtures has its current table. The list folded per team is no longer than a team's fixtures in a season.
     """
     standings = league.current_standings(games)
     rating = efficiency.select("season", F.col("team_code"), "net_rtg")
-    side = lambda s: rating.select("season", F.col("team_code").alias(f"{s}_team"), F.col("net_rtg").alias(f"{s}_net"))
+    side = lambda s: rating.select("season", F.col("team_code").alias(f"{s}_team"), F.col("net_rtg").alias(f"{s}_net"))
     fixtures = (
         filters.remaining_games(games)
         .join(side("home"), ["season", "home_team"], "left").join(side("away"), ["season", "away_team"], "left")
-        .na.fill(0.0, ["home_net", "away_net"])
-        .withColumn("p", X.win_probability("home_net", "away_net"))
-    )
-    count = fixtures.groupBy("season").agg(F.count("*").alias("games_simulated"))
-    draws = fixtures.repartition("season", "gamecode").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    home = hash_uniform(F.lit(seed), "season", "gamecode", "run") < F.col("p")
-    wins = draws.select(
-        "season", "run", F.when(home, F.col("home_team")).otherwise(F.col("away_team")).alias("team_code")
-    ).groupBy("season", "run", "team_code").agg(F.count("*").alias("w"))
-    left = fixtures.select("season", F.explode(F.array("home_team", "away_team")).alias("team_code")).groupBy(
-        "season", "team_code").agg(F.count("*").alias("left_games"))
-    # A completed season needs one deterministic run only.
-    table = standings.join(count, "season", "left").join(left, ["season", "team_code"], "left").na.fill(0, ["games_simulated", "left_games"])
-    seasons_runs = table.withColumn(
-        "run", F.explode(F.sequence(F.lit(0), F.when(F.col("games_simulated") > 0, runs - 1).otherwise(0)))
+        .na.fill(0.0, ["home_net", "away_net"]).withColumn("p", X.win_probability("home_net", "away_net"))
     )
-    final = seasons_runs.join(wins, ["season", "run", "team_code"], "left").withColumn("sim_wins", F.col("wins") + F.coalesce("w", F.lit(0)))
-    tie = hash_uniform(F.lit(seed), F.lit("tie"), "season", "run", "team_code")
-    # Without remaining fixtures equal records keep code order.
-    order = [F.desc("sim_wins"), F.desc(F.when(F.col("games_simulated") > 0, tie).otherwise(0.0)), F.col("team_code")]
-    placed = final.withColumn("pos", F.row_number().over(Window.partitionBy("season", "run").orderBy(*order)))
-    agg = placed.groupBy("season", "team_code", "pos").agg(F.count("*").alias("n"), F.sum("sim_wins").alias("sw"))
-    within = lambda k: F.sum(F.when(F.col("pos") <= k, F.col("n")).otherwise(0)) / F.sum("n") * 100
-    out = agg.groupBy("season", "team_code").agg(
-        (F.sum("sw") / F.sum("n")).alias("avg_wins"), within(10).alias("make_top_10_pct"), within(6).alias("make_top_6_pct"),
-        within(4).alias("make_top_4_pct"), within(1).alias("win_rs_pct"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("pos", "n")))).alias("positions"), F.sum("n").alias("runs"),
-    ).join(table.select("season", "team_code", F.col("wins").alias("current_wins"), F.col("losses").alias("current_losses"),
-                        "games_simulated", "left_games"), ["season", "team_code"])
-    rank = F.row_number().over(Window.partitionBy("season").orderBy(F.desc("avg_wins"), "team_code"))
-    return out.withColumn("proj_rank", rank).withColumn(
-        "avg_losses", F.col("current_wins") + F.col("current_losses") + F.col("left_games") - F.col("avg_wins")
-    ).drop("left_games")
-
-
-def position_table(projection: DataFrame) -> DataFrame:
-    """One row per team and finishing position with its probability in percent."""
-    return projection.select(
-        "season", "team_code", "runs", F.explode("positions").alias("position", "n")
-    ).select("season", "team_code", "position", (F.col("n") / F.col("runs") * 100).alias("pct"))
+    of = lambda team, p: F.struct(F.col(team).alias("team_code"), p.alias("p"))
+    chances = fixtures.select("season", "gamecode", F.explode(F.array(of("home_team", F.col("p")), of("away_team", 1 - F.col("p")))).alias("t"))
+    ahead = chances.groupBy("season", "t.team_code").agg(
+        F.count(F.lit(1)).alias("games_left"), F.array_sort(F.collect_list(F.struct("gamecode", F.col("t.p").alias("p")))).alias("g"))
+    left = F.coalesce("games_left", F.lit(0))
+    list_of = F.coalesce(F.transform("g", lambda x: x["p"]), F.array().cast("array<double>"))
+    out = standings.join(ahead, ["season", "team_code"], "left").select(
+        "season", "team_code", F.col("wins").alias("current_wins"), F.col("losses").alias("current_losses"), left.alias("games_left"), list_of.alias("p"),
+    ).withColumn("gain", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+    rank = F.row_number().over(Window.partitionBy("season").orderBy(F.desc("expected_wins"), "team_code"))
+    return out.select(
+        "season", "team_code", "current_wins", "current_losses", "games_left", (F.col("current_wins") + F.col("gain")).alias("expected_wins"),
+        (F.col("current_losses") + F.col("games_left") - F.col("gain")).alias("expected_losses"), _wins_of(F.col("p")).alias("distribution"),
+    ).withColumn("proj_rank", rank)
+
+
+def win_table(projection: DataFrame) -> DataFrame:
+    """One row per team and possible number of wins with its probability in percent."""
+    return projection.select("season", "team_code", "current_wins", F.posexplode("distribution").alias("more", "p")).select(
+        "season", "team_code", (F.col("current_wins") + F.col("more")).alias("wins"), (F.col("p") * 100).alias("pct"))

@@ -102,15 +102,15 @@ def percentile_ranks(df: DataFrame, columns: list[str] | None = None, inverted:
 
 
 def movers(projection: DataFrame) -> DataFrame:
-    """Current rank, distance to the projected rank, and bubble teams around the sixth place."""
+    """Current rank, distance to the projected rank, and bubble teams: those projected two places around the line between sixth and seventh."""
     rank = F.row_number().over(
-        Window.partitionBy("season").orderBy(F.desc("current_wins"), F.desc("avg_wins"), "team_code")
+        Window.partitionBy("season").orderBy(F.desc("current_wins"), F.desc("expected_wins"), "team_code")
     )
     diff = F.col("current_rank") - F.col("proj_rank")
     return projection.withColumn("current_rank", rank).withColumns(
         {
             "rank_diff": diff, "movement": F.when(diff > 0, "riser").when(diff < 0, "faller").otherwise("steady"),
-            "bubble": (F.col("make_top_6_pct") > 10) & (F.col("make_top_6_pct") < 90),
+            "bubble": F.col("proj_rank").between(5, 8),
         }
     )
 

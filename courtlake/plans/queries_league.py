@@ -432,10 +432,10 @@ def _pctl(c: str) -> str:
     return f"{'100 - ' if c == 'tov_pct' else ''}{r} AS {c}_pctl"
 
 
-_F5 = ["efg_pct", "tov_pct", "orb_pct", "ft_rate", "three_pt_rate"]
+_F6 = ["efg_pct", "tov_pct", "orb_pct", "ft_rate", "three_pt_rate", "pace"]
 
 
-@query("w5_percentile_ranks", f"SELECT season, team_code, {', '.join(map(_pctl, _F5))} FROM ({_FF})")
+@query("w5_percentile_ranks", f"SELECT season, team_code, {', '.join(map(_pctl, _F6))} FROM (SELECT * REPLACE (round(pace, 6) AS pace) FROM ({_FF}))")
 def _(lg):
-    df = W.percentile_ranks(T.four_factors(lg.adv, lg.games), _F5)
-    return df.select("season", "team_code", *[f"{c}_pctl" for c in _F5])
+    df = W.percentile_ranks(rounded(T.four_factors(lg.adv, lg.games), "pace"), _F6)
+    return df.select("season", "team_code", *[f"{c}_pctl" for c in _F6])

@@ -221,55 +221,46 @@ def _(lg):
 
 
 # -- projection ---------------------------------------------------------------
-_RUNS = 200
-
-
-def _uniform(text: str) -> str:
-    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296e0)"
-
-
-_PROJ = f"""
-  WITH st AS MATERIALIZED (SELECT season, team_code, count(*) FILTER (played AND pf > pa) AS w0, count(*) FILTER (played AND pf < pa) AS l0, count(*) FILTER (NOT played) AS left_games FROM (
+_PROJ = """
+  WITH RECURSIVE st AS MATERIALIZED (SELECT season, team_code, count(*) FILTER (played AND pf > pa) AS w0, count(*) FILTER (played AND pf < pa) AS l0 FROM (
       SELECT season, home_team AS team_code, played AND home_score IS NOT NULL AS played, home_score AS pf, away_score AS pa FROM fixtures
       UNION ALL SELECT season, away_team, played AND home_score IS NOT NULL, away_score, home_score FROM fixtures) GROUP BY 1, 2),
   fx AS MATERIALIZED (SELECT f.season, f.gamecode, f.home_team, f.away_team, 1 / (1 + exp(-(coalesce(h.net_rtg, 0) - coalesce(a.net_rtg, 0) + 2.5e0) / 10e0)) AS pr FROM fixtures f
       LEFT JOIN eff h ON h.season = f.season AND h.team_code = f.home_team LEFT JOIN eff a ON a.season = f.season AND a.team_code = f.away_team WHERE NOT played),
-  ng AS (SELECT season, count(*) AS games_simulated FROM fx GROUP BY 1),
-  dr AS (SELECT season, run, CASE WHEN {_uniform("'42-' || season || '-' || gamecode || '-' || run")} < pr THEN home_team ELSE away_team END AS team_code FROM fx, range({_RUNS}) r(run)),
-  wn AS (SELECT season, run, team_code, count(*) AS w FROM dr GROUP BY 1, 2, 3),
-  fin AS (SELECT s.season, s.team_code, r.run, s.w0 + coalesce(w.w, 0) AS sw FROM st s CROSS JOIN range({_RUNS}) r(run) LEFT JOIN wn w ON w.season = s.season AND w.run = r.run AND w.team_code = s.team_code),
-  pl AS (SELECT *, row_number() OVER (PARTITION BY season, run ORDER BY sw DESC, {_uniform("'42-tie-' || season || '-' || run || '-' || team_code")} DESC, team_code) AS pos FROM fin)"""
-_PROJ_AGG = f"""
-  SELECT p.*, row_number() OVER (PARTITION BY season ORDER BY avg_wins DESC, team_code) AS proj_rank FROM (
-    SELECT season, team_code, sum(sw) / {_RUNS} AS avg_wins, any_value(w0) AS current_wins, any_value(l0) AS current_losses, any_value(games_simulated) AS games_simulated,
-      any_value(w0) + any_value(l0) + any_value(left_games) - sum(sw) / {_RUNS} AS avg_losses, {', '.join(f'count(*) FILTER (pos <= {k}) / {_RUNS} * 100 AS {n}' for k, n in ((10, 'make_top_10_pct'), (6, 'make_top_6_pct'), (4, 'make_top_4_pct'), (1, 'win_rs_pct')))}
-    FROM pl JOIN st USING (season, team_code) JOIN ng USING (season) GROUP BY 1, 2) p"""
+  tf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY season, team_code ORDER BY gamecode) AS n FROM (
+      SELECT season, gamecode, home_team AS team_code, pr FROM fx UNION ALL SELECT season, gamecode, away_team, 1 - pr FROM fx)),
+  ex AS (SELECT season, team_code, w0 AS current_wins, l0 AS current_losses, count(pr) AS games_left, w0 + coalesce(sum(pr), 0) AS ew, l0 + count(pr) - coalesce(sum(pr), 0) AS el
+      FROM st LEFT JOIN tf USING (season, team_code) GROUP BY season, team_code, w0, l0),
+  pj AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY round(ew, 9) DESC, team_code) AS proj_rank FROM ex),
+  d AS (SELECT season, team_code, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS k, 1e0 AS q FROM st
+      UNION ALL SELECT d.season, d.team_code, d.i + 1, d.k + x.win, sum(d.q * CASE WHEN x.win = 1 THEN f.pr ELSE 1 - f.pr END)
+      FROM d JOIN tf f ON f.season = d.season AND f.team_code = d.team_code AND f.n = d.i + 1, (VALUES (0), (1)) x(win) GROUP BY d.season, d.team_code, d.i, d.k + x.win)"""
 
 
 def _projection(lg):
-    return P.project_standings(lg.fixtures, lg.efficiency, runs=_RUNS)
+    return P.project_standings(lg.fixtures, lg.efficiency)
 
 
-@query("m16_standings_projection", f"SELECT * FROM ({_PROJ} {_PROJ_AGG})")
+@query("m16_standings_projection", f"SELECT * FROM ({_PROJ} SELECT season, team_code, current_wins, current_losses, games_left, round(ew, 6) AS expected_wins, round(el, 6) AS expected_losses, proj_rank FROM pj)")
 def _(lg):
-    return _projection(lg).drop("positions", "runs")
+    return rounded(_projection(lg).drop("distribution"), "expected_wins", "expected_losses")
 
 
-@query("m16_position_probabilities", f"SELECT * FROM ({_PROJ} SELECT season, team_code, pos AS position, count(*) / {_RUNS} * 100 AS pct FROM pl GROUP BY 1, 2, 3)")
+@query("m16_win_distribution", f"SELECT * FROM ({_PROJ} SELECT season, team_code, current_wins + k AS wins, round(q * 100, 6) AS pct FROM d JOIN ex USING (season, team_code) WHERE i = games_left)")
 def _(lg):
-    return P.position_table(_projection(lg))
+    return rounded(P.win_table(_projection(lg)), "pct")
 
 
 @query("w6_movers", f"""
   SELECT *, CASE WHEN rank_diff > 0 THEN 'riser' WHEN rank_diff < 0 THEN 'faller' ELSE 'steady' END AS movement FROM (
-    SELECT season, team_code, proj_rank, current_rank, current_rank - proj_rank AS rank_diff, make_top_6_pct > 10 AND make_top_6_pct < 90 AS bubble FROM (
-      SELECT *, row_number() OVER (PARTITION BY season ORDER BY current_wins DESC, avg_wins DESC, team_code) AS current_rank FROM ({_PROJ} {_PROJ_AGG})))""")
+    SELECT season, team_code, proj_rank, current_rank, current_rank - proj_rank AS rank_diff, proj_rank BETWEEN 5 AND 8 AS bubble FROM (
+      SELECT *, row_number() OVER (PARTITION BY season ORDER BY current_wins DESC, round(ew, 9) DESC, team_code) AS current_rank FROM ({_PROJ} SELECT * FROM pj)))""")
 def _(lg):
     return W.movers(_projection(lg)).select("season", "team_code", "proj_rank", "current_rank", "rank_diff", "bubble", "movement")
 
 
 @query("w7_standing_tiers", f"""
   SELECT season, team_code, proj_rank, CASE WHEN proj_rank = 1 THEN '#1 Seed' WHEN proj_rank <= 4 THEN 'Home Court' WHEN proj_rank <= 6 THEN 'Playoffs' WHEN proj_rank <= 10 THEN 'Play-In' ELSE 'Eliminated' END AS tier
-  FROM ({_PROJ} {_PROJ_AGG})""")
+  FROM ({_PROJ} SELECT * FROM pj)""")
 def _(lg):
     return _projection(lg).select("season", "team_code", "proj_rank", W.standing_tier("proj_rank").alias("tier"))

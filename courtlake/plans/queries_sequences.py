@@ -291,14 +291,14 @@ def _(lg):
     return P.assist_network(lg.pairs)
 
 
-# The columns of the matrix are one club's nine players who never change clubs, a fixed roster list.
-_FEN = [f"P02{i:02d}" for i in range(9)]
+@query("p3_assist_matrix", "SELECT season, team, passer_id, shooter_id, count(*) AS count FROM pairs GROUP BY ALL")
+def _(lg):
+    return P.assist_matrix(lg.pairs)
 
 
-@query("p3_assist_matrix", f"""
-  SELECT season, team, passer_id, {', '.join(f"count(*) FILTER (shooter_id = '{i}') AS {i}" for i in _FEN)} FROM pairs GROUP BY 1, 2, 3""")
+@query("p3_assist_value_matrix", "SELECT season, team, passer_id, shooter_id, round(sum(xp), 6) AS xp FROM links GROUP BY ALL")
 def _(lg):
-    return P.assist_matrix(lg.pairs, _FEN)
+    return rounded(P.assist_matrix(lg.links, "xp"), "xp")
 
 
 _LCOLS = "season, gamecode, assist_play, passer_id, shooter_id, team, shot_value, play_type, num_anot, coord_x, coord_y, zone, xp"

@@ -350,40 +350,40 @@ def _(lg):
 
 
 # -- streams: overlapping slices of every game, the last plays first, one slice a micro-batch --
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple, str] = {}
 _SLICES = ("TRUE_NUMBEROFPLAY > 60", "TRUE_NUMBEROFPLAY BETWEEN 20 AND 70", "TRUE_NUMBEROFPLAY <= 30 OR TRUE_NUMBEROFPLAY > 90", "TRUE_NUMBEROFPLAY % 10 = 0")
 
 
-def _streamed(lg):
-    """The folder of live tables after all slices, once per application and data folder."""
+def _streamed(lg, *tables):
+    """The folder of the live tables after all slices, once per application, data folder and choice of tables."""
     from courtlake.streaming import live as R
 
-    key = (lg.spark.sparkContext.applicationId, lg.sf_dir)
+    key = (lg.spark.sparkContext.applicationId, lg.sf_dir, tables)
     if key not in _LANDED:
         landing, out, checkpoint = (scratch_path(lg.spark, n) for n in ("landing", "live", "live-checkpoint"))
         raw = lg.raw("play_by_play")
         for part in _SLICES:
             raw.filter(part).repartition(2, "Season", "Gamecode").write.mode("append").parquet(landing)
-            R.write_live_games(R.play_stream(lg.spark, landing), lg.box, out, checkpoint).awaitTermination()
+            R.write_live_games(R.play_stream(lg.spark, landing), lg.box, out, checkpoint, tables).awaitTermination()
         _LANDED[key] = out
     return R, _LANDED[key]
 
 
 @query("r1_live_plays", f"SELECT {_G}, true_numberofplay, playtype, player_id, points_a, points_b FROM pbp")
 def _(lg):
-    R, out = _streamed(lg)
+    R, out = _streamed(lg, "scores")
     return R.stored_plays(lg.spark, out).select("season", "gamecode", "true_numberofplay", "playtype", "player_id", "points_a", "points_b")
 
 
 @query("r2_live_scores", _LIVE_SCORE)
 def _(lg):
-    R, out = _streamed(lg)
+    R, out = _streamed(lg, "scores")
     return R.latest_table(lg.spark, out, "scores")
 
 
 @query("r3_live_lineups", f"SELECT {_G}, team, array_to_string(max_by(lineup, p), ',') AS lineup FROM sided GROUP BY 1, 2, 3")
 def _(lg):
-    R, out = _streamed(lg)
+    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
     return joined_text(R.latest_table(lg.spark, out, "current_lineups").select("season", "gamecode", "team", "lineup"), "lineup")
 
 
@@ -392,19 +392,19 @@ def _(lg):
   FROM (SELECT {_G}, true_numberofplay AS play_number, points_a AS home_score, points_b AS away_score,
     greatest(greatest(CASE WHEN period <= 4 THEN 2400 - ((period - 1) * 600 + 600 - clock_secs) ELSE clock_secs END, 0) / 2400e0, 0.01e0) AS f FROM pbp WHERE playtype IN ('2FGM', '3FGM', 'FTM'))""")
 def _(lg):
-    R, out = _streamed(lg)
+    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
     df = R.latest_table(lg.spark, out, "win_probability").select("season", "gamecode", "play_number", "home_score", "away_score", "home_wp")
     return df.withColumn("home_wp", F.round("home_wp", 9))
 
 
 @query("r4_live_players", f"SELECT {_G}, player_id, player_name, team_code, minutes, points, total_rebounds, assists, ts_pct, off_rating FROM adv WHERE seconds > 0")
 def _(lg):
-    R, out = _streamed(lg)
+    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
     return R.latest_table(lg.spark, out, "players")
 
 
 @query("r3_momentum", f"""
   SELECT {_G}, true_numberofplay AS play_number, points_a - points_b AS margin FROM pbp WHERE playtype IN ('2FGM', '3FGM', 'FTM')""")
 def _(lg):
-    R, out = _streamed(lg)
+    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
     return R.latest_table(lg.spark, out, "momentum").select("season", "gamecode", "play_number", F.col("score_diff").alias("margin"))

@@ -33,10 +33,10 @@ def clean_boxscores(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_play_by_play(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def clean_play_by_play(raw: DataFrame, keep: tuple[str, ...] = (), comment_length: int | None = None) -> DataFrame:
     """Trim ids, alias clubs, clock to seconds, score from the comment where the columns are empty.
 
-    ``keep`` names raw columns to carry along, such as an event time.
+    ``keep`` names raw columns to carry along, such as an event time; comments are cut only to a given length.
     """
     score = lambda column, side: F.coalesce(X.safe_double(column).cast("int"), X.comment_score("COMMENT", side))
     return raw.select(
@@ -49,7 +49,7 @@ def clean_play_by_play(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.col("NUMBEROFPLAY").alias("numberofplay"),
         F.coalesce(F.col("TRUE_NUMBEROFPLAY"), F.col("NUMBEROFPLAY")).alias("true_numberofplay"),
         score("POINTS_A", 1).alias("points_a"), score("POINTS_B", 2).alias("points_b"),
-        X.clean_text("COMMENT", 500).alias("comment"), *keep,
+        X.clean_text("COMMENT", comment_length).alias("comment"), *keep,
     )
 
 

@@ -36,13 +36,13 @@ def merge(
 ) -> DataFrame:
     """Stored rows with ``updates`` applied.
 
-    ``updates`` holds one row per key. ``rules`` decides a column of a row found
+    Of several updates of one key one is taken. ``rules`` decides a column of a row found
     on both sides; columns the updates lack stay as stored. ``insert=False``
     ignores unknown keys. ``change`` says inserted, updated or kept.
     """
     rules = rules or {}
     old = stored.withColumn("__in_old", F.lit(True))
-    new = updates.select(*keys, *[F.col(c).alias(f"__n_{c}") for c in updates.columns if c not in keys]).withColumn(
+    new = updates.dropDuplicates(keys).select(*keys, *[F.col(c).alias(f"__n_{c}") for c in updates.columns if c not in keys]).withColumn(
         "__in_new", F.lit(True)
     )
     df = old.join(new, keys, "full_outer" if insert else "left")

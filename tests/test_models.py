@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -38,17 +40,22 @@ def test_projection_adds_up_and_follows_ratings(spark, make):
     games = make.games([(2024, i, i, h, a, None, None, "2025-01-01", False) for i, (h, a) in enumerate(pairs, 1)]
                        + [(2023, 1, 1, "AAA", "BBB", 70, 80, "2024-01-01", True)])
     eff = spark.createDataFrame([(2024, t, r) for t, r in zip(teams, (20.0, 5.0, -5.0, -20.0))], "season int, team_code string, net_rtg double")
-    df = P.project_standings(games, eff, runs=300).persist()
-    pos = P.position_table(df)
-    for key in ("team_code", "position"):
-        for r in pos.filter("season = 2024").groupBy(key).sum("pct").collect():
-            assert r["sum(pct)"] == pytest.approx(100)
+    df = P.project_standings(games, eff).persist()
     top = {r.team_code: r for r in df.filter("season = 2024").collect()}
-    wins = [top[t].avg_wins for t in teams]
-    assert wins == sorted(wins, reverse=True) and sum(wins) == pytest.approx(12)
-    assert top["AAA"].avg_wins + top["AAA"].avg_losses == pytest.approx(6)
-    done = {r.team_code: (r.win_rs_pct, r.games_simulated) for r in df.filter("season = 2023").collect()}
-    assert done == {"BBB": (100.0, 0), "AAA": (0.0, 0)}
+    wins = [top[t].expected_wins for t in teams]
+    assert wins == sorted(wins, reverse=True) and sum(wins) == pytest.approx(12) and [top[t].proj_rank for t in teams] == [1, 2, 3, 4]
+    assert top["AAA"].expected_wins + top["AAA"].expected_losses == pytest.approx(6)
+    for r in top.values():  # against the sum over all outcomes of the six games
+        net = dict(zip(teams, (20.0, 5.0, -5.0, -20.0)))
+        p = [1 / (1 + math.exp(-(net[h] - net[a] + 2.5) / 10)) if h == r.team_code else 1 - 1 / (1 + math.exp(-(net[h] - net[a] + 2.5) / 10)) for h, a in pairs if r.team_code in (h, a)]
+        want = [0.0] * 7
+        for outcome in itertools.product((0, 1), repeat=6):
+            want[sum(outcome)] += math.prod(x if w else 1 - x for x, w in zip(p, outcome))
+        assert r.distribution == pytest.approx(want)
+        assert sum(k * x for k, x in enumerate(r.distribution)) == pytest.approx(r.expected_wins)
+    done = {r.team_code: (r.current_wins, r.games_left, r.distribution, r.proj_rank) for r in df.filter("season = 2023").collect()}
+    assert done == {"BBB": (1, 0, [1.0], 1), "AAA": (0, 0, [1.0], 2)}
+    assert P.win_table(df).filter("season = 2024").count() == 28
 
 
 def test_win_model_prefers_the_better_team(spark, tmp_path):
