@@ -124,10 +124,19 @@ def _(lg):
 
 @query("m7_best_fifth_player")
 def _(lg):
-    df = M.best_fifth_player(_lineup_model(lg), L.lineup_stats(lg.totals), lg.player_features)
+    df = M.best_fifth_player(_lineup_model(lg), L.lineup_stats(lg.totals), lg.player_features, box=lg.box)
     return joined_text(df, "core")
 
 
+@query("m7_fifth_player_candidates", """
+  SELECT DISTINCT l.season, l.team, array_to_string(list_sort(list_filter(l.lineup, lambda p: p <> x.out_id)), ',') AS core, b.player_id AS candidate
+  FROM lineup_stats l, LATERAL (SELECT unnest(l.lineup) AS out_id) x JOIN (SELECT DISTINCT season, team_code, player_id FROM box WHERE seconds > 0) b ON b.season = l.season AND b.team_code = l.team
+  WHERE NOT list_contains(list_filter(l.lineup, lambda p: p <> x.out_id), b.player_id)""")
+def _(lg):
+    df = M.fifth_player_candidates(L.lineup_stats(lg.totals), lg.player_features, lg.box)
+    return joined_text(df.select("season", "team", F.array_sort("core").alias("core"), "candidate"), "core").distinct()
+
+
 _CAT = {m: c for c, ms in C.RADAR_CATEGORIES.items() for m in ms}
 _ASK = " UNION ALL ".join(f"SELECT season, team, lineup, '{c}' AS category, '{m.split('_', 1)[1]}' AS stat, round({m}, 12) AS v FROM lf" for m, c in _CAT.items())
 _POOLV = " UNION ALL ".join(f"SELECT season, '{s}' AS stat, round({s}, 12) AS v FROM pf" for s in sorted({m.split('_', 1)[1] for m in _CAT}))
