@@ -52,8 +52,11 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int =
     Rows without a language teach nothing. The counts that reach the driver are ``CELLS`` per language at most.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = rows.join(count, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) * F.col("n") < F.lit(sample << 30)).select("lang", "text")
+    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
+    if not count:
+        return Model([], np.zeros((CELLS, 0), np.float32))
+    share = F.create_map(*[F.lit(x) for r in count for x in (r.lang, min(1 << 30, (sample << 30) // r.n))])
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
