@@ -67,6 +67,20 @@ def _(lg):
     return M.predict_games(_win_model(lg), M.fixture_features(fixtures, lg.games, lg.efficiency, F.to_date(F.lit("2025-06-30"))))
 
 
+@query("m2_win_model_balance", "SELECT count(*) AS games, round(CAST(sum(CASE WHEN home_score > away_score THEN 1 ELSE 0 END) AS DOUBLE), 1) AS expected_home_wins FROM games WHERE played AND home_score IS NOT NULL")
+def _(lg):
+    """The intercept is not penalised, so the probabilities of the training games add up to their home wins."""
+    df = M.predict_games(_win_model(lg), M.game_features(lg.games, lg.efficiency))
+    return df.agg(F.count(F.lit(1)).alias("games"), F.round(F.sum("home_win_prob"), 1).alias("expected_home_wins"))
+
+
+@query("m3_matchup_fixtures", "SELECT season, gamecode, home_team, away_team, TRUE AS possible FROM fixtures WHERE NOT played")
+def _(lg):
+    fixtures = FL.remaining_games(lg.fixtures)
+    df = M.predict_games(_win_model(lg), M.fixture_features(fixtures, lg.games, lg.efficiency, F.to_date(F.lit("2025-06-30"))))
+    return df.select("season", "gamecode", "home_team", "away_team", ((F.col("home_win_prob") > 0) & (F.col("home_win_prob") < 1)).alias("possible"))
+
+
 # -- lineups ------------------------------------------------------------------
 _PF = f"""
   SELECT season, player_id, player_name, team_code, games, secs / 60e0 / greatest(games, 1) AS minutes_pg, pts * 50 / (fga * 100 + fta * 44) AS ts_pct, us / po AS true_usg_pct, st * 100 / po AS stop_rate,
@@ -122,6 +136,20 @@ def _(lg):
     return joined_text(df.select(*_KEYS, "predicted_net_rtg", X.net_rating_tier("predicted_net_rtg").alias("tier")), "lineup")
 
 
+@query("m6_lineup_prediction_rows", f"SELECT season, team, array_to_string(lineup, ',') AS lineup, TRUE AS finite FROM ({_LF})")
+def _(lg):
+    df = M.predict_lineups(_lineup_model(lg), _lineup_features(lg))
+    finite = F.col("predicted_net_rtg").isNotNull() & ~F.isnan("predicted_net_rtg") & (F.abs("predicted_net_rtg") < 1e6)
+    return joined_text(df.select(*_KEYS, finite.alias("finite")), "lineup")
+
+
+@query("m6_lineup_model_fit", "SELECT TRUE AS better_than_the_mean FROM (SELECT count(*) AS n FROM lineup_stats WHERE events >= 30) WHERE n > 0")
+def _(lg):
+    """On its training rows the model's squared error is below that of the mean."""
+    df = M.predict_lineups(_lineup_model(lg), _training(lg).withColumnRenamed("net_rtg", "actual"))
+    return df.agg((F.avg(F.pow(F.col("actual") - F.col("predicted_net_rtg"), 2)) < F.var_pop("actual")).alias("better_than_the_mean"))
+
+
 @query("m7_best_fifth_player")
 def _(lg):
     df = M.best_fifth_player(_lineup_model(lg), L.lineup_stats(lg.totals), lg.player_features, box=lg.box)
@@ -166,6 +194,15 @@ def _(lg):
     return M.predict_games(M.load_model(path), M.game_features(lg.games, lg.efficiency))
 
 
+@query("m10_saved_model_differences", "SELECT count(*) AS games, 0 AS differing FROM games WHERE played AND home_score IS NOT NULL")
+def _(lg):
+    model = _win_model(lg)
+    again = M.load_model(M.save_model(model, scratch_path(lg.spark, "copy")))
+    features = M.game_features(lg.games, lg.efficiency)
+    both = M.predict_games(model, features).join(M.predict_games(again, features).withColumnRenamed("home_win_prob", "p2"), ["season", "gamecode", "home_team", "away_team"])
+    return both.agg(F.count(F.lit(1)).alias("games"), F.count_if(F.col("home_win_prob") != F.col("p2")).alias("differing"))
+
+
 # -- team style ---------------------------------------------------------------
 def _factors(lg):
     return T.four_factors(lg.adv, lg.games).persist()
@@ -176,6 +213,29 @@ def _(lg):
     return M.cluster_teams(_factors(lg))[0]
 
 
+@query("m11_cluster_checks", f"SELECT season, count(*) AS teams, 0 AS nearer_to_another, TRUE AS own_names FROM ({_FF}) GROUP BY season")
+def _(lg):
+    """No team is nearer to another centroid than to its own, and no two clusters share a name."""
+    factors = _factors(lg)
+    scored, km, _ = M.cluster_teams(factors)
+    z = M.standardise(factors, C.FOUR_FACTORS, ["season"])
+    far = [sum((F.pow(F.col(f"{c}_z") - float(v), 2) for c, v in zip(C.FOUR_FACTORS, centre)), F.lit(0.0)) for centre in km.clusterCenters()]
+    own = F.element_at(F.array(*far), F.col("cluster_id") + 1)
+    df = scored.select("season", "team_code", "cluster_id", "cluster_name").join(z, ["season", "team_code"]).withColumn("off", own > F.least(*far) + 1e-9)
+    names = df.groupBy("season", "cluster_name").agg(F.countDistinct("cluster_id").alias("k")).groupBy("season").agg((F.max("k") == 1).alias("own_names"))
+    return df.groupBy("season").agg(F.count(F.lit(1)).alias("teams"), F.count_if("off").alias("nearer_to_another")).join(names, "season")
+
+
+@query("m11_pca_loadings", "SELECT 2 AS components, TRUE AS orthonormal")
+def _(lg):
+    """Two components over the factors, of length one and at right angles; the row is made on Spark from the fitted model."""
+    _, _, pca = M.cluster_teams(_factors(lg))
+    load = lg.spark.createDataFrame(M.pca_loadings(pca))
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+    near = lambda c, v: F.abs(c - v) < 1e-6
+    return load.agg(F.lit(2).alias("components"), (near(dot("pc1", "pc1"), 1) & near(dot("pc2", "pc2"), 1) & near(dot("pc1", "pc2"), 0)).alias("orthonormal"))
+
+
 @query("m12_cluster_names")
 def _(lg):
     scored = M.cluster_teams(_factors(lg))[0]
