@@ -73,13 +73,6 @@ STYLE_TEMPLATES = {
     "Balanced / Elite": {"efg_pct": 1, "tov_pct": -1, "orb_pct": 0.5, "ft_rate": 0.5},
 }
 
-STYLE_NOTES = {
-    "Pace & Space": "fast tempo and many efficient threes",
-    "Defensive Grinders": "slow tempo, few turnovers and second chances",
-    "Rebound Dominant": "offensive rebounds, free throws and a slower game",
-    "Balanced / Elite": "efficient shooting, few turnovers, solid rebounding",
-}
-
 SIMILARITY_FEATURES = [
     "ts_pct", "true_usg_pct", "stop_rate", "assist_ratio", "ast_tov_ratio", "orb_pct",
     "drb_pct", "three_pt_rate", "ft_rate", "steals_pg", "blocks_pg",

@@ -296,11 +296,19 @@ def pca_loadings(pca) -> list[dict]:
     ]
 
 
+_STYLE_NOTES = {
+    "Pace & Space": "fast tempo and many efficient threes",
+    "Defensive Grinders": "slow tempo, few turnovers and second chances",
+    "Rebound Dominant": "offensive rebounds, free throws and a slower game",
+    "Balanced / Elite": "efficient shooting, few turnovers, solid rebounding",
+}
+
+
 def style_profiles(factors: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """Cluster, components, raw factors and percentiles of every team-season."""
     scored, _, _ = cluster_teams(factors, k, seed)
     ranks = W.percentile_ranks(factors).select("season", "team_code", *[f"{c}_pctl" for c in C.FOUR_FACTORS])
-    note = F.coalesce(F.try_element_at(X.literal_map(C.STYLE_NOTES), F.col("cluster_name")), F.lit("a style of its own"))
+    note = F.coalesce(F.try_element_at(X.literal_map(_STYLE_NOTES), F.col("cluster_name")), F.lit("a style of its own"))
     return scored.join(ranks, ["season", "team_code"]).withColumn("style_note", note)
 
 
