@@ -14,18 +14,14 @@ def _team():
 
 def recent_form(games: DataFrame, n: int = 5) -> DataFrame:
     """Mean point difference of the last ``n`` games played in earlier rounds; 0 without any."""
-    played = F.when(
-        F.col("played") & F.col("pts_for").isNotNull() & F.col("pts_against").isNotNull(),
-        F.struct("round", (F.col("pts_for") - F.col("pts_against")).alias("diff")),
-    )
-    so_far = F.collect_list(played).over(_team().orderBy("round", "gamecode").rowsBetween(Window.unboundedPreceding, -1))
-    df = team_games(games).withColumn("past", so_far)
-    before = F.filter("past", lambda g: g["round"] < F.col("round"))
-    last = F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n)
-    total = F.aggregate(last, F.lit(0).cast("bigint"), lambda acc, g: acc + g["diff"])
+    done = F.coalesce(F.col("played"), F.lit(False)) & F.col("pts_for").isNotNull() & F.col("pts_against").isNotNull()
+    df = team_games(games).withColumn("done", done)
+    last = Window.partitionBy("season", "team_code", "done").orderBy("round", "gamecode").rowsBetween(1 - n, 0)
+    after = F.when(F.col("done"), F.struct("round", "gamecode", F.avg(F.col("pts_for") - F.col("pts_against")).over(last).alias("form")))
+    earlier = _team().orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("after", after)
     return df.select(
-        "season", "gamecode", "team_code", "is_home", "round",
-        F.when(F.size(last) > 0, total / F.size(last)).otherwise(0.0).alias("form"),
+        "season", "gamecode", "team_code", "is_home", "round", F.coalesce(F.max("after").over(earlier)["form"], F.lit(0.0)).alias("form"),
     )
 
 
