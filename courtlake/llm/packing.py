@@ -27,7 +27,7 @@ _BREAK = "<|endoftext|>"
 class WordEncoder:
     """Ids of texts by whole words. White space never joins two words into a token, so a text's ids are its words' ids in order."""
 
-    def __init__(self, path: str, most_words: int = 1 << 20):
+    def __init__(self, path: str, most_words: int = 3 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,10 +36,11 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.key, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of words, sorted, and their places
         self.start, self.count, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.uint32), 0
 
-    def _add(self, keys: list[int], words: list[str]) -> None:
+    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+        """``keys`` are sorted and none is known."""
         ids, ends = [], []
         plain = [i for i, w in enumerate(words) if "<|" not in w]
         odd = [i for i, w in enumerate(words) if "<|" in w]
@@ -57,7 +58,7 @@ class WordEncoder:
             ids.append(got)
         order = np.concatenate([p for p, _ in ends]).astype(np.int64)
         count, new = np.concatenate([c for _, c in ends]), np.concatenate(ids)
-        have, n = len(self.slot), len(order)
+        have, n = len(self.key), len(order)
         while len(self.start) < have + n:
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
         while len(self.flat) < self.used + len(new):
@@ -66,7 +67,10 @@ class WordEncoder:
         self.count[have : have + n] = count
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
-        self.slot.update((keys[i], have + k) for k, i in enumerate(order.tolist()))
+        slot = np.empty(n, dtype=np.int32)
+        slot[order] = np.arange(have, have + n)
+        at = np.searchsorted(self.key, keys)
+        self.key, self.slot = np.insert(self.key, at, keys), np.insert(self.slot, at, slot)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column, and how many there are before each text (one more than texts)."""
@@ -76,16 +80,19 @@ class WordEncoder:
         h = W.hashes(w)
         order = np.argsort(h)
         new = np.concatenate([[True], np.diff(h[order]) != 0])
-        at, key = order[new], h[order][new].tolist()
+        at, key = order[new], h[order][new]
         inverse = np.empty(len(h), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        if len(self.slot) > self.most:
+        if len(self.key) > self.most:
             self.clear()
-        missing = [i for i, k in enumerate(key) if k not in self.slot]
-        if missing:
-            data, s, e = w.data.tobytes(), w.start[at].tolist(), w.end[at].tolist()
-            self._add([key[i] for i in missing], [data[s[i] : e[i]].decode() for i in missing])
-        slot = np.array([self.slot[k] for k in key], dtype=np.int64)[inverse]
+        place = np.searchsorted(self.key, key)
+        known = place < len(self.key)
+        known[known] = self.key[place[known]] == key[known]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            data, s, e = w.data.tobytes(), w.start[at[missing]].tolist(), w.end[at[missing]].tolist()
+            self._add(key[missing], [data[x:y].decode() for x, y in zip(s, e)])
+        slot = self.slot[np.searchsorted(self.key, key)][inverse]
         count = self.count[slot]
         before = np.concatenate([[0], np.cumsum(count)])
         take = np.arange(before[-1]) + np.repeat(self.start[slot] - before[:-1], count)

@@ -102,7 +102,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(n, base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have)
-        if n <= 1 << 22:
+        if n <= 3 << 20:
             _POWERS[int(base)] = have
     return have[:n]
 
