@@ -62,10 +62,9 @@ def test_insight_text(spark):
     monthly = spark.createDataFrame([(2024, "AAA"), (2023, "AAA")], "season int, team_code string")
     curve = spark.createDataFrame([("AAA", m, x) for m, x in zip(range(1, 9), [0.0, 0.0, 0.0, 0.0, -4.0, -4.0, 4.0, 4.0])], "team_code string, month_index int, x_net_rtg double")
     r = T.form_insights(monthly, curve).first()
-    assert r.insight == ("Based on 2 season(s), the model detects a slump (-4.0 Net Rating) during February and March, "
-                         "followed by a surge (+4.0 Net Rating) starting in April.")
+    assert r.insight == "Over 2 season(s): late winter brings a slump of -4.0 points per 100 possessions, spring a surge of +4.0."
     flat = curve.withColumn("x_net_rtg", F.lit(1.5))
-    assert "no statistically significant" in T.form_insights(monthly, flat).first().insight
+    assert "stays near its mean of +1.5" in T.form_insights(monthly, flat).first().insight
 
 
 def test_top_n_and_concat(spark):
