@@ -24,7 +24,6 @@ FEATURES = {
     "upper": "n_upper / greatest(word_chars, 1)",
     "marks": "n_marks / greatest(word_chars, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "again": "n_again / greatest(n_words, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "words_a_line": "n_words / greatest(n_lines, 1)",
 }
@@ -61,7 +60,6 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_words": F.size(words), "word_chars": F.length(F.array_join(words, "")), "n_symbols": count("#*$%&|<>"),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": F.expr(repeat_words(words, 8)),
         "n_lines": F.size(lines), "n_upper": count("A-Z"), "n_marks": count("!?"),
-        "n_again": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))),
     }
     s = F.struct(*[c.cast("long").alias(n) for n, c in stats.items()])
     return out.withColumn("__s", s).drop(t, words, lines)
