@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +27,11 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-SKIPPED = set("applet audio button canvas head iframe map math noscript object script select style svg template textarea title video".split())
+SKIPPED = set("applet audio button canvas iframe map math noscript object script select style svg template textarea title video".split())
+RAW = {"script", "style", "textarea", "title"}  # hold no tags; without an end tag they go on to the page's end, as in browsers
+FOREIGN = {"svg", "math"}
+ENDS_SKIPPED = BLOCK - {"option"} | {"a"}
+HTML_WITHIN = {"foreignobject", "desc", "annotation-xml"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option"}
 FURNITURE_TAGS = set("aside dialog footer form header menu nav search".split())
@@ -40,6 +45,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _CUT_OFF = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
+_RAW_END |= {n: re.compile(rf"<(/?){n}(?=[\s/>])[^>]*>?", re.I) for n in ("iframe", "noscript")}  # cannot nest, so a second start says that the end is missing
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -57,13 +64,85 @@ def _names_furniture(attributes: str) -> bool:
     return any(t.lower() in FURNITURE for m in _NAMES.finditer(attributes) for t in _TOKEN.findall(m[1] or m[2] or m[3] or ""))
 
 
+def _tags(page: str) -> tuple[list[re.Match], dict[int, tuple[int, int]]]:
+    """The page's tags and, for each that opens what is never shown, the tag and the place in the page to go on from.
+
+    Scripts and their like end at their own end tag, whatever looks like a tag in them. Other skipped elements end at theirs too; where
+    it is missing, at the next block-level tag or link, or at once if none follows. An end tag of a block around them, a second button or
+    select, and a block inside a drawing or formula mean that it is missing."""
+    out: list[re.Match] = []
+    after: dict[int, tuple[int, int]] = {}
+    open_: list[tuple[str, int, bool]] = []  # name, tag, whether drawing or formula
+    lost: list[int] = []
+    never: set[str] = set()
+    pos = 0
+    while m := _TAG.search(page, pos):
+        pos, k, name = m.end(), len(out), (m[2] or "").lower()
+        out.append(m)
+        if name not in BLOCK and name not in SKIPPED and name not in HTML_WITHIN:
+            continue
+        foreign = bool(open_) and open_[-1][2]
+        if m[1]:
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] == name:
+                    lost += [j for n, j, _ in open_[i + 1 :] if n in SKIPPED]
+                    if name in SKIPPED:
+                        after[open_[i][1]] = (k + 1, pos)
+                    del open_[i:]
+                    break
+                if open_[i][0] in ("applet", "object", "template") and name not in SKIPPED:
+                    break
+            continue
+        closed = m[3].rstrip().endswith("/")
+        if name in _RAW_END and not foreign:
+            if closed and name not in RAW:
+                after[k] = (k + 1, pos)
+                continue
+            end = None if name in never else _RAW_END[name].search(page, pos)
+            if not end:
+                never.add(name)
+            if end and (name in RAW or end[1]):
+                pos = end.end()
+            elif name in RAW:
+                pos = len(page)
+            else:
+                lost.append(k)
+                continue
+            after[k] = (k + 1, pos)
+        elif name in SKIPPED:
+            if closed:
+                after[k] = (k + 1, pos)
+                continue
+            if name in ("button", "select"):
+                i = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
+                if i is not None:
+                    lost += [j for n, j, _ in open_[i:] if n in SKIPPED]
+                    del open_[i:]
+            open_.append((name, k, foreign or name in FOREIGN))
+        elif name in HTML_WITHIN:
+            if foreign and not closed:
+                open_.append((name, k, False))
+        elif name not in VOID:
+            while open_ and open_[-1][2]:
+                n, j, _ = open_.pop()
+                if n in SKIPPED:
+                    lost.append(j)
+            open_.append((name, k, False))
+    lost += [j for n, j, _ in open_ if n in SKIPPED]
+    at = [k for k, m in enumerate(out) if (m[2] or "").lower() in ENDS_SKIPPED] if lost else []
+    for j in lost:
+        i = bisect_right(at, j)
+        after[j] = (at[i], out[at[i]].start()) if i < len(at) else (j + 1, out[j].end())
+    return out, after
+
+
 def blocks(page: str) -> list[Block]:
     """The page's flat blocks in order; markup, comments and what is never shown are left out. Broken markup does not matter:
     an end tag without its start is ignored, one that is missing is implied by what follows, a tag cut off by the page's end goes."""
     out: list[Block] = []
     open_: list[tuple[str, int, int]] = []  # name, furniture containers, article containers up to here
     parts: list[tuple[str, bool]] = []
-    link, skip, at, heading = False, "", 0, 0
+    link, at, heading = False, 0, 0
 
     def flush() -> None:
         if not parts:
@@ -79,15 +158,15 @@ def blocks(page: str) -> list[Block]:
         del open_[k:]
 
     page = _CUT_OFF.sub("", page)
-    for m in _TAG.finditer(page):
-        if m.start() > at and not skip:
+    tags, after = _tags(page)
+    go_on = 0
+    for k, m in enumerate(tags):
+        if k < go_on:
+            continue
+        if m.start() > at:
             parts.append((html.unescape(page[at : m.start()]), link))
         at = m.end()
         name = (m[2] or "").lower()
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
-            continue
         if not name:
             if m[0].startswith("<![CDATA["):
                 parts.append((m[0][9:-3], link))
@@ -105,8 +184,8 @@ def blocks(page: str) -> list[Block]:
                 close(k)
             continue
         if name in SKIPPED:
-            if not m[3].rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                skip = name
+            if k in after:
+                go_on, at = after[k]
             parts.append((" ", link))
             continue
         if name == "br" or name == "img":
@@ -133,7 +212,7 @@ def blocks(page: str) -> list[Block]:
             if name in ("body", "html", "article", "main"):
                 own = False  # the whole page's class says nothing about a part of it
             open_.append((name, furniture + own, article + (name in ("article", "main"))))
-    if at < len(page) and not skip:
+    if at < len(page):
         parts.append((html.unescape(page[at:]), link))
     flush()
     return out
