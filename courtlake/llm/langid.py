@@ -47,16 +47,32 @@ class Model(NamedTuple):
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = 600, smoothing: float = 0.5) -> Model:
-    """Trigram distributions from about ``sample`` documents of each language (those of small hashes of their text), whole texts.
+    """Trigram distributions from about ``sample`` distinct texts of each language (those of small hashes), whole texts, each once
+    however many rows have it; from all where a language has fewer.
 
     Rows without a language teach nothing. The counts that reach the driver are ``CELLS`` per language at most.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    count = rows.groupBy("lang").agg(F.count_distinct("hash").alias("n")).collect()  # a row per language
     if not count:
         return Model([], np.zeros((CELLS, 0), np.float32))
     share = F.create_map(*[F.lit(x) for r in count for x in (r.lang, min(1 << 30, (sample << 30) // r.n))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
+    chosen = rows.where(F.pmod("hash", F.lit(1 << 30)) < share[F.col("lang")])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each text in the partition, so that copies are not dealt out; what it remembers is bounded by the sample."""
+        seen = set()
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            new = []
+            for i, key in enumerate(keys):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if new:
+                yield b.take(pa.array(new))
+
+    chosen = chosen.mapInArrow(once, "lang string, hash long, text string").dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

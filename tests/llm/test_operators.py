@@ -276,6 +276,17 @@ def test_best_fit_takes_the_fullest_that_holds():
 
 
 # -- language ---------------------------------------------------------------------------
+def test_language_sample_is_of_distinct_texts(spark):
+    """Copies neither keep a language out of the sample nor weigh more in it."""
+    once = [(f"word{i} and the other {i * 7}", "en") for i in range(40)] + [(f"mot{i} et les autres {i * 7}", "fr") for i in range(3)]
+    copied = [row for k, row in enumerate(once) for _ in range(1 + 997 * (row[1] == "fr") + 499 * (k == 0))]
+    a, b = (langid.learn(spark.createDataFrame(rows, "text string, lang string").repartition(3), sample=60) for rows in (once, copied))
+    assert a.langs == b.langs == ["en", "fr"] and np.array_equal(a.log_p, b.log_p)
+    few = langid.learn(spark.createDataFrame([(f"w{i}", "en") for i in range(4000)], "text string, lang string"), sample=60)
+    many = langid.learn(spark.createDataFrame([(f"w{i}", "en") for i in range(4000) for _ in range(5)], "text string, lang string"), sample=60)
+    assert np.array_equal(few.log_p, many.log_p)
+
+
 def test_language_mixture(spark):
     rng = random.Random(6)
     make = {"aa": lambda: " ".join("".join(rng.choice("abcd") for _ in range(5)) for _ in range(60)), "zz": lambda: " ".join("".join(rng.choice("wxyz") for _ in range(5)) for _ in range(60))}
