@@ -56,18 +56,20 @@ def _scaled(features: list[str], mean: bool = True) -> list:
     ]
 
 
-ROWS_PER_TASK = 20_000
+TRAINING_TASKS = 16
+ROW_KEYS = ["season", "gamecode", "team", "lineup", "team_code", "month_index"]
 
 
-def _training_rows(df: DataFrame, min_rows: int) -> tuple[DataFrame | None, int]:
-    """The training rows, kept and spread by their count; boosting passes over them hundreds of times."""
-    kept = df.persist()
-    n = kept.count()
+def _training_rows(df: DataFrame, min_rows: int, tasks: int = TRAINING_TASKS) -> tuple[DataFrame | None, int]:
+    """The training rows, kept, dealt to a fixed number of tasks by the hash of their key and ordered by it; boosting passes over
+    them hundreds of times. Its subsample is drawn by task and position, so the layout must depend neither on the rows' count nor on
+    how they arrive."""
+    keys = [c for c in ROW_KEYS if c in df.columns]
+    rows = df.repartition(tasks, *keys).sortWithinPartitions(*keys).persist()
+    n = rows.count()
     if n < min_rows:
+        rows.unpersist()
         return None, n
-    rows = kept.repartition(max(1, -(-n // ROWS_PER_TASK))).persist()
-    rows.count()
-    kept.unpersist()
     return rows, n
 
 
@@ -80,7 +82,10 @@ def train_win_model(features: DataFrame, min_rows: int = 20) -> PipelineModel |
     return Pipeline(stages=[*_scaled(C.GAME_FEATURES), clf]).fit(features)
 
 
-def predict_games(model: PipelineModel, features: DataFrame) -> DataFrame:
+def predict_games(model: PipelineModel | None, features: DataFrame) -> DataFrame:
+    """Probabilities of home wins; no rows without a model."""
+    if model is None:
+        return features.select(*_G, "home_team", "away_team", F.lit(None).cast("double").alias("home_win_prob")).filter(F.lit(False))
     scored = model.transform(features)
     return scored.select(*_G, "home_team", "away_team", vector_to_array("probability")[1].alias("home_win_prob"))
 
@@ -159,7 +164,9 @@ def train_lineup_model(training: DataFrame, min_rows: int = 30, trees: int = 200
     return Pipeline(stages=[*_scaled(C.LINEUP_FEATURES), gbt]).fit(training)
 
 
-def predict_lineups(model: PipelineModel, features: DataFrame) -> DataFrame:
+def predict_lineups(model: PipelineModel | None, features: DataFrame) -> DataFrame:
+    if model is None:
+        return features.withColumn("predicted_net_rtg", F.lit(None).cast("double")).filter(F.lit(False))
     return model.transform(features).withColumnRenamed("prediction", "predicted_net_rtg").drop("raw", "features")
 
 
@@ -184,7 +191,7 @@ def fifth_player_candidates(stats: DataFrame, players: DataFrame, box: DataFrame
     )
 
 
-def best_fifth_player(model: PipelineModel, stats: DataFrame, players: DataFrame, n: int = 1, box: DataFrame | None = None) -> DataFrame:
+def best_fifth_player(model: PipelineModel | None, stats: DataFrame, players: DataFrame, n: int = 1, box: DataFrame | None = None) -> DataFrame:
     """Best candidates per core by predicted net rating; each distinct lineup is scored once."""
     cand = fifth_player_candidates(stats, players, box)
     keys = ["season", "team", "lineup"]
@@ -230,15 +237,18 @@ def lineup_radar(features: DataFrame, players: DataFrame, keys: list[str]) -> Da
 
 # -- seasonal form ------------------------------------------------------------
 def train_form_model(monthly: DataFrame, min_rows: int = 20, trees: int = 150) -> PipelineModel | None:
-    rows, _ = _training_rows(monthly.select(*C.FORM_FEATURES, "net_rtg").na.fill(0.0, C.FORM_FEATURES), min_rows)
+    rows, _ = _training_rows(monthly.select("season", "team_code", *C.FORM_FEATURES, "net_rtg").na.fill(0.0, C.FORM_FEATURES), min_rows)
     if rows is None:
         return None
     gbt = GBTRegressor(labelCol="net_rtg", maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=42)
     return Pipeline(stages=[*_scaled(C.FORM_FEATURES), gbt]).fit(rows)
 
 
-def predict_form(model: PipelineModel, features: DataFrame) -> DataFrame:
-    return model.transform(features.na.fill(0.0, C.FORM_FEATURES)).withColumnRenamed("prediction", "x_net_rtg").drop("raw", "features")
+def predict_form(model: PipelineModel | None, features: DataFrame) -> DataFrame:
+    features = features.na.fill(0.0, C.FORM_FEATURES)
+    if model is None:
+        return features.withColumn("x_net_rtg", F.lit(None).cast("double")).filter(F.lit(False))
+    return model.transform(features).withColumnRenamed("prediction", "x_net_rtg").drop("raw", "features")
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -17,17 +17,16 @@ from courtlake.plans.queries_league import _FF, _POOL
 from courtlake.plans.registry import joined_text, query, rounded
 from courtlake.session import scratch_path
 
-_SAVED: dict[tuple[str, str, str], str] = {}
+_SAVED: dict[tuple[str, str, str], str | None] = {}
 
 
-def _model(lg, name: str, train) -> PipelineModel:
+def _model(lg, name: str, train) -> PipelineModel | None:
+    """The model, or None where there are too few rows to train it; predictions then have no rows."""
     key = (lg.spark.sparkContext.applicationId, lg.sf_dir, name)
     if key not in _SAVED:
         model = train()
-        if model is None:
-            raise ValueError(f"too few rows to train {name}")
-        _SAVED[key] = M.save_model(model, scratch_path(lg.spark, name))
-    return M.load_model(_SAVED[key])
+        _SAVED[key] = M.save_model(model, scratch_path(lg.spark, name)) if model else None
+    return M.load_model(_SAVED[key]) if _SAVED[key] else None
 
 
 # -- game outcome -------------------------------------------------------------
@@ -52,7 +51,7 @@ def _(lg):
     return rounded(M.game_features(lg.games, lg.efficiency), *_GR)
 
 
-def _win_model(lg) -> PipelineModel:
+def _win_model(lg) -> PipelineModel | None:
     return _model(lg, "win-model", lambda: M.train_win_model(M.game_features(lg.games, lg.efficiency)))
 
 
@@ -124,7 +123,7 @@ def _(lg):
     return joined_text(rounded(_training(lg), *C.LINEUP_FEATURES, "net_rtg"), "lineup")
 
 
-def _lineup_model(lg) -> PipelineModel:
+def _lineup_model(lg) -> PipelineModel | None:
     return _model(lg, "lineup-model", lambda: M.train_lineup_model(_training(lg)))
 
 
@@ -188,16 +187,19 @@ def _(lg):
     return M.predict_form(model, T.form_features(monthly))
 
 
+def _saved_again(lg, model: PipelineModel | None) -> PipelineModel | None:
+    return M.load_model(M.save_model(model, scratch_path(lg.spark, "copy"))) if model else None
+
+
 @query("m10_saved_model_scores")
 def _(lg):
-    path = M.save_model(_win_model(lg), scratch_path(lg.spark, "copy"))
-    return M.predict_games(M.load_model(path), M.game_features(lg.games, lg.efficiency))
+    return M.predict_games(_saved_again(lg, _win_model(lg)), M.game_features(lg.games, lg.efficiency))
 
 
 @query("m10_saved_model_differences", "SELECT count(*) AS games, 0 AS differing FROM games WHERE played AND home_score IS NOT NULL")
 def _(lg):
     model = _win_model(lg)
-    again = M.load_model(M.save_model(model, scratch_path(lg.spark, "copy")))
+    again = _saved_again(lg, model)
     features = M.game_features(lg.games, lg.efficiency)
     both = M.predict_games(model, features).join(M.predict_games(again, features).withColumnRenamed("home_win_prob", "p2"), ["season", "gamecode", "home_team", "away_team"])
     return both.agg(F.count(F.lit(1)).alias("games"), F.count_if(F.col("home_win_prob") != F.col("p2")).alias("differing"))

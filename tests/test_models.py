@@ -85,3 +85,31 @@ def test_small_gbt_and_fifth_player(spark):
     model = M.train_lineup_model(training, min_rows=5, trees=3)
     best = M.best_fifth_player(model, lineups, players).collect()
     assert best and all(len(r.core) == 4 and r.candidate not in r.core and r["rank"] == 1 for r in best)
+
+
+def test_training_does_not_depend_on_the_layout_of_its_rows(spark):
+    rng = random.Random(3)
+    rows = [(2024, f"T{i:02d}", m, rng.random(), rng.gauss(0, 5), rng.gauss(0, 5)) for i in range(12) for m in range(1, 9)]
+    df = spark.createDataFrame(rows, "season int, team_code string, month_index int, home_game_ratio double, opp_strength_avg double, net_rtg double")
+    shuffled = rng.sample(rows, len(rows))
+    other = spark.createDataFrame(shuffled, df.schema).repartition(7)
+    a, b = ({(r.team_code, r.month_index): r.x_net_rtg for r in M.predict_form(M.train_form_model(d, trees=5), df).collect()} for d in (df.coalesce(1), other))
+    assert a == b and len(set(a.values())) > 1
+    few, many = (M._training_rows(d, 1)[0] for d in (df.limit(3), df.unionByName(df.withColumn("season", df.season + 1))))
+    assert few.rdd.getNumPartitions() == many.rdd.getNumPartitions() == M.TRAINING_TASKS
+
+
+def test_too_few_rows_give_an_empty_result_of_the_same_columns(spark):
+    from courtlake.plans import queries_models as Q
+
+    class Season:
+        sf_dir = "too few rows"
+
+    Season.spark = spark
+    assert Q._model(Season, "win-model", lambda: None) is None
+    df = spark.createDataFrame([(2024, f"T{i:02d}", m, 0.5, float(i), float(m)) for i in range(6) for m in range(1, 9)],
+                               "season int, team_code string, month_index int, home_game_ratio double, opp_strength_avg double, net_rtg double")
+    assert M.train_form_model(df.limit(5)) is None
+    model = M.train_form_model(df, trees=2)
+    none, some = M.predict_form(None, df), M.predict_form(model, df)
+    assert none.collect() == [] and none.dtypes == some.dtypes and some.count() == 48
