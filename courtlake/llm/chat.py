@@ -63,10 +63,25 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
+def _cut(text: Column, spans: Column, size: int = 1 << 14) -> Column:
+    """The pieces of the text at the spans (``start`` from 0 and ``length``, in characters). Substrings are counted from a string's first
+    character, so the text is cut into blocks once and a piece is taken from its blocks; each is bound by a lambda, else it were built per span."""
+    whole = lambda n: F.floor(n / size).cast("int")
+    blocks = lambda t: F.transform(F.sequence(F.lit(0), whole(F.length(t))), lambda i: F.substring(t, i * size + 1, F.lit(size)))
+
+    def piece(b: Column, m: Column) -> Column:
+        ahead = m["start"] % size
+        near = F.array_join(F.slice(b, whole(m["start"]) + 1, whole(ahead + m["length"]) + 1), "")
+        return F.substring(near, (ahead + 1).cast("int"), m["length"].cast("int"))
+
+    found = F.transform(F.transform(F.array(text), blocks), lambda b: F.transform(spans, lambda m: unescape(piece(b, m))))
+    return F.get(found, F.lit(0))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``turns`` (array of ``role, text``, unescaped; placeholders stay) and ``learned``, the texts under the loss mask, from the formatted strings alone and the mask."""
+    """``turns`` (array of ``role, text``, unescaped; placeholders stay) and ``learned``, the texts under the loss mask (cut out at its
+    starts and lengths), from the formatted strings alone and the mask."""
     pieces = F.slice(F.split("formatted", r"<\|end\|>"), F.lit(1), F.size(F.split("formatted", r"<\|end\|>")) - 1)
     cut = F.transform(pieces, lambda p: F.split(F.substring(p, len(TURN) + 1, 1 << 30), r"<\|text\|>"))
     turns = F.transform(cut, lambda c: F.struct(unescape(c[0]).alias("role"), unescape(c[1]).alias("text")))
-    out = formatted.withColumn("turns", turns)
-    return out.withColumn("learned", F.transform("loss", lambda m: F.get(F.col("turns"), m["turn"])["text"]))
+    return formatted.withColumn("turns", turns).withColumn("learned", _cut(F.col("formatted"), F.col("loss")))

@@ -415,3 +415,15 @@ def test_chat_parts(spark):
     r = chat.format_chat(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>"), parts="parts").first()
     assert r.formatted == "<|turn|>user<|text|>see <\\<|image|>|end|><|audio|><|end|><|turn|>assistant<|text|><|end|>"
     assert [(a.turn, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 256), (0, "audio", "b.wav", 1)] and r.expanded_tokens == 257
+
+
+def test_chat_mask_is_read_by_its_spans(spark):
+    """A span that is off by a character, or too short, shows in what is read back; long conversations and wide characters too."""
+    said = ["\U0001f600 <|end|> \\ [x]", "", "é" * 20000 + "z", "<" * 9000 + "y", "last"]
+    rows = [(1, i, "assistant" if i % 2 else "user", said[i // 2]) for i in range(10)] + [(2, 0, "user", "none")]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).persist()
+    assert {r.conv_id: r.learned for r in chat.read_back(out).collect()} == {1: said, 2: []}
+    for start, length in ((1, 0), (-1, 0), (0, -1)):
+        wrong = F.transform("loss", lambda m: F.struct(m["turn"].alias("turn"), (m["start"] + start).alias("start"), F.greatest(m["length"] + length, F.lit(0)).alias("length")))
+        got = {r.conv_id: r.learned for r in chat.read_back(out.withColumn("loss", wrong)).collect()}[1]
+        assert all(a != b for a, b in zip(got, said) if b), (start, length)
