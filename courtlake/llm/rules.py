@@ -24,6 +24,7 @@ FEATURES = {
     "upper": "n_upper / greatest(word_chars, 1)",
     "marks": "n_marks / greatest(word_chars, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "again": "n_again / greatest(n_words, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
     "words_a_line": "n_words / greatest(n_lines, 1)",
 }
@@ -47,6 +48,11 @@ def repeat_words(words: str, window: int) -> str:
     return f"CAST(CASE WHEN size({words}) <= {window} THEN 0 ELSE transform(array({runs}), h -> CASE WHEN size(array_distinct(h)) = size(h) THEN 0 ELSE {covered} END)[0] END AS BIGINT)"
 
 
+def words_again(words: str) -> str:
+    """SQL: how many of the words equal the word before them; ``get(words, i - 1)`` would split the text again for each word."""
+    return f"transform(array({words}), w -> size(filter(zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, size(w)), (a, b) -> a = b), x -> x)))[0]"
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one struct column ``__s`` of a text's statistics; a null text has none of anything."""
     t, words, lines = "__t", "__words", "__lines"
@@ -60,6 +66,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_words": F.size(words), "word_chars": F.length(F.array_join(words, "")), "n_symbols": count("#*$%&|<>"),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": F.expr(repeat_words(words, 8)),
         "n_lines": F.size(lines), "n_upper": count("A-Z"), "n_marks": count("!?"),
+        "n_again": F.expr(words_again(words)),
     }
     s = F.struct(*[c.cast("long").alias(n) for n, c in stats.items()])
     return out.withColumn("__s", s).drop(t, words, lines)

@@ -191,6 +191,24 @@ def test_rules_learn_and_apply(spark):
     assert rules.quality_rules(empty(spark), learned).collect() == []
 
 
+def test_rules_see_words_that_repeat_the_word_before(docs, texts, spark):
+    got = {r.doc_id: r.n for r in rules.statistics(docs).select("doc_id", F.col("__s.n_again").alias("n")).collect()}
+    for i, t in texts.items():
+        w = WORD.findall(t or "")
+        assert got[i] == sum(a == b for a, b in zip(w, w[1:]))
+    rng, rows, labels = random.Random(6), [], []
+    for i in range(240):
+        w = rng.sample([a + b for a in "bcdfghklmn" for b in "aeiou"], 30)
+        bad = i % 4 == 0
+        w += rng.sample(w, 15) if not bad else []
+        rows.append((i, " ".join(x for v in w for x in ([v] * (1 + (bad and w.index(v) % 2 == 0))))))
+        labels.append((i, int(not bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    learned = rules.learn_from(docs, labels)
+    assert [c.feature for rule in learned for c in rule] == ["again"]
+    assert {r.doc_id: r.kept for r in rules.quality_rules(docs, learned).collect()} == {i: i % 4 != 0 for i in range(240)}
+
+
 # -- mixing --------------------------------------------------------------------------
 @pytest.mark.parametrize("bucket", [40, 5000])
 def test_mixing(spark, bucket):
