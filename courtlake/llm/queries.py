@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake.llm import oracle
 from courtlake.llm.chat import format_chat, read_back
-from courtlake.llm import crf, langid
+from courtlake.llm import crf, langid, toxicity
+from courtlake.llm.alignment import cross_tokenizer_alignment
 from courtlake.llm.mixing import copies_of
 from courtlake.llm.near_copies import near_copies
 from courtlake.llm.packing import best_fit_packing
 from courtlake.llm.pages import extract_text
 from courtlake.llm.rules import BASE, learn_from, quality_rules
+from courtlake.llm.spelling import spelling_variants
 from courtlake.llm.substrings import dedup_substrings
 from courtlake.llm.vectors import near_vectors
 
@@ -44,10 +46,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -108,6 +110,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, rules).select("doc_id", *BASE, "base_failed", "kept")
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(langid.fold_of("doc_id", 5) != 0))
+    scored = toxicity.score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer_alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
