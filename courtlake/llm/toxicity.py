@@ -37,7 +37,7 @@ INSULTS = set("idiot moron loser scum stupid pathetic worthless dumb dummkopf id
 KINDS, WAYS = ("insult", "slur", "threat"), ("plain", "aimed", "denied", "told")
 PATTERNS = [f"{k} {w}" for k in KINDS for w in WAYS]
 #: Log-odds to which the fitted weights are drawn; the heaviest of a clause's terms by them is its pattern.
-PRIOR = dict(zip(PATTERNS, [4.0, 5.0, 1.5, 1.0, 2.0, 2.5, 0.8, 0.5, 1.0, 4.0, 0.3, 0.2]))
+PRIOR = dict(zip(PATTERNS, [5.0, 6.0, 1.5, 1.0, 2.0, 2.5, 0.8, 0.5, 1.0, 5.0, 0.3, 0.2]))
 SCOPE, REACH = 3, 4
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -184,7 +184,7 @@ class Model(NamedTuple):
 
 
 def row(counts: Counter, n_words: int) -> list[float]:
-    return [math.log1p(counts[p]) for p in PATTERNS] + [math.log1p(n_words), 1.0]
+    return [math.log2(1 + counts[p]) for p in PATTERNS] + [math.log1p(n_words), 1.0]
 
 
 def _marks(text: str, least: int = 4, most: int = 40) -> Counter:
