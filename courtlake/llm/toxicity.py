@@ -4,7 +4,7 @@ Words become symbols: target, negation, report, and terms (insult, slur, threat)
 negation marks the terms in its scope as denied, a verb of saying marks those behind it as told, a target near a term marks it as aimed at
 someone, and the last one keeps a clause's heaviest term. They are composed into one machine, which reads a clause once and ends in its
 pattern, such as ``insult aimed`` or ``threat denied``; a clause without a term has none. A document's score is the logistic function
-of the weights of its patterns, each by the logarithm of its clauses.
+of the weights of its patterns, each by the logarithm of its clauses, and of its density of slurs.
 
 Insults (words) and slurs (stems that count by their inflected forms, and mostly in company) are learned from labelled documents by
 sequential covering; pattern weights are fitted to the same documents, drawn towards ``PRIOR``.
@@ -180,11 +180,13 @@ class Grammar:
 
 class Model(NamedTuple):
     terms: list[Term]
-    weights: list[float]  # of the patterns, of the logarithm of the words, and a constant
+    weights: list[float]  # of the patterns, of the density of slurs, and a constant
 
 
 def row(counts: Counter, n_words: int) -> list[float]:
-    return [math.log2(1 + counts[p]) for p in PATTERNS] + [math.log1p(n_words), 1.0]
+    """What is weighed. Stems also turn up by chance, the more the longer a text is, so slurs count by their share of the words as well."""
+    slurs = sum(counts[f"slur {w}"] for w in WAYS)
+    return [math.log2(1 + counts[p]) for p in PATTERNS] + [math.log2(1 + 100 * slurs / n_words), 1.0]
 
 
 def _marks(text: str, least: int = 4, most: int = 40) -> Counter:
@@ -253,7 +255,7 @@ def cover(docs: list[tuple[int, dict[str, int]]], least: int, precision: float,
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30) -> list[float]:
     """Newton steps of a logistic regression drawn towards ``PRIOR``; the constant towards -4."""
-    prior = np.array([*(PRIOR[p] for p in PATTERNS), 0.0, -4.0])
+    prior = np.array([*(PRIOR[p] for p in PATTERNS), 1.0, -4.0])
     w = prior.copy()
     pull = np.full(len(w), ridge)
     for _ in range(steps):
