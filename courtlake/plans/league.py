@@ -12,11 +12,11 @@ from pyspark.sql.types import StructType
 from courtlake.functions.exprs import team_alias
 from courtlake.operators import box as B, lineups as L, league as T, models as M, playmaking as P
 from courtlake.session import scratch_path
-from courtlake.sources import adapter as A, clean as N, feeds as S
+from courtlake.sources import adapter as A, clean as N, feeds as S, files
 
 
-# Tables already written in this application: (application, folder, table) -> (path, schema).
-_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+# Tables already written in this application: (application, state of the data, table) -> (path, schema).
+_WRITTEN: dict[tuple, tuple[str, StructType]] = {}
 
 
 class League:
@@ -33,11 +33,15 @@ class League:
         self.spark, self.sf_dir = spark, sf_dir
         self._kept: list[DataFrame] = []
 
+    def state(self, *tables: str) -> tuple:
+        """What tells one state of the given tables from another: their files, sizes and times of change."""
+        return (self.sf_dir, *(x for t in tables for x in files.state(self.spark, f"{self.sf_dir}/{t}.parquet")))
+
     def raw(self, feed: str) -> DataFrame:
         return getattr(A, f"raw_{feed}")(self.spark, self.sf_dir)
 
     def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.state("events"), name)
         if key not in _WRITTEN:
             df, path = build(), scratch_path(self.spark, name)
             df.write.parquet(path)

@@ -139,17 +139,23 @@ def _(lg):
 _LIVE = "SELECT b.* FROM pbp b JOIN games g USING (season, gamecode) WHERE NOT g.played"
 
 
+RUN_HISTORY = f"SELECT * FROM ({_stoppers('pbp', 8)})"
+
+
 @query("l8b_live_run_history", f"SELECT * FROM ({_stoppers(f'({_LIVE})', 8)})")
 def _(lg):
     live = lg.games.filter(~F.col("played")).select("season", "gamecode")
     return S.run_stoppers(lg.pbp.join(live, C.GAME_KEYS, "left_semi"))
 
 
-@query("l9_active_run", f"""
+ACTIVE_RUN = f"""
   WITH isl AS ({_ISL}), last AS (SELECT season, gamecode, max(isl) AS isl FROM isl GROUP BY 1, 2)
   SELECT {_G}, codeteam AS run_team, CAST(sum(pts) AS BIGINT) AS run_points, abs(min_by(clock_secs, p) - max_by(clock_secs, p)) AS duration_secs,
     string_agg(player || ' (' || playtype || ')', '; ' ORDER BY p) AS scoring_plays, any_value(CASE WHEN codeteam = home_team THEN away_team ELSE home_team END) AS opponent_team
-  FROM isl JOIN last USING (season, gamecode, isl) GROUP BY 1, 2, 3 HAVING sum(pts) >= 4""".replace("WITH isl", "SELECT * FROM (WITH isl") + ")")
+  FROM isl JOIN last USING (season, gamecode, isl) GROUP BY 1, 2, 3 HAVING sum(pts) >= 4""".replace("WITH isl", "SELECT * FROM (WITH isl") + ")"
+
+
+@query("l9_active_run", ACTIVE_RUN)
 def _(lg):
     return S.active_run(lg.pbp)
 

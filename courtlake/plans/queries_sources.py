@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courtlake import config as C
-from courtlake.plans.oracle_base import AS_OF, FUTURE_AS_OF, MONTH, STATS, display
-from courtlake.plans.queries_sequences import _LIVE_SCORE
+from courtlake.plans.oracle_base import AS_OF, FUTURE_AS_OF, MONTH, PTS, STATS, display, ratio
+from courtlake.plans.queries_sequences import _LIVE_SCORE, ACTIVE_RUN, RUN_HISTORY
 from courtlake.plans.registry import joined_text, query, rounded
 from courtlake.session import scratch_path
 from courtlake.sources import clean as N, feeds as S, sinks as W
@@ -273,14 +273,14 @@ def _(lg):
 
 
 # -- ETL: half of the games, then a second load that overlaps the first ----------
-_SYNCED: dict[tuple[str, str], str] = {}
+_SYNCED: dict[tuple, str] = {}
 
 
 def _synced(lg):
     """The folder after both loads, once per application and data folder; reports are kept beside the tables."""
     from courtlake.plans.season import sync_games
 
-    key = (lg.spark.sparkContext.applicationId, lg.sf_dir)
+    key = (lg.spark.sparkContext.applicationId, lg.state("events"))
     if key not in _SYNCED:
         root = scratch_path(lg.spark, "league")
         schedule = lg.schedule.withColumn("played", F.lit(True))  # by the time of these loads the running games are over
@@ -352,13 +352,14 @@ def _(lg):
 # -- streams: overlapping slices of every game, the last plays first, one slice a micro-batch --
 _LANDED: dict[tuple, str] = {}
 _SLICES = ("TRUE_NUMBEROFPLAY > 60", "TRUE_NUMBEROFPLAY BETWEEN 20 AND 70", "TRUE_NUMBEROFPLAY <= 30 OR TRUE_NUMBEROFPLAY > 90", "TRUE_NUMBEROFPLAY % 10 = 0")
+_REST = ("current_lineups", "active_run", "run_history", "momentum", "win_probability", "players")
 
 
 def _streamed(lg, *tables):
-    """The folder of the live tables after all slices, once per application, data folder and choice of tables."""
+    """The folder of the live tables after all slices, once per application, state of the data and choice of tables."""
     from courtlake.streaming import live as R
 
-    key = (lg.spark.sparkContext.applicationId, lg.sf_dir, tables)
+    key = (lg.spark.sparkContext.applicationId, lg.state("events"), tables)
     if key not in _LANDED:
         landing, out, checkpoint = (scratch_path(lg.spark, n) for n in ("landing", "live", "live-checkpoint"))
         raw = lg.raw("play_by_play")
@@ -383,7 +384,7 @@ def _(lg):
 
 @query("r3_live_lineups", f"SELECT {_G}, team, array_to_string(max_by(lineup, p), ',') AS lineup FROM sided GROUP BY 1, 2, 3")
 def _(lg):
-    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
+    R, out = _streamed(lg, *_REST)
     return joined_text(R.latest_table(lg.spark, out, "current_lineups").select("season", "gamecode", "team", "lineup"), "lineup")
 
 
@@ -392,19 +393,55 @@ def _(lg):
   FROM (SELECT {_G}, true_numberofplay AS play_number, points_a AS home_score, points_b AS away_score,
     greatest(greatest(CASE WHEN period <= 4 THEN 2400 - ((period - 1) * 600 + 600 - clock_secs) ELSE clock_secs END, 0) / 2400e0, 0.01e0) AS f FROM pbp WHERE playtype IN ('2FGM', '3FGM', 'FTM'))""")
 def _(lg):
-    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
+    R, out = _streamed(lg, *_REST)
     df = R.latest_table(lg.spark, out, "win_probability").select("season", "gamecode", "play_number", "home_score", "away_score", "home_wp")
     return df.withColumn("home_wp", F.round("home_wp", 9))
 
 
-@query("r4_live_players", f"SELECT {_G}, player_id, player_name, team_code, minutes, points, total_rebounds, assists, ts_pct, off_rating FROM adv WHERE seconds > 0")
-def _(lg):
-    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
-    return R.latest_table(lg.spark, out, "players")
-
-
 @query("r3_momentum", f"""
   SELECT {_G}, true_numberofplay AS play_number, points_a - points_b AS margin FROM pbp WHERE playtype IN ('2FGM', '3FGM', 'FTM')""")
 def _(lg):
-    R, out = _streamed(lg, "current_lineups", "momentum", "win_probability", "players")
+    R, out = _streamed(lg, *_REST)
     return R.latest_table(lg.spark, out, "momentum").select("season", "gamecode", "play_number", F.col("score_diff").alias("margin"))
+
+
+@query("r3_active_run", ACTIVE_RUN)
+def _(lg):
+    R, out = _streamed(lg, *_REST)
+    return R.latest_table(lg.spark, out, "active_run")
+
+
+@query("l8b_live_run_log", RUN_HISTORY)
+def _(lg):
+    R, out = _streamed(lg, *_REST)
+    return R.latest_table(lg.spark, out, "run_history")
+
+
+#: The boxscore of the plays alone: counts, and time from each IN (or the start) to the player's next substitution or the last play.
+_LIVE_BOX = f"""
+  SELECT {_G}, player_id, player_name, team_code, seconds, points, total_rebounds, seconds / 60e0 AS minutes, assists, fga2 + fga3 AS fga, fta, off_rebounds, turnovers
+  FROM (WITH t AS (SELECT *, CASE WHEN period <= 4 THEN period * 600 - clock_secs ELSE 2400 + (period - 4) * 300 - clock_secs END AS el FROM pbp),
+    ends AS (SELECT season, gamecode, max(el) FILTER (markertime <> '') AS now FROM t GROUP BY 1, 2),
+    subs AS (SELECT season, gamecode, codeteam, player_id, playtype, el, lead(el) OVER w AS following, row_number() OVER w AS n
+      FROM t WHERE playtype IN ('IN', 'OUT') AND player_id IS NOT NULL WINDOW w AS (PARTITION BY season, gamecode, codeteam, player_id ORDER BY p)),
+    spent AS (SELECT season, gamecode, codeteam, player_id, CAST(sum(CASE WHEN playtype = 'IN' THEN coalesce(following, now) - el WHEN n = 1 THEN el ELSE 0 END) AS BIGINT) AS secs
+      FROM subs JOIN ends USING (season, gamecode) GROUP BY 1, 2, 3, 4)
+    SELECT season, gamecode, t.player_id, max(player) AS player_name, t.codeteam AS team_code, greatest(coalesce(any_value(secs), any_value(now)), 0) AS seconds,
+      CAST(sum({PTS}) AS BIGINT) AS points, count(*) FILTER (t.playtype IN ('O', 'D')) AS total_rebounds, count(*) FILTER (t.playtype = 'AS') AS assists,
+      count(*) FILTER (t.playtype IN ('2FGM', '2FGA')) AS fga2, count(*) FILTER (t.playtype IN ('3FGM', '3FGA')) AS fga3, count(*) FILTER (t.playtype IN ('FTM', 'FTA')) AS fta,
+      count(*) FILTER (t.playtype = 'O') AS off_rebounds, count(*) FILTER (t.playtype = 'TO') AS turnovers
+    FROM t JOIN ends USING (season, gamecode) LEFT JOIN spent USING (season, gamecode, codeteam, player_id) WHERE t.player_id IS NOT NULL GROUP BY season, gamecode, t.codeteam, t.player_id)"""
+
+
+@query("r4_live_players", f"""
+  SELECT b.season, b.gamecode, player_id, player_name, b.team_code, minutes, points, total_rebounds, assists, {ratio('points * 50', 'fga * 100 + fta * 44')} AS ts_pct,
+    CASE WHEN team_poss * share > 0 THEN points / (team_poss * share) * 100 END AS off_rating, CASE WHEN team_poss > 0 THEN opp / team_poss * 100 END AS def_rating
+  FROM (SELECT *, CASE WHEN team_seconds > 0 THEN CAST(seconds AS DOUBLE) / team_seconds ELSE 0e0 END AS share
+    FROM (SELECT * FROM ({_LIVE_BOX})) x JOIN (
+      SELECT a.season AS s, a.gamecode AS g, a.team_code AS tc, a.team_poss, a.team_seconds, o.team_points AS opp FROM ({{team}}) a LEFT JOIN ({{team}}) o ON a.season = o.season AND a.gamecode = o.gamecode AND a.team_code <> o.team_code
+    ) y ON x.season = s AND x.gamecode = g AND x.team_code = tc) b
+  WHERE seconds > 0""".replace("{team}", f"""SELECT {_G}, team_code, (sum(fga) * 100 + sum(fta) * 44 - sum(off_rebounds) * 100 + sum(turnovers) * 100) / 100e0 AS team_poss,
+      CAST(sum(seconds) AS BIGINT) AS team_seconds, CAST(sum(points) AS BIGINT) AS team_points FROM ({_LIVE_BOX}) GROUP BY 1, 2, 3"""))
+def _(lg):
+    R, out = _streamed(lg, *_REST)
+    return R.latest_table(lg.spark, out, "players")

@@ -2,24 +2,28 @@
 
 The source has no change feed; files may repeat plays, and plays may come late and out of order.
 Nothing is dropped for being late and no state is kept in the stream: each micro-batch is compared with
-the plays already stored of the games it touches, which lie in folders by season and game bucket, so only
-those are read. Every write is keyed by micro-batch, so a restarted query overwrites its own output.
+the plays already stored of the games it touches, which a ``GameLog`` finds by season and game bucket. Player
+statistics are not recomputed: a micro-batch's counts are added to the stored ones. Every write is keyed by micro-batch, so a
+restarted query replaces its own output.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from courtlake import config as C, schemas as S
-from courtlake.operators import box as B, lineups as L, sequences as Q
+from courtlake.operators import box as B, lineups as L, live_box as P, sequences as Q
+from courtlake.sources import files
 from courtlake.sources.clean import clean_play_by_play
+from courtlake.streaming.log import GameLog, bucket_of, last_batches, of_batches
 
 _G = C.GAME_KEYS
 PLAY_KEY = ["season", "gamecode", C.PLAY_ORDER]
-GAME_BUCKETS = 64
-_BUCKET = f"CAST(pmod(gamecode, {GAME_BUCKETS}) AS INT)"
-_STORED = f"{S.TABLES['play_by_play']}, batch BIGINT, bucket INT"
+TABLES = ("scores", "current_lineups", "active_run", "run_history", "momentum", "win_probability", "players")
 
 
 def play_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
@@ -30,32 +34,41 @@ def play_stream(spark: SparkSession, landing: str, max_files: int | None = None)
     return clean_play_by_play(reader.parquet(landing))
 
 
-def stored_plays(spark: SparkSession, out: str) -> DataFrame:
-    """Every play stored so far, once."""
-    return spark.read.schema(_STORED).parquet(f"{out}/plays")
+def play_log(spark: SparkSession, out: str) -> GameLog:
+    return GameLog(spark, f"{out}/plays", S.struct("play_by_play"), [C.PLAY_ORDER])
+
+
+def game_log(spark: SparkSession, out: str) -> GameLog:
+    """The games that each micro-batch brought plays of."""
+    return GameLog(spark, f"{out}/games", StructType.fromDDL("season INT, gamecode INT"))
 
 
-def _overwrite(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def count_log(spark: SparkSession, out: str) -> GameLog:
+    return GameLog(spark, f"{out}/counts", StructType.fromDDL(P.COUNTS))
 
 
-def live_tables(plays: DataFrame, box: DataFrame) -> dict[str, DataFrame]:
-    """Current lineups, active run, win probability and player table of the given games."""
-    tagged = L.tag_segments(plays, box)
-    totals = L.segment_totals(tagged, L.segment_lineups(tagged, box))
-    return {
-        "scores": Q.live_score(plays),
-        "current_lineups": L.current_lineups(totals),
-        "active_run": Q.active_run(plays),
-        "momentum": Q.momentum_timeline(plays),
-        "win_probability": Q.win_probability_timeline(plays),
+def stored_plays(spark: SparkSession, out: str) -> DataFrame:
+    """Every play stored so far, once."""
+    return play_log(spark, out).read()
+
+
+def live_tables(plays: DataFrame, box: DataFrame, wanted: tuple[str, ...] = TABLES[:-1]) -> dict[str, DataFrame]:
+    """Scores, current lineups, active and past runs, momentum and win probability of the given games."""
+    out = {}
+    if "current_lineups" in wanted:
+        tagged = L.tag_segments(plays, box)
+        out["current_lineups"] = L.current_lineups(L.segment_totals(tagged, L.segment_lineups(tagged, box)))
+    made = {
+        "scores": Q.live_score, "active_run": Q.active_run, "run_history": Q.run_stoppers, "momentum": Q.momentum_timeline,
+        "win_probability": Q.win_probability_timeline,
     }
+    return out | {n: f(plays) for n, f in made.items() if n in wanted}
 
 
-def live_players(box: DataFrame) -> DataFrame:
-    """Player table of the running games, best scorers first."""
-    cols = [*_G, "player_id", "player_name", "team_code", "minutes", "points", "total_rebounds", "assists", "ts_pct", "off_rating"]
-    return B.advanced_stats(box).filter(F.col("seconds") > 0).select(*cols).orderBy(*_G, F.desc("points"), "player_id")
+def live_players(counts: DataFrame) -> DataFrame:
+    """Player table of the plays counted so far: those who have been on court."""
+    cols = [*_G, "player_id", "player_name", "team_code", "minutes", "points", "total_rebounds", "assists", "ts_pct", "off_rating", "def_rating"]
+    return B.advanced_stats(P.live_boxscore(counts)).filter(F.col("seconds") > 0).select(*cols)
 
 
 def write_live_games(
@@ -63,36 +76,40 @@ def write_live_games(
 ) -> StreamingQuery:
     """Per micro-batch: append the plays that are new, then recompute the games they touch, and only those.
 
-    ``out/plays/batch=N`` holds the plays, ``out/<table>/batch=N`` the results. ``trigger`` is that of
-    ``DataStreamWriter.trigger``; by default what has landed is processed and the query ends.
+    ``out/plays`` is the log of plays, ``out/<table>`` a log of each table in which a game's rows of its last micro-batch count.
+    ``trigger`` is that of ``DataStreamWriter.trigger``; by default what has landed is processed and the query ends.
     """
-    wanted = tables or ("scores", "current_lineups", "active_run", "momentum", "win_probability", "players")
+    wanted = tables or TABLES
 
     def handle(batch: DataFrame, n: int) -> None:
-        """An empty first micro-batch does not occur: Spark numbers only batches with data."""
         spark = batch.sparkSession
-        new = batch.dropDuplicates(PLAY_KEY).withColumn("bucket", F.expr(_BUCKET)).persist()
-        places = new.select("season", "bucket").distinct().collect()  # seasons times GAME_BUCKETS at most
+        new = batch.dropDuplicates(PLAY_KEY).withColumn("bucket", bucket_of()).persist()
+        held = new.groupBy("season", "bucket").count().collect()  # seasons times buckets at most
+        places, most = {(r.season, r.bucket) for r in held}, sum(r["count"] for r in held)
         if not places:
+            new.unpersist()
             return
-        here = F.lit(False)
-        for season in {r.season for r in places}:
-            here = here | ((F.col("season") == season) & F.col("bucket").isin(sorted(r.bucket for r in places if r.season == season)))
-        fresh = new
-        if n:
-            before = stored_plays(spark, out).where((F.col("batch") < n) & here)
-            fresh = new.join(before.select(*PLAY_KEY), PLAY_KEY, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("season", "bucket").parquet(f"{out}/plays/batch={n}")
-        new.unpersist()
-        now = stored_plays(spark, out).where((F.col("batch") <= n) & here)
-        touched = now.where(F.col("batch") == n).select(*_G).distinct()
-        mine = now.join(touched, _G, "left_semi").drop("batch", "bucket")
-        rows = box.join(touched, _G, "left_semi")
-        built = live_tables(mine, rows) if set(wanted) - {"players"} else {}
+        log = play_log(spark, out)
+        before = log.read(places, n)
+        fresh = new.join(before.select(*PLAY_KEY), PLAY_KEY, "left_anti").persist()
+        log.append(n, fresh, most)
+        games = game_log(spark, out)
+        games.append(n, fresh.select(*_G).distinct(), most, last_batches)
+        current = last_batches(games.read(before=n + 1)).persist()
+        touched = current.where(F.col("batch") == n).select(*_G)
+        if set(wanted) - {"players"}:
+            mine = before.drop("batch", "bucket").unionByName(fresh.drop("bucket")).join(touched, _G, "left_semi")
+            for name, table in live_tables(mine, box.join(touched, _G, "left_semi"), wanted).items():
+                _append(spark, out, name, n, table, most, current)
         if "players" in wanted:
-            built["players"] = live_players(rows)
-        for name in wanted:
-            _overwrite(built[name], f"{out}/{name}/batch={n}")
+            counts = count_log(spark, out)
+            known = of_batches(counts.read(places, n), last_batches(games.read(places, n))).join(touched, _G, "left_semi")
+            now = P.add_counts(known, P.play_counts(fresh)) if n else P.play_counts(fresh)
+            counts.append(n, now, most, lambda rows: of_batches(rows, current))
+            mine = counts.read(places, n + 1).where(F.col("batch") == n)
+            _append(spark, out, "players", n, live_players(mine), most, current)
+        for df in (new, fresh, current):
+            df.unpersist()
 
     return (
         plays.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -100,8 +117,13 @@ def write_live_games(
     )
 
 
+def _append(spark: SparkSession, out: str, name: str, n: int, table: DataFrame, n_rows: int, current: DataFrame) -> None:
+    GameLog(spark, f"{out}/{name}", table.schema).append(n, table, n_rows, lambda rows: of_batches(rows, current))
+    if not files.exists(spark, f"{out}/{name}/schema.json"):
+        files.write_text(spark, f"{out}/{name}/schema.json", table.schema.json())
+
+
 def latest_table(spark: SparkSession, out: str, name: str) -> DataFrame:
     """Rows of each game from the last micro-batch that brought plays of it."""
-    rows = spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch=*")
-    last = stored_plays(spark, out).groupBy(*_G).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*_G, "batch"], "left_semi").drop("batch")
+    log = GameLog(spark, f"{out}/{name}", StructType.fromJson(json.loads(files.read_text(spark, f"{out}/{name}/schema.json"))))
+    return of_batches(log.read(), last_batches(game_log(spark, out).read())).select(*[f.name for f in log.columns])

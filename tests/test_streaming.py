@@ -1,26 +1,124 @@
-from courtlake.operators import box as B, sequences as Q
+import random
+
+from courtlake.operators import box as B, live_box as P, sequences as Q
 from courtlake.plans.league import League
+from courtlake.sources import files
 from courtlake.streaming import live as R
+from courtlake.streaming.log import FAN, GameLog, last_batches, of_batches
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_players(plays):
+    """Seconds, points and rebounds per (team, player) from a game's plays, one by one."""
+    plays = sorted(plays, key=lambda r: r.true_numberofplay)
+    at = lambda r: r.period * 600 - r.clock_secs if r.period <= 4 else 2400 + (r.period - 4) * 300 - r.clock_secs
+    now = max(at(r) for r in plays if r.markertime)
+    out = {}
+    for r in plays:
+        if r.player_id:
+            p = out.setdefault((r.codeteam, r.player_id), {"points": 0, "total_rebounds": 0, "subs": []})
+            p["points"] += {"2FGM": 2, "3FGM": 3, "FTM": 1}.get(r.playtype, 0)
+            p["total_rebounds"] += r.playtype in ("O", "D")
+            if r.playtype in ("IN", "OUT"):
+                p["subs"].append((r.playtype, at(r)))
+    for p in out.values():
+        subs = p.pop("subs")
+        on, seconds = (0 if not subs or subs[0][0] == "OUT" else None), 0
+        for kind, t in subs:
+            seconds += t - on if on is not None else 0
+            on = t if kind == "IN" else None
+        p["seconds"] = max(seconds + (now - on if on is not None else 0), 0)
+    return out
+
+
 def test_slices_end_like_the_batch(spark, tmp_path):
-    """A feed delivered in slices, the last plays first and one slice twice, ends in the batch result."""
+    """A feed delivered in slices, the last plays first and one slice twice, is at any time what the plays so far say."""
     lg = League(spark, SF)
     raw = lg.raw("play_by_play").filter("Gamecode = 4")
     landing, out, cp = (str(tmp_path / n) for n in ("landing", "live", "cp"))
     batch = lg.pbp.filter("gamecode = 4")
     box = lg.box.filter("gamecode = 4")
-    for i, (lo, hi) in enumerate([(60, 100), (25, 70), (25, 70), (1, 30)]):
+    seen = set()
+    for lo, hi in [(60, 100), (25, 70), (25, 70), (1, 30)]:
         raw.filter(f"TRUE_NUMBEROFPLAY BETWEEN {lo} AND {hi}").write.mode("append").parquet(landing)
         R.write_live_games(R.play_stream(spark, landing), box, out, cp).awaitTermination()
+        seen |= set(range(lo, hi + 1))
+        want = plain_players([r for r in batch.collect() if r.true_numberofplay in seen])
+        got = {(r.team_code, r.player_id): r for r in R.latest_table(spark, out, "players").collect()}
+        assert got.keys() == {k for k, p in want.items() if p["seconds"] > 0}
+        assert all(r.points == want[k]["points"] and r.total_rebounds == want[k]["total_rebounds"] and round(r.minutes * 60) == want[k]["seconds"] for k, r in got.items())
     assert R.stored_plays(spark, out).count() == batch.count() == 100
-    want = Q.live_score(batch).first()
-    assert R.latest_table(spark, out, "scores").first() == want
+    assert R.latest_table(spark, out, "scores").first() == Q.live_score(batch).first()
     wp = sorted((r.play_number, r.home_wp) for r in R.latest_table(spark, out, "win_probability").collect())
     assert wp == sorted((r.play_number, r.home_wp) for r in Q.win_probability_timeline(batch).collect())
     cur = {r.team: r.lineup for r in R.latest_table(spark, out, "current_lineups").collect()}
     assert cur == {r.team: r.lineup for r in R.live_tables(batch, box)["current_lineups"].collect()}
-    players = R.latest_table(spark, out, "players")
-    assert players.count() == B.advanced_stats(box).filter("seconds > 0").count()
+    for name, want in (("run_history", Q.run_stoppers(batch)), ("active_run", Q.active_run(batch))):
+        got = R.latest_table(spark, out, name)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_counts_add_up_in_any_slices(spark):
+    plays = League(spark, SF).pbp.filter("gamecode < 4")
+    whole = P.play_counts(plays)
+    parts = [P.play_counts(plays.filter(f"true_numberofplay % 3 = {k}")) for k in (2, 0, 1)]
+    order = lambda df: sorted(map(str, P.live_boxscore(df).collect()))
+    assert order(P.add_counts(*parts)) == order(P.add_counts(P.add_counts(parts[0], parts[1]), parts[2])) == order(whole)
+    assert B.advanced_stats(P.live_boxscore(whole)).count() == whole.filter("player_id IS NOT NULL").count()
+
+
+SCHEMA = StructType.fromDDL("season INT, gamecode INT, n INT")
+
+
+def test_log_stays_small_and_whole(spark, tmp_path):
+    """Twenty micro-batches: every row once, few segments and files, old ones gone."""
+    log, rows = GameLog(spark, str(tmp_path / "log"), SCHEMA, ["n"]), []
+    rng = random.Random(1)
+    for n in range(20):
+        new = [(2024 + rng.randrange(2), rng.randrange(300), 100 * n + k) for k in range(30)]
+        rows += new
+        segments = log.append(n, spark.createDataFrame(new, SCHEMA), len(new))
+        levels = [s["level"] for s in segments]
+        assert all(levels.count(k) < FAN for k in levels) and len(segments) <= 2 * FAN
+        assert len(files.names(spark, f"{tmp_path}/log/segments")) <= 4 * FAN
+    assert sorted((r.season, r.gamecode, r.n) for r in log.read().collect()) == sorted(rows)
+    held = {f for s in log.segments() for f, season, bucket, _ in s["files"] if (season, bucket) == (2024, 7)}
+    some = log.read({(2024, 7)})
+    assert set(some.inputFiles()) == held and len(held) <= 2 * FAN
+    assert sorted(r.n for r in some.collect()) == sorted(n for s, g, n in rows if s == 2024 and g % 64 == 7)
+
+
+def test_a_repeated_micro_batch_replaces_itself(spark, tmp_path):
+    log = GameLog(spark, str(tmp_path / "log"), SCHEMA)
+    for n in range(5):
+        for _ in range(1 + (n in (0, 3, 4))):  # at 3 the segments are merged
+            log.append(n, spark.createDataFrame([(2024, 1, n)], SCHEMA), 1)
+    assert sorted(r.n for r in log.read().collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.n for r in log.read(before=4).collect()) == [0, 1, 2, 3]
+
+
+def test_rows_that_no_longer_count_go_when_merged(spark, tmp_path):
+    log, games = (GameLog(spark, str(tmp_path / n), SCHEMA) for n in ("log", "games"))
+    for n in range(8):
+        rows = spark.createDataFrame([(2024, 1, n), (2024, 2 + n, n)], SCHEMA)
+        games.append(n, rows, 2, lambda df: last_batches(df).withColumn("n", F.lit(0)))
+        log.append(n, rows, 2, lambda df: of_batches(df, last_batches(games.read())))
+    got = of_batches(log.read(), last_batches(games.read()))
+    assert sorted((r.gamecode, r.n) for r in got.collect()) == [(1, 7)] + [(2 + n, n) for n in range(8)]
+    assert log.read().count() < 16
+
+
+def test_an_empty_log(spark, tmp_path):
+    log = GameLog(spark, str(tmp_path / "log"), SCHEMA)
+    assert log.read().collect() == [] and log.segments() == []
+    log.append(0, spark.createDataFrame([], SCHEMA), 0)
+    assert log.read().collect() == []
+
+
+def test_claims(spark, tmp_path):
+    path = str(tmp_path / "m" / "1.json")
+    assert files.claim(spark, path, "a")
+    assert not files.claim(spark, path, "b") and files.read_text(spark, path) == "a" and files.names(spark, str(tmp_path / "m")) == ["1.json"]
