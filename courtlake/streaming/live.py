@@ -10,6 +10,7 @@ restarted query replaces its own output.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,17 +53,18 @@ def stored_plays(spark: SparkSession, out: str) -> DataFrame:
     return play_log(spark, out).read()
 
 
-def live_tables(plays: DataFrame, box: DataFrame, wanted: tuple[str, ...] = TABLES[:-1]) -> dict[str, DataFrame]:
-    """Scores, current lineups, active and past runs, momentum and win probability of the given games."""
-    out = {}
-    if "current_lineups" in wanted:
-        tagged = L.tag_segments(plays, box)
-        out["current_lineups"] = L.current_lineups(L.segment_totals(tagged, L.segment_lineups(tagged, box)))
+def current_lineups(plays: DataFrame, box: DataFrame) -> DataFrame:
+    tagged = L.tag_segments(plays, box)
+    return L.current_lineups(L.segment_totals(tagged, L.segment_lineups(tagged, box)))
+
+
+def live_table(name: str, plays: DataFrame, box: DataFrame) -> DataFrame:
+    """A table of the given games' plays; the boxscores only say who plays for whom and who starts."""
     made = {
         "scores": Q.live_score, "active_run": Q.active_run, "run_history": Q.run_stoppers, "momentum": Q.momentum_timeline,
         "win_probability": Q.win_probability_timeline,
     }
-    return out | {n: f(plays) for n, f in made.items() if n in wanted}
+    return current_lineups(plays, box) if name == "current_lineups" else made[name](plays)
 
 
 def live_players(counts: DataFrame) -> DataFrame:
@@ -92,23 +94,30 @@ def write_live_games(
         log = play_log(spark, out)
         before = log.read(places, n)
         fresh = new.join(before.select(*PLAY_KEY), PLAY_KEY, "left_anti").persist()
-        log.append(n, fresh, most)
+        log.append(n, fresh, most, places)
         games = game_log(spark, out)
-        games.append(n, fresh.select(*_G).distinct(), most, last_batches)
+        games.append(n, fresh.select(*_G).distinct(), most, places, last_batches)
         current = last_batches(games.read(before=n + 1)).persist()
         touched = current.where(F.col("batch") == n).select(*_G)
-        if set(wanted) - {"players"}:
-            mine = before.drop("batch", "bucket").unionByName(fresh.drop("bucket")).join(touched, _G, "left_semi")
-            for name, table in live_tables(mine, box.join(touched, _G, "left_semi"), wanted).items():
-                _append(spark, out, name, n, table, most, current)
-        if "players" in wanted:
+        mine = before.drop("batch", "bucket").unionByName(fresh.drop("bucket")).join(touched, _G, "left_semi").persist()
+        keep = lambda rows: of_batches(rows, current)
+
+        def players() -> DataFrame:
             counts = count_log(spark, out)
             known = of_batches(counts.read(places, n), last_batches(games.read(places, n))).join(touched, _G, "left_semi")
             now = P.add_counts(known, P.play_counts(fresh)) if n else P.play_counts(fresh)
-            counts.append(n, now, most, lambda rows: of_batches(rows, current))
-            mine = counts.read(places, n + 1).where(F.col("batch") == n)
-            _append(spark, out, "players", n, live_players(mine), most, current)
-        for df in (new, fresh, current):
+            counts.append(n, now, most, places, keep)
+            return live_players(counts.read(places, n + 1).where(F.col("batch") == n))
+
+        def write(name: str) -> None:
+            table = players() if name == "players" else live_table(name, mine, box.join(touched, _G, "left_semi"))
+            GameLog(spark, f"{out}/{name}", table.schema).append(n, table, most, places, keep)
+            if not files.exists(spark, f"{out}/{name}/schema.json"):
+                files.write_text(spark, f"{out}/{name}/schema.json", table.schema.json())
+
+        with ThreadPoolExecutor(len(wanted)) as pool:  # the tables do not depend on each other
+            list(pool.map(write, wanted))
+        for df in (new, fresh, current, mine):
             df.unpersist()
 
     return (
@@ -117,12 +126,6 @@ def write_live_games(
     )
 
 
-def _append(spark: SparkSession, out: str, name: str, n: int, table: DataFrame, n_rows: int, current: DataFrame) -> None:
-    GameLog(spark, f"{out}/{name}", table.schema).append(n, table, n_rows, lambda rows: of_batches(rows, current))
-    if not files.exists(spark, f"{out}/{name}/schema.json"):
-        files.write_text(spark, f"{out}/{name}/schema.json", table.schema.json())
-
-
 def latest_table(spark: SparkSession, out: str, name: str) -> DataFrame:
     """Rows of each game from the last micro-batch that brought plays of it."""
     log = GameLog(spark, f"{out}/{name}", StructType.fromJson(json.loads(files.read_text(spark, f"{out}/{name}/schema.json"))))

@@ -3,7 +3,7 @@
 Each micro-batch appends one *segment*: rows sorted by season, game bucket and game, in as few files as its rows need.
 As soon as ``FAN`` segments of one level are there they are merged into one of the next, so a row is rewritten once a
 level and the log has less than ``FAN`` segments a level, however many micro-batches there were. A manifest per micro-batch
-lists the segments with an index of their files: which seasons and buckets a file holds, and how many rows of each. Readers
+lists the segments with an index of their files: which seasons and buckets a file may hold. Readers
 that want some games open the files of their buckets only. A micro-batch that is run again starts from the manifest before
 it and replaces its own; what the last two manifests name is kept, anything older is removed.
 """
@@ -22,6 +22,7 @@ from courtlake.sources import files
 FAN = 4
 GAME_BUCKETS = 64
 FILE_ROWS = 1_000_000
+SMALL_ROWS = 20_000  # so few rows are not worth a shuffle of their own
 Place = tuple[int, int]  # season, bucket
 
 
@@ -54,7 +55,7 @@ class GameLog:
     def read(self, places: set[Place] | None = None, before: int | None = None, segments: list[dict] | None = None) -> DataFrame:
         """All rows, or those of some (season, bucket): only files that hold rows of these are opened."""
         segments = self.segments(before) if segments is None else segments
-        found = sorted({f for s in segments for f, season, bucket, _ in s["files"] if places is None or (season, bucket) in places})
+        found = sorted({f for s in segments for f, season, bucket in s["files"] if places is None or (season, bucket) in places})
         if not found:
             return self.spark.createDataFrame([], self.schema)
         rows = self.spark.read.schema(self.schema).parquet(*found)
@@ -66,27 +67,32 @@ class GameLog:
         return rows.where(here)
 
     # -- writing ------------------------------------------------------------------
-    def _write(self, rows: DataFrame, n_rows: int, level: int) -> dict:
+    def _write(self, rows: DataFrame, n_rows: int, level: int, places: set[Place]) -> dict:
+        """One file holds all places given; of several, a look at them tells which holds which."""
         path = f"{self.root}/segments/{uuid.uuid4().hex}"
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         parts = max(1, -(-n_rows // FILE_ROWS))
-        dealt = rows.repartition(1) if parts == 1 else rows.repartitionByRange(parts, *self.order)
+        dealt = rows.coalesce(1) if n_rows <= SMALL_ROWS else rows.repartition(1) if parts == 1 else rows.repartitionByRange(parts, *self.order)
         dealt.sortWithinPartitions(*self.order).write.parquet(path)
-        held = self.spark.read.schema(self.schema).parquet(path).groupBy("season", "bucket", F.col("_metadata.file_path").alias("file")).count().collect()
-        return {"path": path, "level": level, "files": sorted([r.file, r.season, r.bucket, r["count"]] for r in held)}
-
-    def append(self, n: int, rows: DataFrame, n_rows: int, combine: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
-        """Adds the rows as micro-batch ``n``; ``n_rows`` is their number or a bound of it. Merged rows go through ``combine``, which may drop
-        those that no longer count."""
+        if parts == 1:
+            held = [[f"{path}/{f}", season, bucket] for f in files.names(self.spark, path) if f.endswith(".parquet") for season, bucket in places]
+        else:
+            file = F.col("_metadata.file_path").alias("file")
+            held = [list(r) for r in self.spark.read.schema(self.schema).parquet(path).select(file, "season", "bucket").distinct().collect()]
+        return {"path": path, "level": level, "rows": n_rows, "files": sorted(held)}
+
+    def append(self, n: int, rows: DataFrame, n_rows: int, places: set[Place], combine: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
+        """Adds the rows as micro-batch ``n``. ``n_rows`` is about their number, ``places`` holds every (season, bucket) they may lie in.
+        Merged rows go through ``combine``, which may drop those that no longer count."""
         rows = rows.drop("batch", "bucket").withColumns({"batch": F.lit(n).cast("long"), "bucket": bucket_of()})
-        segments = [*self.segments(n), self._write(rows, n_rows, 0)]
+        segments = [*self.segments(n), self._write(rows, n_rows, 0, places)]
         level = 0
         while len(same := [s for s in segments if s["level"] == level]) >= FAN:
             merged = self.read(segments=same)
             if combine:
                 merged = combine(merged)
-            total = sum(r for s in same for *_, r in s["files"])
-            segments = [s for s in segments if s["level"] != level] + [self._write(merged, total, level + 1)]
+            held = {(season, bucket) for s in same for _, season, bucket in s["files"]}
+            segments = [s for s in segments if s["level"] != level] + [self._write(merged, sum(s["rows"] for s in same), level + 1, held)]
             level += 1
         files.write_text(self.spark, self._manifest(n), json.dumps(segments))
         self._tidy(n)

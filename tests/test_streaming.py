@@ -6,7 +6,7 @@ from courtlake.sources import files
 from courtlake.streaming import live as R
 from courtlake.streaming.log import FAN, GameLog, last_batches, of_batches
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,7 +55,7 @@ def test_slices_end_like_the_batch(spark, tmp_path):
     wp = sorted((r.play_number, r.home_wp) for r in R.latest_table(spark, out, "win_probability").collect())
     assert wp == sorted((r.play_number, r.home_wp) for r in Q.win_probability_timeline(batch).collect())
     cur = {r.team: r.lineup for r in R.latest_table(spark, out, "current_lineups").collect()}
-    assert cur == {r.team: r.lineup for r in R.live_tables(batch, box)["current_lineups"].collect()}
+    assert cur == {r.team: r.lineup for r in R.current_lineups(batch, box).collect()}
     for name, want in (("run_history", Q.run_stoppers(batch)), ("active_run", Q.active_run(batch))):
         got = R.latest_table(spark, out, name)
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
@@ -70,7 +70,7 @@ def test_counts_add_up_in_any_slices(spark):
     assert B.advanced_stats(P.live_boxscore(whole)).count() == whole.filter("player_id IS NOT NULL").count()
 
 
-SCHEMA = StructType.fromDDL("season INT, gamecode INT, n INT")
+SCHEMA = StructType([StructField(c, IntegerType()) for c in ("season", "gamecode", "n")])
 
 
 def test_log_stays_small_and_whole(spark, tmp_path):
@@ -80,22 +80,31 @@ def test_log_stays_small_and_whole(spark, tmp_path):
     for n in range(20):
         new = [(2024 + rng.randrange(2), rng.randrange(300), 100 * n + k) for k in range(30)]
         rows += new
-        segments = log.append(n, spark.createDataFrame(new, SCHEMA), len(new))
+        segments = log.append(n, spark.createDataFrame(new, SCHEMA), len(new), {(s, g % 64) for s, g, _ in new})
         levels = [s["level"] for s in segments]
         assert all(levels.count(k) < FAN for k in levels) and len(segments) <= 2 * FAN
         assert len(files.names(spark, f"{tmp_path}/log/segments")) <= 4 * FAN
     assert sorted((r.season, r.gamecode, r.n) for r in log.read().collect()) == sorted(rows)
-    held = {f for s in log.segments() for f, season, bucket, _ in s["files"] if (season, bucket) == (2024, 7)}
+    held = {f.split("/")[-1] for s in log.segments() for f, season, bucket in s["files"] if (season, bucket) == (2024, 7)}
     some = log.read({(2024, 7)})
-    assert set(some.inputFiles()) == held and len(held) <= 2 * FAN
+    assert {f.split("/")[-1] for f in some.inputFiles()} == held and len(held) <= 2 * FAN
     assert sorted(r.n for r in some.collect()) == sorted(n for s, g, n in rows if s == 2024 and g % 64 == 7)
 
 
+def test_a_segment_of_many_files_is_indexed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("courtlake.streaming.log.FILE_ROWS", 50)
+    monkeypatch.setattr("courtlake.streaming.log.SMALL_ROWS", 10)
+    log, rows = GameLog(spark, str(tmp_path / "log"), SCHEMA, ["n"]), [(2024, k % 40, k) for k in range(400)]
+    log.append(0, spark.createDataFrame(rows, SCHEMA), 400, {(2024, k) for k in range(40)})
+    some = log.read({(2024, 3)})
+    assert 1 <= len(some.inputFiles()) <= 2 < len(log.read().inputFiles()) and sorted(r.n for r in some.collect()) == list(range(3, 400, 40))
+
+
 def test_a_repeated_micro_batch_replaces_itself(spark, tmp_path):
     log = GameLog(spark, str(tmp_path / "log"), SCHEMA)
     for n in range(5):
         for _ in range(1 + (n in (0, 3, 4))):  # at 3 the segments are merged
-            log.append(n, spark.createDataFrame([(2024, 1, n)], SCHEMA), 1)
+            log.append(n, spark.createDataFrame([(2024, 1, n)], SCHEMA), 1, {(2024, 1)})
     assert sorted(r.n for r in log.read().collect()) == [0, 1, 2, 3, 4]
     assert sorted(r.n for r in log.read(before=4).collect()) == [0, 1, 2, 3]
 
@@ -104,8 +113,9 @@ def test_rows_that_no_longer_count_go_when_merged(spark, tmp_path):
     log, games = (GameLog(spark, str(tmp_path / n), SCHEMA) for n in ("log", "games"))
     for n in range(8):
         rows = spark.createDataFrame([(2024, 1, n), (2024, 2 + n, n)], SCHEMA)
-        games.append(n, rows, 2, lambda df: last_batches(df).withColumn("n", F.lit(0)))
-        log.append(n, rows, 2, lambda df: of_batches(df, last_batches(games.read())))
+        places = {(2024, 1), (2024, 2 + n)}
+        games.append(n, rows, 2, places, lambda df: last_batches(df).withColumn("n", F.lit(0)))
+        log.append(n, rows, 2, places, lambda df: of_batches(df, last_batches(games.read())))
     got = of_batches(log.read(), last_batches(games.read()))
     assert sorted((r.gamecode, r.n) for r in got.collect()) == [(1, 7)] + [(2 + n, n) for n in range(8)]
     assert log.read().count() < 16
@@ -114,7 +124,7 @@ def test_rows_that_no_longer_count_go_when_merged(spark, tmp_path):
 def test_an_empty_log(spark, tmp_path):
     log = GameLog(spark, str(tmp_path / "log"), SCHEMA)
     assert log.read().collect() == [] and log.segments() == []
-    log.append(0, spark.createDataFrame([], SCHEMA), 0)
+    log.append(0, spark.createDataFrame([], SCHEMA), 0, set())
     assert log.read().collect() == []
 
 
