@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtlake import config as C
+from courtlake import config as C, schemas
 from courtlake.plans.oracle_base import AS_OF, FUTURE_AS_OF, MONTH, PTS, STATS, display, ratio
 from courtlake.plans.queries_sequences import _LIVE_SCORE, ACTIVE_RUN, RUN_HISTORY
 from courtlake.plans.registry import joined_text, query, rounded
@@ -349,6 +349,91 @@ def _(lg):
     return _stored(lg, "season_on_off_splits").select("season", "player_id", "team", "player_name", "games", "on_events", "on_poss", "on_net_rtg", "off_net_rtg", "on_off_diff")
 
 
+# -- publishing: catalog tables of the current version, and a load that is turned away ----------
+_PUBLISHED: dict[tuple, tuple[str, int]] = {}
+
+
+def _published(lg):
+    """The catalog database of the stored tables, and its version, once per application and state of the data."""
+    from courtlake.sources.store import publish
+
+    key = (lg.spark.sparkContext.applicationId, lg.state("events"))
+    if key not in _PUBLISHED:
+        name = f"courtlake_{len(_PUBLISHED)}"
+        _PUBLISHED[key] = (name, publish(lg.spark, _synced(lg), name))
+    return _PUBLISHED[key]
+
+
+def _columns():
+    """(table, place, column, type) of the declared schema, types as the catalog names them."""
+    for name, ddl in schemas.TABLES.items():
+        fields = [f.split() for f in ddl.split(", ")]
+        fields = [f for f in fields if f[0] != "season"] + [f for f in fields if f[0] == "season"]  # the partition column is last
+        for i, (column, kind) in enumerate(fields, 1):
+            yield name, i, column, {"INT": "int", "BIGINT": "bigint", "STRING": "string", "DOUBLE": "double", "DATE": "date", "BOOLEAN": "boolean"}[kind]
+
+
+@query("s23_catalog_columns", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}, '{c}', '{k}', 2)" for t, i, c, k in _columns()) + ") AS x(table_name, place, column_name, data_type, version)")
+def _(lg):
+    name, version = _published(lg)
+    rows = [(t, i, c.name, c.dataType, version) for t in schemas.TABLES for i, c in enumerate(lg.spark.catalog.listColumns(f"{name}.{t}"), 1)]
+    return lg.spark.createDataFrame(rows, "table_name STRING, place INT, column_name STRING, data_type STRING, version INT")
+
+
+_SEASON_ROWS = {"games": "games", "play_by_play": "pbp", "boxscores": "box", "player_advanced_stats": "adv", "shots": "shots", "season_on_off_splits": "season_onoff"}
+
+
+@query("s23_catalog_rows", " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, season, count(*) AS n_rows FROM {r} GROUP BY season" for t, r in _SEASON_ROWS.items()]
+    + ["SELECT 'teams', NULL, count(*) FROM teams", "SELECT 'players', NULL, count(DISTINCT player_id) FROM box"]))
+def _(lg):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    name, _ = _published(lg)
+    table = lambda t: lg.spark.table(f"{name}.{t}")
+    parts = [table(t).groupBy("season").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "season", "n_rows") for t in _SEASON_ROWS]
+    parts += [table(t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), F.lit(None).cast("int").alias("season"), "n_rows") for t in ("teams", "players")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Faults of a load: what is wrong in which games.
+_FAULTS = {
+    ("boxscores", "key is not unique"): ("box", "gamecode % 7 = 0"), ("boxscores", "player_id is null"): ("box", "gamecode % 7 = 1 AND is_home = 1"),
+    ("boxscores", "team_code not in teams"): ("box", "gamecode % 7 = 3 AND is_home = 0"), ("boxscores", "points is null"): ("box", "gamecode % 7 = 4 AND is_starter = 1"),
+    ("play_by_play", "season, gamecode not in games"): ("pbp", "gamecode % 7 = 2"), ("play_by_play", "period is null"): ("pbp", "gamecode % 7 = 5"),
+    ("shots", "key is not unique"): ("shots", "gamecode % 7 = 6"),
+}
+_COUNTED = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{r}' AS rule, count(*) AS violations, 2 AS version FROM {src} WHERE {where}" for (t, r), (src, where) in _FAULTS.items())
+
+
+@query("s23_rejected_load", f"SELECT * FROM ({_COUNTED}) WHERE violations > 0")
+def _(lg):
+    """What a load with these faults is turned away for, and the version that stays."""
+    from courtlake.sources.constraints import ConstraintError
+    from courtlake.sources.store import Store
+
+    at = {k: F.expr(where) for k, (_, where) in _FAULTS.items()}
+    damage = lambda c, key, value: F.when(at[key], value).otherwise(F.col(c)).alias(c)
+    swap = lambda df, **new: df.select(*[new.get(c, F.col(c)) for c in df.columns])
+    none = F.lit(None)
+    box = swap(lg.box, player_id=damage("player_id", ("boxscores", "player_id is null"), none), points=damage("points", ("boxscores", "points is null"), none),
+               team_code=damage("team_code", ("boxscores", "team_code not in teams"), F.lit("???")))
+    pbp = swap(lg.pbp, gamecode=damage("gamecode", ("play_by_play", "season, gamecode not in games"), F.col("gamecode") + 100_000), period=damage("period", ("play_by_play", "period is null"), none))
+    store = Store(lg.spark, _synced(lg))
+    store.stage("boxscores", box.unionByName(lg.box.where(at["boxscores", "key is not unique"])))
+    store.stage("play_by_play", pbp)
+    store.stage("shots", lg.shots.unionByName(lg.shots.where(at["shots", "key is not unique"])))
+    try:
+        store.commit()
+        found = []
+    except ConstraintError as e:
+        found = e.found
+    version = Store(lg.spark, _synced(lg)).version
+    return lg.spark.createDataFrame([(*f, version) for f in found], "table_name STRING, rule STRING, violations LONG, version INT")
+
+
 # -- streams: overlapping slices of every game, the last plays first, one slice a micro-batch --
 _LANDED: dict[tuple, str] = {}
 _SLICES = ("TRUE_NUMBEROFPLAY > 60", "TRUE_NUMBEROFPLAY BETWEEN 20 AND 70", "TRUE_NUMBEROFPLAY <= 30 OR TRUE_NUMBEROFPLAY > 90", "TRUE_NUMBEROFPLAY % 10 = 0")

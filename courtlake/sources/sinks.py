@@ -1,18 +1,16 @@
-"""Keyed merges and table writers.
+"""Keyed merges.
 
 ``merge`` is the one upsert: a full outer join on the key with a rule per
-column. The loaders are configurations of it. Writers replace whole season
-partitions or whole tables, so a re-run after a lost job gives the same files.
+column. The loaders are configurations of it; ``store`` keeps their results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from courtlake import config as C, schemas as S
-from courtlake.functions import exprs as X
+from courtlake import config as C
 
 _G = C.GAME_KEYS
 Rule = Callable[[Column, Column], Column]
@@ -132,42 +130,3 @@ def load_advanced_stats(stored: DataFrame, adv: DataFrame) -> DataFrame:
 
 def load_on_off(stored: DataFrame, on_off: DataFrame) -> DataFrame:
     return merge(stored, on_off, ["season", "player_id", "team"], default=take_new)
-
-
-# -- tables -------------------------------------------------------------------
-_PARTITIONED = {"games", "play_by_play", "boxscores", "player_advanced_stats", "shots", "season_on_off_splits"}
-
-
-def ensure_schema(spark: SparkSession, root: str, database: str = "courtlake") -> list[str]:
-    """Create the league tables where they do not exist yet."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
-    for name in S.TABLES:
-        cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.struct(name).fields)
-        part = "PARTITIONED BY (season)" if name in _PARTITIONED else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({cols}) USING parquet {part} LOCATION '{root}/{name}'")
-    return sorted(S.TABLES)
-
-
-def write_table(df: DataFrame, root: str, name: str, columns: list[str] | None = None) -> str:
-    """Write a league table; a season table overwrites just the seasons it holds.
-
-    Rows are spread by season and game before writing, so a season is written by
-    many tasks and a big one does not end up in a single file.
-    """
-    path = f"{root}/{name}"
-    wanted = columns or [f.name for f in S.struct(name).fields if f.name in df.columns]
-    out = df.select(*wanted)
-    writer = out.write.mode("overwrite").format("parquet")
-    if name in _PARTITIONED:
-        spread = ["season", "gamecode"] if "gamecode" in wanted else ["season", "player_id"]
-        writer = (
-            out.repartition(*spread).write.mode("overwrite").format("parquet")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("season")
-        )
-    writer.save(path)
-    return path
-
-
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(S.TABLES[name]).parquet(f"{root}/{name}")
-

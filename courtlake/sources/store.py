@@ -1,22 +1,31 @@
-"""Stored league tables: versions of season partitions, switched by a manifest.
+"""Stored league tables: versions of season partitions behind manifests, checked before they count.
 
-A load writes what it changes into new folders and then appends one set of rows to the manifest, which
-names the folder of every table and season. Nothing that may be read is overwritten, and a load that
-fails before that append leaves the tables as they were. Only seasons with changes are rewritten.
+A load writes what it changes into new folders ("staged"), has that checked against the constraints, and then claims the next version by
+putting its manifest, which names the folder of every table and season, under that version's number. Only one load can have a number: the other
+is told so and starts again from what is stored by then (``transact``). Nothing that may be read is overwritten, and a load that fails leaves the
+tables as they were. Only seasons with changes are rewritten, and only the last manifest is read.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake import schemas as S
+from courtlake.sources import files
+from courtlake.sources.constraints import ConstraintError, audit
 
 SEASONAL = {"games", "play_by_play", "boxscores", "player_advanced_stats", "shots", "season_on_off_splits"}
-_MANIFEST = "version LONG, name STRING, season INT, path STRING"
 Entry = tuple[str, int | None, str]
+T = TypeVar("T")
+
+
+class Conflict(RuntimeError):
+    """Another load has taken the version since this one read the tables."""
 
 
 class Store:
@@ -25,21 +34,23 @@ class Store:
         self.staged: list[Entry] = []
         self.version, self.entries = self._latest()
 
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifest/{version:012d}.json"
+
     def _latest(self) -> tuple[int, dict[tuple[str, int | None], str]]:
-        """The last version's folders; a row per table and season, so it is small."""
-        try:
-            rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest").collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            rows = []
-        last = max((r.version for r in rows), default=0)
-        return last, {(r.name, r.season): r.path for r in rows if r.version == last}
+        """The last version's folders: an entry per table and season."""
+        numbers = [n for n in files.names(self.spark, f"{self.root}/manifest") if n.endswith(".json")]
+        if not numbers:
+            return 0, {}
+        last = int(numbers[-1][:-5])
+        return last, {(n, s): p for n, s, p in json.loads(files.read_text(self.spark, self._manifest(last)))}
 
     def read(self, name: str, seasons: list[int] | None = None) -> DataFrame:
         """The table as stored and staged, or only some seasons of it: other seasons' folders are not even listed."""
         now = self.entries | {(n, s): p for n, s, p in self.staged}
-        paths = [p for (n, s), p in sorted(now.items(), key=str) if n == name and (seasons is None or s is None or s in seasons)]
+        return self._frame(name, [p for (n, s), p in sorted(now.items(), key=str) if n == name and (seasons is None or s is None or s in seasons)])
+
+    def _frame(self, name: str, paths: list[str]) -> DataFrame:
         schema = S.struct(name)
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -57,12 +68,73 @@ class Store:
         spread = ["season", "gamecode"] if "gamecode" in schema.names else ["season", "player_id"]
         out.repartition(*spread).write.partitionBy("season").parquet(path)
         written = self.spark.read.schema(schema).parquet(path).select("season").distinct().collect()
-        self.staged += [(name, r.season, f"{path}/season={r.season}") for r in written]
+        self.staged += [(name, r.season, f"{path}/season={'__HIVE_DEFAULT_PARTITION__' if r.season is None else r.season}") for r in written]
 
-    def commit(self) -> int:
-        """Switch to what is staged; one small file, so readers see all of it or nothing."""
+    def audit(self) -> DataFrame:
+        """Every constraint of what is staged; references may be met by stored rows as well."""
+        names = sorted({n for n, _, _ in self.staged})
+        staged = {n: self._frame(n, [p for m, _, p in self.staged if m == n]) for n in names}
+        return audit(staged, {n: self.read(n) for n in S.TABLES})
+
+    def commit(self, checked: bool = True) -> int:
+        """Switch to what is staged, all of it or nothing. Raises ``ConstraintError`` if it breaks a constraint, ``Conflict`` if another load was
+        first; the tables stay as they were then."""
+        if checked and self.staged:
+            found = [tuple(r) for r in self.audit().where("violations > 0").orderBy("table_name", "rule").collect()]
+            if found:
+                self.discard()
+                raise ConstraintError(found)
         now = self.entries | {(n, s): p for n, s, p in self.staged}
-        rows = [(self.version + 1, n, s, p) for (n, s), p in now.items()]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        if not files.claim(self.spark, self._manifest(self.version + 1), json.dumps([(n, s, p) for (n, s), p in now.items()])):
+            self.discard()
+            raise Conflict(f"version {self.version + 1} is taken")
         self.version, self.entries, self.staged = self.version + 1, now, []
         return self.version
+
+    def discard(self) -> None:
+        for name, season, path in self.staged:
+            files.delete(self.spark, path if season is None and name not in SEASONAL else path.rsplit("/", 1)[0])
+        self.staged = []
+
+    def tidy(self, keep: int = 2) -> None:
+        """Removes manifests before the last ``keep`` versions, and folders that only they name; readers of older versions must be done."""
+        every = [n for n in files.names(self.spark, f"{self.root}/manifest") if n.endswith(".json")]
+        old, new = every[:-keep], every[-keep:]
+        named = lambda ns: {p for n in ns for _, _, p in json.loads(files.read_text(self.spark, f"{self.root}/manifest/{n}"))}
+        for path in named(old) - named(new):
+            files.delete(self.spark, path)
+        for n in old:
+            files.delete(self.spark, f"{self.root}/manifest/{n}")
+
+
+def transact(spark: SparkSession, root: str, build: Callable[[Store], T], attempts: int = 5) -> tuple[Store, T]:
+    """``build`` stages a load on the tables as stored; if another load is committed meanwhile it is run again on what that has stored."""
+    while True:
+        store, attempts = Store(spark, root), attempts - 1
+        made = build(store)
+        try:
+            store.commit()
+            return store, made
+        except Conflict:
+            if not attempts:
+                raise
+
+
+def publish(spark: SparkSession, root: str, database: str = "courtlake") -> int:
+    """Catalog tables that show the current version: season tables get a partition per season at the folder that the manifest names, others are
+    put at their folder. Tables without rows yet are created empty. Returns the version."""
+    store = Store(spark, root)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/catalog'")
+    for name in S.TABLES:
+        fields = S.struct(name).fields
+        cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+        places = {s: p for (n, s), p in store.entries.items() if n == name}
+        empty = f"{root}/catalog/{name}"
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+        if name in SEASONAL:
+            spark.sql(f"CREATE TABLE {database}.{name} ({cols}) USING parquet PARTITIONED BY (season) LOCATION '{empty}'")
+            for season, path in sorted(places.items()):
+                spark.sql(f"ALTER TABLE {database}.{name} ADD PARTITION (season = {season}) LOCATION '{path}'")
+        else:
+            spark.sql(f"CREATE TABLE {database}.{name} ({cols}) USING parquet LOCATION '{places.get(None, empty)}'")
+    return store.version

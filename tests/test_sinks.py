@@ -29,25 +29,6 @@ def test_replace_games(spark):
     assert sorted((r.gamecode, r.v) for r in W.replace_games(old, new).collect()) == [(1, "old"), (2, "new"), (2, "new2")]
 
 
-def test_season_partitions_are_replaced_not_added(spark, make, tmp_path):
-    from conftest import box_row
-
-    root = str(tmp_path)
-    rows = lambda season, pts: make.box([box_row("P1", "AAA", 1, season=season, points=pts), box_row("P2", "BBB", 0, season=season)])
-    W.write_table(rows(2023, 1).unionByName(rows(2024, 2)), root, "boxscores")
-    W.write_table(rows(2024, 7), root, "boxscores")
-    W.write_table(rows(2024, 7), root, "boxscores")
-    got = sorted((r.season, r.points) for r in W.read_table(spark, root, "boxscores").filter("player_id = 'P1'").collect())
-    assert got == [(2023, 1), (2024, 7)]
-
-
-def test_ensure_schema_is_idempotent(spark, tmp_path):
-    W.ensure_schema(spark, str(tmp_path / "db"), "league_test")
-    names = W.ensure_schema(spark, str(tmp_path / "db"), "league_test")
-    assert len(names) == 8 and spark.table("league_test.games").count() == 0
-    assert "season" in [f.name for f in spark.table("league_test.boxscores").schema]
-
-
 @pytest.mark.parametrize("fmt", ["json", "parquet", "csv"])
 def test_landing_formats(spark, tmp_path, fmt):
     from courtlake import schemas
