@@ -349,6 +349,84 @@ def _(lg):
     return _stored(lg, "season_on_off_splits").select("season", "player_id", "team", "player_name", "games", "on_events", "on_poss", "on_net_rtg", "off_net_rtg", "on_off_diff")
 
 
+# -- landed files: one per game and feed, some records broken, every ninth game absent, in two loads ----------
+_FILED: dict[tuple, dict] = {}
+_ABSENT = "gamecode % 9 = 4"
+#: Per feed: its raw schema, format, and which records are broken, in raw columns and in those of the statements.
+_LANDING = {
+    "boxscore": (schemas.RAW_BOXSCORE, "json", "Gamecode % 5 = 1 AND Home = 1 AND IsStarter = 1", "gamecode % 5 = 1 AND is_home = 1 AND is_starter = 1"),
+    "play_by_play": (schemas.RAW_PLAY_BY_PLAY, "json", "Gamecode % 5 = 2 AND TRUE_NUMBEROFPLAY % 10 = 7", "gamecode % 5 = 2 AND true_numberofplay % 10 = 7"),
+    "shots": (schemas.RAW_SHOTS, "csv", "Gamecode % 5 = 3 AND NUM_ANOT % 6 = 1", "gamecode % 5 = 3 AND num_anot % 6 = 1"),
+}
+
+
+def _landed(lg):
+    """The three feeds as files, read in two loads, once per application and state of the data."""
+    from courtlake.sources.ingest import Landing
+
+    key = (lg.spark.sparkContext.applicationId, lg.state("events"))
+    if key not in _FILED:
+        out = {}
+        for feed, (schema, fmt, broken, _) in _LANDING.items():
+            folder, root = scratch_path(lg.spark, f"landing-{feed}"), scratch_path(lg.spark, f"read-{feed}")
+            names = [c.split()[0] for c in schema.split(", ")]
+            raw = lg.raw(feed).select(*names).where(f"NOT ({_ABSENT})")
+            line = F.to_json(F.struct(*names)) if fmt == "json" else F.to_csv(F.struct(*names))
+            damaged = F.expr("substring(line, 1, length(line) - 9)") if fmt == "json" else F.concat(F.lit("?"), "line")
+            lines = raw.select(F.col("Season").alias("s"), F.col("Gamecode").alias("g"), line.alias("line"), F.expr(broken).alias("broken"))
+            lines = lines.select("s", "g", F.when(F.col("broken"), damaged).otherwise(F.col("line")).alias("value"))
+            landing = Landing(lg.spark, root, schema, fmt)
+            for part in ("g % 2 = 0", "g % 2 = 1"):
+                lines.where(part).repartition(8, "s", "g").write.mode("append").partitionBy("s", "g").text(folder)
+                landing.load([f"{folder}/s=*", f"{folder}/s=1900/g=1"])
+            out[feed] = landing
+        _FILED[key] = out
+    return _FILED[key]
+
+
+def _there(feed: str, columns: str, source: str) -> str:
+    return f"SELECT {columns} FROM {source} WHERE NOT ({_ABSENT}) AND NOT ({_LANDING[feed][3]})"
+
+
+@query("s1_landed_boxscores", _there("boxscore", f"{_G}, player_id, player_name, team_code, seconds, {STATS}", "box"))
+def _(lg):
+    return N.clean_boxscores(_landed(lg)["boxscore"].rows()).select("season", "gamecode", "player_id", "player_name", "team_code", "seconds", *C.COUNT_STATS)
+
+
+@query("s2_landed_plays", _there("play_by_play", f"{_G}, true_numberofplay, playtype, player_id, codeteam, clock_secs, points_a, points_b", "pbp"))
+def _(lg):
+    return N.clean_play_by_play(_landed(lg)["play_by_play"].rows()).select("season", "gamecode", "true_numberofplay", "playtype", "player_id", "codeteam", "clock_secs", "points_a", "points_b")
+
+
+@query("s3_landed_shots", _there("shots", ", ".join(_SHOT), "shots"))
+def _(lg):
+    return N.clean_shots(_landed(lg)["shots"].rows()).select(*_SHOT)
+
+
+@query("s1_quarantined_records", " UNION ALL ".join(
+    f"SELECT '{feed}' AS feed, season, gamecode, 'unreadable record' AS reason, count(*) AS records FROM {source} WHERE NOT ({_ABSENT}) AND {_LANDING[feed][3]} GROUP BY season, gamecode"
+    for feed, source in (("boxscore", "box"), ("play_by_play", "pbp"), ("shots", "shots"))))
+def _(lg):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    part = lambda name: F.regexp_extract("file", f"/{name}=([0-9]+)", 1).cast("int")
+    each = [x.aside().select(F.lit(feed).alias("feed"), part("s").alias("season"), part("g").alias("gamecode"), "reason") for feed, x in _landed(lg).items()]
+    return reduce(DataFrame.unionByName, each).groupBy("feed", "season", "gamecode", "reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("s1_file_ledger", f"""SELECT feed, CASE WHEN gamecode % 2 = 0 THEN 1 ELSE 2 END AS load, count(*) AS n_files
+  FROM (SELECT DISTINCT season, gamecode FROM pbp), (VALUES ('boxscore'), ('play_by_play'), ('shots')) AS x(feed) WHERE NOT ({_ABSENT}) GROUP BY 1, 2""")
+def _(lg):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    each = [x.ledger().groupBy("load").agg(F.count(F.lit(1)).alias("n_files")).select(F.lit(feed).alias("feed"), "load", "n_files") for feed, x in _landed(lg).items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 # -- publishing: catalog tables of the current version, and a load that is turned away ----------
 _PUBLISHED: dict[tuple, tuple[str, int]] = {}
 

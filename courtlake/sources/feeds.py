@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courtlake import config as C, schemas as S
 from courtlake.functions import exprs as X
+from courtlake.sources import files
 from courtlake.sources.clean import clean_boxscores, clean_play_by_play, clean_schedule, clean_shots
 
 _G = C.GAME_KEYS
 
 
 def read_landing(spark: SparkSession, paths: str | list[str], schema: str, fmt: str | None = None) -> DataFrame:
-    """Read landed files of one feed with a declared schema; missing files count as empty."""
+    """Read landed files of one feed with a declared schema; paths that do not exist count as empty. ``ingest`` remembers what it has read."""
     first = paths if isinstance(paths, str) else paths[0]
+    paths = [p for p in ([paths] if isinstance(paths, str) else paths) if files.matches(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], schema)
     fmt = fmt or first.rstrip("/").rsplit(".", 1)[-1].split("/")[-1].lower()
     fmt = fmt if fmt in ("parquet", "json", "csv", "orc") else "parquet"
     reader = spark.read.schema(schema).format(fmt).option("ignoreMissingFiles", "true")

@@ -71,3 +71,9 @@ def state(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     if not exists(spark, path):
         return []
     return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in _fs(spark, path).listStatus(_path(spark, path)))
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether anything is there, by name or pattern."""
+    found = _fs(spark, pattern).globStatus(_path(spark, pattern))
+    return found is not None and len(found) > 0
