@@ -43,7 +43,8 @@ FURNITURE = set(
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+# A quote opens a value only behind an equals sign; one that is never closed is like any other character.
+_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.S)
 _CUT_OFF = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
 _RAW_END |= {n: re.compile(rf"<(/?){n}(?=[\s/>])[^>]*>?", re.I) for n in ("iframe", "noscript")}  # cannot nest, so a second start says that the end is missing
@@ -60,6 +61,30 @@ class Block(NamedTuple):
     heading: int
 
 
+class Open(list):
+    """The open elements, names first, and where those of each name are, so that none has to be looked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, *element) -> None:
+        self.at.setdefault(element[0], []).append(len(self))
+        self.append(element)
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, -1 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def close(self, k: int) -> list[tuple]:
+        """Takes the elements from place ``k`` on away, and returns them."""
+        gone = self[k:]
+        for e in gone:
+            self.at[e[0]].pop()
+        del self[k:]
+        return gone
+
+
 def _names_furniture(attributes: str) -> bool:
     return any(t.lower() in FURNITURE for m in _NAMES.finditer(attributes) for t in _TOKEN.findall(m[1] or m[2] or m[3] or ""))
 
@@ -72,26 +97,26 @@ def _tags(page: str) -> tuple[list[re.Match], dict[int, tuple[int, int]]]:
     select, and a block inside a drawing or formula mean that it is missing."""
     out: list[re.Match] = []
     after: dict[int, tuple[int, int]] = {}
-    open_: list[tuple[str, int, bool]] = []  # name, tag, whether drawing or formula
+    open_ = Open()  # name, tag, whether drawing or formula
     lost: list[int] = []
     never: set[str] = set()
-    pos = 0
-    while m := _TAG.search(page, pos):
+    pos, last = 0, page.rfind(">") + 1  # behind it no tag can end
+    while m := _TAG.search(page, pos, last):
         pos, k, name = m.end(), len(out), (m[2] or "").lower()
         out.append(m)
+        if pos == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            after[k] = (k + 1, len(page))  # a comment without an end
+            break
         if name not in BLOCK and name not in SKIPPED and name not in HTML_WITHIN:
             continue
         foreign = bool(open_) and open_[-1][2]
         if m[1]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    lost += [j for n, j, _ in open_[i + 1 :] if n in SKIPPED]
-                    if name in SKIPPED:
-                        after[open_[i][1]] = (k + 1, pos)
-                    del open_[i:]
-                    break
-                if open_[i][0] in ("applet", "object", "template") and name not in SKIPPED:
-                    break
+            i = open_.last(name)
+            if i >= 0 and (name in SKIPPED or i > open_.last("applet", "object", "template")):
+                own, *within = open_.close(i)
+                lost += [j for n, j, _ in within if n in SKIPPED]
+                if name in SKIPPED:
+                    after[own[1]] = (k + 1, pos)
             continue
         closed = m[3].rstrip().endswith("/")
         if name in _RAW_END and not foreign:
@@ -114,20 +139,17 @@ def _tags(page: str) -> tuple[list[re.Match], dict[int, tuple[int, int]]]:
                 after[k] = (k + 1, pos)
                 continue
             if name in ("button", "select"):
-                i = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-                if i is not None:
-                    lost += [j for n, j, _ in open_[i:] if n in SKIPPED]
-                    del open_[i:]
-            open_.append((name, k, foreign or name in FOREIGN))
+                i = open_.last(name)
+                if i >= 0:
+                    lost += [j for n, j, _ in open_.close(i) if n in SKIPPED]
+            open_.push(name, k, foreign or name in FOREIGN)
         elif name in HTML_WITHIN:
             if foreign and not closed:
-                open_.append((name, k, False))
+                open_.push(name, k, False)
         elif name not in VOID:
             while open_ and open_[-1][2]:
-                n, j, _ = open_.pop()
-                if n in SKIPPED:
-                    lost.append(j)
-            open_.append((name, k, False))
+                lost += [j for n, j, _ in open_.close(len(open_) - 1) if n in SKIPPED]
+            open_.push(name, k, False)
     lost += [j for n, j, _ in open_ if n in SKIPPED]
     at = [k for k, m in enumerate(out) if (m[2] or "").lower() in ENDS_SKIPPED] if lost else []
     for j in lost:
@@ -136,11 +158,22 @@ def _tags(page: str) -> tuple[list[re.Match], dict[int, tuple[int, int]]]:
     return out, after
 
 
+class Container(NamedTuple):
+    parent: int
+    tag: bool  # an element for page furniture
+    named: bool  # its class, id or role names page furniture
+    article: int  # article and main elements up to here
+
+
 def blocks(page: str) -> list[Block]:
     """The page's flat blocks in order; markup, comments and what is never shown are left out. Broken markup does not matter:
-    an end tag without its start is ignored, one that is missing is implied by what follows, a tag cut off by the page's end goes."""
-    out: list[Block] = []
-    open_: list[tuple[str, int, int]] = []  # name, furniture containers, article containers up to here
+    an end tag without its start is ignored, one that is missing is implied by what follows, a tag cut off by the page's end goes.
+
+    A container that is named like page furniture but holds most of the page's words is the page itself, whatever it is called.
+    """
+    found: list[tuple[str, int, int, int, int]] = []  # text, words, linked words, container, heading
+    open_ = Open()  # name, container
+    containers = [Container(-1, False, False, 0)]
     parts: list[tuple[str, bool]] = []
     link, at, heading = False, 0, 0
 
@@ -150,13 +183,9 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(t for t, _ in parts).split())
         if text:
             linked = sum(len(t.split()) for t, a in parts if a)
-            furniture, article = open_[-1][1:] if open_ else (0, 0)
-            out.append(Block(text, text.count(" ") + 1, linked, min(furniture, 1), min(article, 1), heading))
+            found.append((text, text.count(" ") + 1, linked, open_[-1][1] if open_ else 0, heading))
         parts.clear()
 
-    def close(k: int) -> None:
-        del open_[k:]
-
     page = _CUT_OFF.sub("", page)
     tags, after = _tags(page)
     go_on = 0
@@ -168,20 +197,19 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
-            if m[0].startswith("<![CDATA["):
-                parts.append((m[0][9:-3], link))
+            go_on, at = after.get(k, (go_on, at))
             continue
         if m[1]:
             if name == "a":
                 link = False
-            k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
+            k = open_.last(name)
             if name in BLOCK:
                 flush()
                 heading = 0
-            if k is not None:
+            if k >= 0:
                 if name not in BLOCK:
                     flush()
-                close(k)
+                open_.close(k)
             continue
         if name in SKIPPED:
             if k in after:
@@ -196,26 +224,34 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             heading = int(name in HEADINGS)
-            if name in CLOSES_P:
-                k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == "p"), None)
-                if k is not None:
-                    close(k)
-            if name == "li":
-                k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in ("li", "ul", "ol")), None)
-                if k is not None and open_[k][0] == "li":
-                    close(k)
+            if name in CLOSES_P and (k := open_.last("p")) >= 0:
+                open_.close(k)
+            if name == "li" and (k := open_.last("li", "ul", "ol")) >= 0 and open_[k][0] == "li":
+                open_.close(k)
         if name not in VOID and (name in BLOCK or named):
             if named and name not in BLOCK:
                 flush()
-            furniture, article = open_[-1][1:] if open_ else (0, 0)
-            own = named or (name in FURNITURE_TAGS and not (name == "header" and article))
-            if name in ("body", "html", "article", "main"):
-                own = False  # the whole page's class says nothing about a part of it
-            open_.append((name, furniture + own, article + (name in ("article", "main"))))
+            inside = open_[-1][1] if open_ else 0
+            article = containers[inside].article
+            whole = name in ("body", "html", "article", "main")  # the whole page's class says nothing about a part of it
+            furniture = name in FURNITURE_TAGS and not (name == "header" and article)
+            if named and not whole or furniture or name in ("article", "main"):
+                containers.append(Container(inside, furniture, named and not whole, article + (name in ("article", "main"))))
+                inside = len(containers) - 1
+            open_.push(name, inside)
     if at < len(page):
         parts.append((html.unescape(page[at:]), link))
     flush()
-    return out
+
+    held = [0] * len(containers)
+    for _, words, _, c, _ in found:
+        held[c] += words
+    for c in range(len(containers) - 1, 0, -1):  # a container comes behind the one it is in
+        held[containers[c].parent] += held[c]
+    within = [False]
+    for c in containers[1:]:
+        within.append(within[c.parent] or c.tag or (c.named and 2 * held[len(within)] <= held[0]))
+    return [Block(text, words, linked, int(within[c]), min(containers[c].article, 1), h) for text, words, linked, c, h in found]
 
 
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_behind", "link_density_behind", "furniture", "article", "heading"]
