@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +12,7 @@ from courtlake.session import scratch_path
 
 
 _OPEN: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -21,17 +23,43 @@ def dropping(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _OPEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_PATHS: dict[int, str] = {}
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote and nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(id(df), None):
+            _delete(df.sparkSession, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later steps re-read files, not the plan."""
+    """``df`` written to the shared folder and read back: later steps re-read files, not the plan.
+
+    Since nothing else reads this plan's shuffles, their files go as soon as the table is written, not when the driver's JVM happens to collect
+    their handles.
+    """
     path = scratch_path(df.sparkSession, name)
     if _OPEN:
         _OPEN[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, before = df.sparkSession, df.sparkSession.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -52,6 +80,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "v").select("v", "u", "m")
         small = small.select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*")
         small = stored(small.where("u < v").distinct(), "edges")
+        drop_stored(e, large)
         e, before, last = small, last, _digest(small)
         if last == before or last[0] == 0:
             break
