@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from courtlake import config as C
 from courtlake.functions import exprs as X
@@ -47,64 +46,34 @@ def assist_matrix(links: DataFrame, value: str = "count") -> DataFrame:
     return links.groupBy("season", "team", "passer_id", "shooter_id").agg(cell.alias(value))
 
 
-def _nearest_unused(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Give each assist of one (game, shooter, action), in play order, its nearest unused shot."""
-    shots = pdf[pdf["assist_play"].isna()].sort_values("num_anot")
-    free = dict(zip(shots.index, shots["minute"]))
-    out = pdf[pdf["assist_play"].notna()].sort_values("assist_play").copy()
-    for i, minute in out["minute"].items():
-        if free:
-            best = min(free, key=lambda j: abs(free[j] - minute))
-            out.loc[i, ["coord_x", "coord_y", "zone", "num_anot"]] = shots.loc[best, ["coord_x", "coord_y", "zone", "num_anot"]]
-            del free[best]
-    return out
-
-
 def link_assists_to_shots(pairs: DataFrame, shots: DataFrame) -> DataFrame:
     """Assist pairs with the coordinates of the matching made shot and its expected points.
 
-    The match removes used shots one by one, so it runs per (game, shooter,
-    action): the baskets one player made in one game. Groups with a single
-    assist or a single shot need no order and stay in built-in operators.
+    In play order, each assist takes the nearest shot in time of the same (game, shooter, action) that no earlier one has taken, of equally near
+    ones the first. Assists and shots meet in one exchange; the match is a fold over a group's assists whose state is the shots left.
+    A group is what one player made in one game by one kind of action.
     """
     key = ["season", "gamecode", "shooter_id", "play_type"]
-    minute = (F.col("period") - 1) * 10 + (10 - F.col("clock_secs") / 60.0)
-    asked = pairs.withColumn("minute", minute.cast("double"))
-    made = shots.filter(F.col("points") > 0).select(
-        *_G, F.col("id_player").alias("shooter_id"), F.col("id_action").alias("play_type"),
-        F.col("minute").cast("double").alias("shot_minute"), "num_anot", "coord_x", "coord_y", "zone",
-    )
-    many = Window.partitionBy(*key)
-    asked = asked.withColumn("assists", F.count("*").over(many))
-    single, several = asked.filter("assists = 1"), asked.filter("assists > 1")
-
-    nearest = (
-        single.select(*key, "assist_play", "minute").join(made, key)
-        .groupBy(*key, "assist_play")
-        .agg(F.min_by(
-            F.struct("coord_x", "coord_y", "zone", "num_anot"),
-            F.struct(F.abs(F.col("shot_minute") - F.col("minute")).alias("d"), F.col("num_anot").alias("n")),
-        ).alias("m"))
-        .select(*key, "assist_play", "m.coord_x", "m.coord_y", "m.zone", "m.num_anot")
-    )
-    pool = several.select(
-        *key, F.col("assist_play").cast("double").alias("assist_play"), "minute", F.lit(None).cast("double").alias("coord_x"),
-        F.lit(None).cast("double").alias("coord_y"), F.lit(None).cast("string").alias("zone"),
-        F.lit(None).cast("double").alias("num_anot"),
-    ).unionByName(
-        made.join(several.select(*key), key, "left_semi").select(
-            *key, F.lit(None).cast("double").alias("assist_play"), F.col("shot_minute").alias("minute"),
-            "coord_x", "coord_y", "zone", F.col("num_anot").cast("double").alias("num_anot"),
-        )
-    )
-    greedy = pool.groupBy(*key).applyInPandas(_nearest_unused, pool.schema).select(
-        *key, F.col("assist_play").cast("int").alias("assist_play"), "coord_x", "coord_y", "zone",
-        F.col("num_anot").cast("int").alias("num_anot"),
-    )
-    found = nearest.unionByName(greedy)
-    return pairs.join(found, [*key, "assist_play"], "left").withColumn(
-        "xp", X.baseline_xp("coord_x", "coord_y", "shot_value")
-    )
+    rest = [c for c in pairs.columns if c not in key]
+    at = (F.col("period") - 1) * 10 + (10 - F.col("clock_secs") / 60.0)
+    asked = pairs.select(*key, F.struct("assist_play", at.cast("double").alias("at"), F.struct(*rest).alias("pair")).alias("asked"), F.lit(None).alias("made"))
+    shot = F.struct("num_anot", F.col("minute").cast("double").alias("at"), "coord_x", "coord_y", "zone")
+    made = shots.filter((F.col("points") > 0) & F.col("id_player").isNotNull()).select(
+        *_G, F.col("id_player").alias("shooter_id"), F.col("id_action").alias("play_type"), F.lit(None).alias("asked"), shot.alias("made"))
+    group = asked.unionByName(made).groupBy(*key).agg(F.array_sort(F.collect_list("asked")).alias("asked"), F.array_sort(F.collect_list("made")).alias("free"))
+    group = group.where(F.size("asked") > 0)
+
+    none = F.lit(None).cast(group.schema["free"].dataType.elementType)
+    start = F.struct(F.col("free").alias("free"), F.filter(F.array(F.struct(F.element_at("asked", 1)["pair"].alias("pair"), none.alias("shot"))), lambda x: F.lit(False)).alias("done"))
+
+    def take(state, a):
+        near = F.array_min(F.transform(state["free"], lambda s: F.struct(F.abs(s["at"] - a["at"]).alias("d"), s["num_anot"].alias("n"), s.alias("shot"))))["shot"]
+        left = F.filter(state["free"], lambda s: ~s.eqNullSafe(near))
+        return F.struct(left.alias("free"), F.concat(state["done"], F.array(F.struct(a["pair"].alias("pair"), near.alias("shot")))).alias("done"))
+
+    linked = group.select(*key, F.explode(F.aggregate("asked", start, take, lambda state: state["done"])).alias("x"))
+    out = linked.select(*key, "x.pair.*", *[F.col(f"x.shot.{c}").alias(c) for c in ("coord_x", "coord_y", "zone", "num_anot")])
+    return out.select(*pairs.columns, "coord_x", "coord_y", "zone", "num_anot").withColumn("xp", X.baseline_xp("coord_x", "coord_y", "shot_value"))
 
 
 def passer_quality(links: DataFrame, min_assists: int = 10) -> DataFrame:

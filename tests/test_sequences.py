@@ -66,3 +66,26 @@ def test_shot_quality_sums_to_zone_means(spark):
     rows = [(2024, 1, i, "P", "2FGM" if i % 2 else "2FGA", 2 if i % 2 else 0, 1, 0.0, 0.0, "A", 2, i % 2, "P", "AAA") for i in range(4)]
     r = P.shot_quality(_shots(spark, rows)).first()
     assert (r.total_shots, r.makes, r.avg_expected_pts, r.shot_quality_diff) == (4, 2, 1.0, 0.0)
+
+
+def test_shots_are_taken_one_by_one_in_the_jvm(spark, make):
+    """Against a loop over random groups with ties in time; no Python worker in the plan."""
+    import random
+
+    rng = random.Random(4)
+    pairs, shots, want = [], [], {}
+    for g in range(30):
+        free = sorted((n, float(rng.randrange(1, 6))) for n in rng.sample(range(100), rng.randrange(0, 6)))
+        shots += [(2024, g, n, "P1", "2FGM", 2, m, float(n), 1.0, "A") for n, m in free]
+        for k in sorted(rng.sample(range(200, 300), rng.randrange(1, 6))):
+            minute = rng.randrange(1, 6)
+            pairs.append((2024, g, k, "Q", "Q", "P1", "P1", "AAA", 2, "2FGM", 1, 600 - 60 * minute, k))
+            best = min(free, key=lambda s: (abs(s[1] - minute), s[0]), default=None)
+            want[g, k] = best and best[0]
+            free = [s for s in free if s != best]
+    links = P.link_assists_to_shots(
+        spark.createDataFrame(pairs, "season int, gamecode int, assist_play int, passer_id string, passer_name string, shooter_id string, shooter_name string, team string, shot_value int, play_type string, period int, clock_secs int, numberofplay int"),
+        spark.createDataFrame(shots, "season int, gamecode int, num_anot int, id_player string, id_action string, points int, minute double, coord_x double, coord_y double, zone string"))
+    assert {(r.gamecode, r.assist_play): r.num_anot for r in links.collect()} == want
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan and "Join" not in plan
