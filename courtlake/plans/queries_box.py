@@ -258,6 +258,50 @@ def _(lg):
     return Q.shot_violations(lg.shots)
 
 
+# -- the same rules over feeds with faults in them; the statements are the ledger of what was put in ----------
+_VICTIMS = "is_home = 1 AND is_starter = 1"
+
+
+def _damaged(df, where: str, every: int, faults: dict[int, dict[str, str]]):
+    """``df`` with columns replaced in the rows of ``where``, by the remainder of the game's number."""
+    new = {}
+    for k, columns in faults.items():
+        for c, value in columns.items():
+            new[c] = F.when(F.expr(f"({where}) AND gamecode % {every} = {k}"), F.expr(value)).otherwise(new.get(c, F.col(c)))
+    return df.withColumns({c: v.cast(df.schema[c].dataType) for c, v in new.items()})
+
+
+@query("q3_seeded_boxscore_faults", f"""
+  SELECT season, gamecode, player_id AS subject, rule FROM box JOIN (VALUES (0, 'fgm2>fga2'), (1, 'fgm3>fga3'), (2, 'ftm>fta'), (3, 'rebounds'), (4, 'points'), (5, 'points'), (5, 'negative points'),
+    (6, 'minutes'), (7, 'home flag')) AS x(k, rule) ON gamecode % 11 = k WHERE {_VICTIMS}
+  UNION ALL SELECT DISTINCT season, gamecode, team_code, 'five starters' FROM box WHERE is_home = 1 AND gamecode % 11 IN (8, 9)
+  UNION ALL SELECT DISTINCT season, gamecode, 'game', 'two teams' FROM box WHERE gamecode % 11 = 9""")
+def _(lg):
+    return Q.boxscore_violations(_damaged(lg.box, _VICTIMS, 11, {
+        0: {"fga2": "fgm2 - 1"}, 1: {"fga3": "fgm3 - 1"}, 2: {"fta": "ftm - 1"}, 3: {"total_rebounds": "total_rebounds + 1"}, 4: {"points": "points + 1"}, 5: {"points": "-1"},
+        6: {"minutes_str": "'?'"}, 7: {"is_home": "2"}, 8: {"is_starter": "0"}, 9: {"team_code": "'???'"},
+    }))
+
+
+@query("q4_seeded_play_faults", """
+  SELECT DISTINCT season, gamecode, rule FROM pbp JOIN (VALUES (0, 'four periods'), (1, 'known plays'), (2, 'clock format'), (3, 'play order'), (4, 'substitutions')) AS x(k, rule) ON gamecode % 7 = k""")
+def _(lg):
+    df = _damaged(lg.pbp, "true_numberofplay = 50", 7, {1: {"playtype": "'??'"}, 3: {"true_numberofplay": "51"}})
+    df = _damaged(df, "true", 7, {0: {"period": "least(period, 3)"}, 2: {"markertime": "replace(markertime, ':', '.')"}, 4: {"playtype": "CASE WHEN playtype = 'IN' THEN 'OUT' ELSE playtype END"}})
+    return Q.play_by_play_violations(df)
+
+
+@query("q5_seeded_shot_faults", """
+  SELECT season, gamecode, num_anot, 'x range' AS rule FROM shots WHERE gamecode % 6 = 0 AND coord_x IS NOT NULL
+  UNION ALL SELECT season, gamecode, num_anot, 'y range' FROM shots WHERE gamecode % 6 = 1 AND coord_y IS NOT NULL
+  UNION ALL SELECT season, gamecode, num_anot, 'points' FROM shots WHERE gamecode % 6 = 2
+  UNION ALL SELECT season, gamecode, num_anot, 'action' FROM shots WHERE gamecode % 6 = 3
+  UNION ALL SELECT season, gamecode, num_anot, 'no coordinates' FROM shots WHERE coord_x IS NULL AND id_action NOT IN ('FTM', 'FTA') AND gamecode % 6 <> 3""")
+def _(lg):
+    return Q.shot_violations(_damaged(lg.shots, "true", 6, {
+        0: {"coord_x": "coord_x + 5000"}, 1: {"coord_y": "coord_y - 5000"}, 2: {"points": "7"}, 3: {"id_action": "'??'"}}))
+
+
 @query("s24_field_profile", """
   SELECT 'season' AS column_name, 'int' AS dtype, count(*) AS rows, count(*) - count(season) AS null_rows, min(CAST(season AS VARCHAR)) AS sample FROM shots UNION ALL
   SELECT 'id_player', 'string', count(*), count(*) - count(id_player), min(id_player) FROM shots UNION ALL
