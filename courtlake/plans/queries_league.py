@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from courtlake.functions import exprs as X
 from courtlake.operators import filters as FL, league as T, ranking as O, windows as W
 from courtlake.plans.oracle_base import MONTH, display, ratio, ratio0
 from courtlake.plans.registry import query, rounded
@@ -439,3 +440,20 @@ _F6 = ["efg_pct", "tov_pct", "orb_pct", "ft_rate", "three_pt_rate", "pace"]
 def _(lg):
     df = W.percentile_ranks(rounded(T.four_factors(lg.adv, lg.games), "pace"), _F6)
     return df.select("season", "team_code", *[f"{c}_pctl" for c in _F6])
+
+
+_LABEL = "CASE month(game_day) " + " ".join(f"WHEN {m} THEN '{t}'" for m, t in ((10, "Oct"), (11, "Nov"), (12, "Dec"), (1, "Jan"), (2, "Feb"), (3, "Mar"), (4, "Apr"), (5, "May"))) + " END"
+
+
+@query("x9_month_labels", f"SELECT season, {_LABEL} AS month, count(*) AS games FROM games GROUP BY 1, 2")
+def _(lg):
+    return lg.games.groupBy("season", X.month_label(F.month("game_day")).alias("month")).agg(F.count(F.lit(1)).alias("games"))
+
+
+@query("x20_rating_tiers", """
+  SELECT season, team_code, CASE WHEN net > 8 THEN 'Elite' WHEN net > 3 THEN 'Strong' WHEN net > -3 THEN 'Average' WHEN net > -8 THEN 'Weak' ELSE 'Poor' END AS tier, round(100 - abs(ortg - drtg), 6) AS balance
+  FROM (SELECT season, team_code, round(net_rtg, 6) AS net, ortg, drtg FROM eff)""")
+def _(lg):
+    """Tier of a team's net rating, and how even its offense and defense are."""
+    df = rounded(lg.efficiency, "net_rtg").select("season", "team_code", X.net_rating_tier("net_rtg").alias("tier"), X.balance_score("ortg", "drtg").alias("balance"))
+    return rounded(df, "balance")
