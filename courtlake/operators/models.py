@@ -273,9 +273,12 @@ def standardise(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame
 def cluster_teams(factors: DataFrame, k: int = 4, seed: int = 42):
     """Style clusters and two principal components over season-standardised factors.
 
-    Returns the scored rows, the k-means model and the PCA model. Names are
-    assigned to the k centroids, a k x 4 table.
+    Returns the scored rows, the k-means model and the PCA model; no rows and no models where there are fewer than k
+    team-seasons. Names are assigned to the k centroids, a k x 4 table.
     """
+    if factors.limit(k).count() < k:
+        none = {"cluster_id": "int", "cluster_name": "string", "pc1": "double", "pc2": "double"}
+        return factors.where(F.lit(False)).withColumns({c: F.lit(None).cast(t) for c, t in none.items()}), None, None
     z = standardise(factors, C.FOUR_FACTORS, ["season"])
     vec = VectorAssembler(inputCols=[f"{c}_z" for c in C.FOUR_FACTORS], outputCol="features").transform(z)
     km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=50).fit(vec)

@@ -113,3 +113,10 @@ def test_too_few_rows_give_an_empty_result_of_the_same_columns(spark):
     model = M.train_form_model(df, trees=2)
     none, some = M.predict_form(None, df), M.predict_form(model, df)
     assert none.collect() == [] and none.dtypes == some.dtypes and some.count() == 48
+
+
+def test_too_few_teams_form_no_clusters(spark):
+    factors = spark.createDataFrame([(2024, "A", *[0.5] * len(C.FOUR_FACTORS))] * 3, "season int, team_code string, " + ", ".join(f"{c} double" for c in C.FOUR_FACTORS))
+    scored, km, pca = M.cluster_teams(factors, k=4)
+    assert scored.collect() == [] and {"cluster_id", "cluster_name", "pc1", "pc2"} <= set(scored.columns) and km is None and pca is None
+    assert M.style_profiles(factors).collect() == []
