@@ -37,7 +37,7 @@ def project_standings(games: DataFrame, efficiency: DataFrame) -> DataFrame:
     out = standings.join(ahead, ["season", "team_code"], "left").select(
         "season", "team_code", F.col("wins").alias("current_wins"), F.col("losses").alias("current_losses"), left.alias("games_left"), list_of.alias("p"),
     ).withColumn("gain", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
-    rank = F.row_number().over(Window.partitionBy("season").orderBy(F.desc("expected_wins"), "team_code"))
+    rank = F.row_number().over(Window.partitionBy("season").orderBy(F.round("expected_wins", 9).desc(), "team_code"))  # sums in another order are ties still
     return out.select(
         "season", "team_code", "current_wins", "current_losses", "games_left", (F.col("current_wins") + F.col("gain")).alias("expected_wins"),
         (F.col("current_losses") + F.col("games_left") - F.col("gain")).alias("expected_losses"), _wins_of(F.col("p")).alias("distribution"),

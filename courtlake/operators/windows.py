@@ -100,7 +100,7 @@ def percentile_ranks(df: DataFrame, columns: list[str] | None = None, inverted:
 def movers(projection: DataFrame) -> DataFrame:
     """Current rank, distance to the projected rank, and bubble teams: those projected two places around the line between sixth and seventh."""
     rank = F.row_number().over(
-        Window.partitionBy("season").orderBy(F.desc("current_wins"), F.desc("expected_wins"), "team_code")
+        Window.partitionBy("season").orderBy(F.desc("current_wins"), F.round("expected_wins", 9).desc(), "team_code")
     )
     diff = F.col("current_rank") - F.col("proj_rank")
     return projection.withColumn("current_rank", rank).withColumns(
