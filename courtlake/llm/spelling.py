@@ -137,9 +137,10 @@ def one_edit(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarra
 
 
 def tops(words: DataFrame, sample: int, cell: int) -> dict[int, Tree]:
-    """A top tree per length, fitted on at most ``sample`` words, those of the smallest hashes; leaves hold about ``cell`` of all words."""
+    """A top tree per length, fitted on about ``sample`` words, chosen by hash (all if there are fewer); leaves hold about ``cell`` of all words."""
     total = words.count()
-    seen = [r.word for r in words.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
+    every = -(-total // sample) if total else 1
+    seen = sorted(r.word for r in words.select("word").where(F.pmod(F.xxhash64("word"), F.lit(every)) == 0).collect())
     if not seen:
         return {}
     most = max(1, min(cell, cell * len(seen) // total))
