@@ -2,7 +2,8 @@
 
 A turn is written as ``<|turn|>`` role ``<|text|>`` body ``<|end|>``. A visitor over the turn's parts
 writes text parts escaped and image, audio and document parts as the placeholders ``<|image|>``,
-``<|audio|>``, ``<|document|>``, in order, and records their references and expanded token counts.
+``<|audio|>``, ``<|document|>``, in order, and records their references and expanded token counts. Parts of
+other kinds get ``<|part:`` kind ``|>``, which no control string begins with, whatever the kind is called.
 Escaping puts a backslash behind each ``<``, ``[`` and backslash, so no text, alone or joined to the
 next, can form a control string (all begin with one of these), and taking it away again restores the
 text. Built-in column functions only.
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+MEDIA = ("image", "audio", "document")
 PART = "struct<kind:string,text:string,ref:string,tokens:int>"
 
 
@@ -25,9 +27,11 @@ def unescape(text: Column) -> Column:
 
 
 def _visit(part: Column) -> Column:
-    """What a part becomes in the body; an unknown kind is named like any other placeholder, escaped."""
+    """What a part becomes in the body; a kind that is none of the four is escaped behind a prefix of its own."""
     text = escape(F.coalesce(part["text"], F.lit("")))
-    return F.when(F.coalesce(part["kind"], F.lit("text")) == "text", text).otherwise(F.concat(F.lit("<|"), escape(part["kind"]), F.lit("|>")))
+    known = F.concat(F.lit("<|"), part["kind"], F.lit("|>"))
+    other = F.concat(F.lit("<|part:"), escape(part["kind"]), F.lit("|>"))
+    return F.when(F.coalesce(part["kind"], F.lit("text")) == "text", text).when(part["kind"].isin(*MEDIA), known).otherwise(other)
 
 
 def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, learn_from: str = "assistant") -> DataFrame:
@@ -83,5 +87,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
     starts and lengths), from the formatted strings alone and the mask."""
     pieces = F.slice(F.split("formatted", r"<\|end\|>"), F.lit(1), F.size(F.split("formatted", r"<\|end\|>")) - 1)
     cut = F.transform(pieces, lambda p: F.split(F.substring(p, len(TURN) + 1, 1 << 30), r"<\|text\|>"))
-    turns = F.transform(cut, lambda c: F.struct(unescape(c[0]).alias("role"), unescape(c[1]).alias("text")))
+    turns = F.transform(cut, lambda c: F.struct(unescape(F.get(c, F.lit(0))).alias("role"), unescape(F.get(c, F.lit(1))).alias("text")))
     return formatted.withColumn("turns", turns).withColumn("learned", _cut(F.col("formatted"), F.col("loss")))
