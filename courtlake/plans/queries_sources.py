@@ -525,11 +525,12 @@ def _streamed(lg, *tables):
     key = (lg.spark.sparkContext.applicationId, lg.state("events"), tables)
     if key not in _LANDED:
         landing, out, checkpoint = (scratch_path(lg.spark, n) for n in ("landing", "live", "live-checkpoint"))
-        raw = lg.raw("play_by_play").persist()
+        whole = scratch_path(lg.spark, "raw-plays")
+        lg.raw("play_by_play").write.parquet(whole)
+        raw = lg.spark.read.parquet(whole)
         for part in _SLICES:
-            raw.filter(part).repartition(2, "Season", "Gamecode").write.mode("append").parquet(landing)
+            raw.filter(part).repartition("Season", "Gamecode").write.mode("append").parquet(landing)
             R.write_live_games(R.play_stream(lg.spark, landing), lg.box, out, checkpoint, tables).awaitTermination()
-        raw.unpersist()
         _LANDED[key] = out
     return R, _LANDED[key]
 

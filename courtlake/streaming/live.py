@@ -10,6 +10,8 @@ restarted query replaces its own output.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,7 +22,7 @@ from courtlake import config as C, schemas as S
 from courtlake.operators import box as B, lineups as L, live_box as P, sequences as Q
 from courtlake.sources import files
 from courtlake.sources.clean import clean_play_by_play
-from courtlake.streaming.log import GameLog, bucket_of, last_batches, of_batches
+from courtlake.streaming.log import GameLog, bucket_bits, bucket_of, last_batches, of_batches, unsigned
 
 _G = C.GAME_KEYS
 PLAY_KEY = ["season", "gamecode", C.PLAY_ORDER]
@@ -84,22 +86,29 @@ def write_live_games(
     wanted = tables or TABLES
 
     def handle(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(PLAY_KEY).withColumn("bucket", bucket_of()).persist()
-        held = new.groupBy("season", "bucket").count().collect()  # seasons times buckets at most
-        places, most = {(r.season, r.bucket) for r in held}, sum(r["count"] for r in held)
-        if not places:
-            new.unpersist()
-            return
+        spark, work = batch.sparkSession, f"{out}/work/{n}-{uuid.uuid4().hex}"
+
+        def written(name: str, df: DataFrame) -> DataFrame:
+            """Kept as files and not in the cache, where it would stay in as many partitions as a shuffle has, however few rows there are."""
+            df.write.parquet(f"{work}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+        new = written("new", batch.dropDuplicates(PLAY_KEY).withColumn("bucket", bucket_of()))
+        held = new.groupBy("season").agg(bucket_bits().alias("bits"), F.count("*").alias("n")).collect()
+        places, most = unsigned((r.season, r.bits) for r in held), sum(r.n for r in held)
+        if places:
+            update(spark, n, new, places, most, written)
+        files.delete(spark, work)
+
+    def update(spark: SparkSession, n: int, new: DataFrame, places: dict[int, int], most: int, written: Callable[[str, DataFrame], DataFrame]) -> None:
         log = play_log(spark, out)
-        before = log.read(places, n)
-        fresh = new.join(before.select(*PLAY_KEY), PLAY_KEY, "left_anti").persist()
+        fresh = written("fresh", new.join(log.read(places, n).select(*PLAY_KEY), PLAY_KEY, "left_anti"))
         log.append(n, fresh, most, places)
         games = game_log(spark, out)
         games.append(n, fresh.select(*_G).distinct(), most, places, last_batches)
-        current = last_batches(games.read(before=n + 1)).persist()
-        touched = current.where(F.col("batch") == n).select(*_G)
-        mine = before.drop("batch", "bucket").unionByName(fresh.drop("bucket")).join(touched, _G, "left_semi").persist()
+        current = last_batches(games.read(before=n + 1))
+        touched = written("touched", current.where(F.col("batch") == n).select(*_G))
+        mine = written("mine", log.read(places, n + 1).drop("batch", "bucket").join(touched, _G, "left_semi"))
         keep = lambda rows: of_batches(rows, current)
 
         def players() -> DataFrame:
@@ -117,8 +126,6 @@ def write_live_games(
 
         with ThreadPoolExecutor(len(wanted)) as pool:  # the tables do not depend on each other
             list(pool.map(write, wanted))
-        for df in (new, fresh, current, mine):
-            df.unpersist()
 
     return (
         plays.writeStream.outputMode("append").option("checkpointLocation", checkpoint)

@@ -100,6 +100,18 @@ def test_a_segment_of_many_files_is_indexed(spark, tmp_path, monkeypatch):
     assert 1 <= len(some.inputFiles()) <= 2 < len(log.read().inputFiles()) and sorted(r.n for r in some.collect()) == list(range(3, 400, 40))
 
 
+def test_a_log_of_many_seasons(spark, tmp_path):
+    """The index has two numbers a season and file, and a choice of places is not spelt out in the query."""
+    log, rows = GameLog(spark, str(tmp_path / "log"), SCHEMA), [(s, g, 0) for s in range(2000, 4000) for g in (3, 66, 127)]
+    log.append(0, spark.createDataFrame(rows, SCHEMA), len(rows), {(s, g % 64) for s, g, _ in rows})
+    assert len(files.read_text(spark, log._manifest(0))) < 40 * 2000
+    assert {(season, bucket) for s in log.segments() for _, season, bucket in s["files"]} == {(s, b) for s, g, _ in rows for b in (2, 3, 63)}
+    wanted = {(s, b) for s in range(2000, 4000, 2) for b in (3, 63)}
+    got = log.read(wanted)
+    assert sorted((r.season, r.gamecode) for r in got.collect()) == sorted((s, g) for s, g, _ in rows if (s, g % 64) in wanted)
+    assert log.read({s: 1 << 2 for s in range(2000, 4000)}).count() == 2000 and log.read({1999: 1 << 3}).count() == 0
+
+
 def test_a_repeated_micro_batch_replaces_itself(spark, tmp_path):
     log = GameLog(spark, str(tmp_path / "log"), SCHEMA)
     for n in range(5):
