@@ -110,6 +110,21 @@ def test_catalog_tables_follow_the_manifest(spark, tmp_path):
     assert len(spark.table("league_test.games").where("season = 2024").inputFiles()) < len(spark.table("league_test.games").inputFiles())
 
 
+def test_a_season_is_one_file_however_many_tasks_there_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("courtlake.sources.store.PARTITIONS_PER_STATEMENT", 7)
+    root, conf = str(tmp_path), "spark.sql.adaptive.coalescePartitions.enabled"
+    store, rows = Store(spark, root), [(s, g, "A", "B") for s in range(2000, 2030) for g in range(12)]
+    spark.conf.set(conf, "false")
+    try:
+        store.stage("games", games(spark, *rows))
+    finally:
+        spark.conf.unset(conf)
+    store.commit(checked=False)
+    assert len(store.read("games").inputFiles()) == 30
+    publish(spark, root, "seasons")
+    assert sorted((r.season, r.gamecode) for r in spark.table("seasons.games").collect()) == [(s, g) for s, g, _, _ in rows]
+
+
 def test_old_versions_can_go(spark, tmp_path):
     root = str(tmp_path)
     for n in range(4):
