@@ -8,6 +8,8 @@ claimed, so a load that fails leaves nothing behind that readers see, and of two
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -75,7 +77,8 @@ class Landing:
             reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD)
         else:
             reader = reader.option("ignoreCorruptFiles", "true")
-        rows = reader.option("ignoreMissingFiles", "true").load(names).withColumn(FILE, F.col("_metadata.file_path"))
+        with _listing(self.spark):
+            rows = reader.option("ignoreMissingFiles", "true").load(names).withColumn(FILE, F.col("_metadata.file_path"))
         return rows if text else rows.withColumn(RECORD, F.lit(None).cast("string"))
 
     def _reason(self) -> Column:
@@ -112,6 +115,18 @@ class Landing:
         return Load(number, len(names), count("rows"), count("aside"))
 
 
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Files told by name are looked up by a few tasks a core: Spark would start one for each file, up to ten thousand."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _plain(file: Column) -> Column:
     """A file's name with its store's prefix written in one way."""
     return F.regexp_replace(file, r"^([a-z0-9]+):/+", "$1:/")

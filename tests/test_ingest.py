@@ -69,3 +69,19 @@ def test_of_two_loads_at_once_one_starts_again(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         one.load([land])
     assert rows(one.rows()) == [(1, 1, "A")] and one.load([land]) == (0, 0, 0, 0)
+
+
+def test_many_files_are_looked_up_by_few_tasks(spark, tmp_path):
+    context = spark.sparkContext
+    most, key = 4 * context.defaultParallelism, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    names = [put(tmp_path, f"{n}.json", f'{{"Season": 1, "Gamecode": {n}, "Name": "A"}}\n') for n in range(most + 40)]
+    before = spark.conf.get(key)
+    context.setJobGroup("lookup", "lookup")
+    try:
+        read = Landing(spark, str(tmp_path / "read"), SCHEMA)._read(names)
+        tracker = context.statusTracker()
+        tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("lookup") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= most and spark.conf.get(key) == before
+    assert sorted(r.Gamecode for r in read.collect()) == list(range(most + 40))
