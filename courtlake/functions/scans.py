@@ -24,16 +24,17 @@ BLOCK = "play_block"
 
 
 def join_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], order: str, size: int = C.PLAYS_PER_BLOCK) -> DataFrame:
-    """Inner join of one row per key to an ordered log, with the block as salt.
+    """Inner join of a few rows per key to an ordered log, with the block as salt.
 
     A plain join on the key would put a whole game into one partition, and the
     windows after it would stay there. The per-key rows are repeated once per
     block that exists, so log and windows are both spread by (key, block). Adds
-    the column ``play_block``.
+    the column ``play_block``. The hints keep the log, whose files are many times
+    smaller than its rows, from being taken for small and sent through the driver.
     """
     blocked = df.withColumn(BLOCK, block_of(order, size))
-    repeated = blocked.select(*keys, BLOCK).distinct().join(per_key, keys)
-    return blocked.join(repeated, [*keys, BLOCK])
+    repeated = blocked.select(*keys, BLOCK).distinct().join(per_key.hint("merge"), keys)
+    return blocked.join(repeated.hint("merge"), [*keys, BLOCK])
 
 
 def running(

@@ -101,13 +101,13 @@ def foul_trouble_impact(pbp: DataFrame, box: DataFrame) -> DataFrame:
     )
     nth = F.row_number().over(Window.partitionBy(*_G, "star_player_id").orderBy(C.PLAY_ORDER))
     second = (
-        fouls.join(star, [*_G, "star_player_id"])
+        fouls.join(star.hint("merge"), [*_G, "star_player_id"])
         .withColumn("n", nth).filter(F.col("n") == 2).drop("n")
         .withColumnsRenamed({C.PLAY_ORDER: "second_foul_play_num", "period": "foul_period"})
     )
     sides = game_sides(box)
     opp = F.when(F.col("team") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team"))
-    marks = second.join(sides, _G).withColumn("opp", opp).drop("home_team", "away_team")
+    marks = second.join(sides.hint("merge"), _G).withColumn("opp", opp).drop("home_team", "away_team")
     pts, poss = X.points_of("playtype"), X.is_possession("playtype")
     before = F.col(C.PLAY_ORDER) < F.col("second_foul_play_num")
     own, other = F.col("codeteam") == F.col("team"), F.col("codeteam") == F.col("opp")
@@ -121,7 +121,8 @@ def foul_trouble_impact(pbp: DataFrame, box: DataFrame) -> DataFrame:
         ]
     keys = [*_G, "team", "star_player_id", "star_player", "second_foul_play_num", "foul_period"]
     rate = lambda k, n: (F.col(f"{k}_{n}") / F.col(f"p_{n}") * 100)
-    df = pbp.select(*_G, C.PLAY_ORDER, "codeteam", "playtype").join(marks, _G).groupBy(*keys).agg(*aggs).withColumns(
+    plays = pbp.select(*_G, C.PLAY_ORDER, F.coalesce(C.PLAY_ORDER, F.lit(0)).alias("at"), "codeteam", "playtype")  # a play without order stays
+    df = join_per_key(plays, marks, _G, "at").groupBy(*keys).agg(*aggs).withColumns(
         {f"{r}_{n}": rate(k, n) for n in cut for r, k in (("ortg", "f"), ("drtg", "a"))}
     )
     return df.select(

@@ -21,6 +21,30 @@ def test_active_run_and_score(make):
     assert (s.home_score, s.away_score, s.total_seconds_elapsed, s.total_seconds_remaining) == (2, 5, 270, 2130)
 
 
+def test_foul_trouble_splits_long_logs(make):
+    """A game over several blocks, both teams' stars in trouble, equals one block; plays without order count on neither side."""
+    box = make.box([box_row("A0", "AAA", 1, fga2=20), box_row("B0", "BBB", 0, fga2=5)])
+    plays = [play(n, "2FGM" if n % 2 else "3FGM", "A0" if n % 3 else "B0", "AAA" if n % 3 else "BBB") for n in range(10, 9000, 7)]
+    plays += [play(n, "CM", p, t) for n, p, t in ((1, "A0", "AAA"), (5002, "A0", "AAA"), (2, "B0", "BBB"), (300, "B0", "BBB"))]
+    plays += [(*x[:9], None, None, *x[11:]) for x in [play(0, "3FGM", "A0", "AAA")]]
+    got = {r.team: r for r in S.foul_trouble_impact(make.pbp(plays), box).collect()}
+    assert {t: r.second_foul_play_num for t, r in got.items()} == {"AAA": 5002, "BBB": 300}
+    made = lambda team, keep: [2 if x[3] == "2FGM" else 3 for x in plays if x[6] == team and x[3] in ("2FGM", "3FGM") and x[10] is not None and keep(x[10])]
+    for team, cut in (("AAA", 5002), ("BBB", 300)):
+        for name, keep in (("before", lambda n: n < cut), ("after", lambda n: n >= cut)):
+            own = made(team, keep)
+            assert abs(got[team][f"ortg_{name}"] - sum(own) / len(own) * 100) < 1e-9
+
+
+def test_foul_trouble_sends_no_log_through_the_driver(make, tmp_path):
+    """Files are many times smaller than their rows: by their size Spark took the whole log for small."""
+    stored = lambda df, name: (df.write.parquet(f"{tmp_path}/{name}"), df.sparkSession.read.schema(df.schema).parquet(f"{tmp_path}/{name}"))[1]
+    pbp = stored(make.pbp([play(1, "CM", "A0", "AAA"), play(2, "CM", "A0", "AAA"), play(3, "2FGM", "A0", "AAA")]), "pbp")
+    box = stored(make.box([box_row("A0", "AAA", 1, fga2=20), box_row("B0", "BBB", 0)]), "box")
+    plan = S.foul_trouble_impact(pbp, box)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_foul_trouble_splits_at_second_foul(make):
     box = make.box([box_row("A0", "AAA", 1, fga2=20), box_row("A1", "AAA", 1), box_row("B0", "BBB", 0, fga2=5)])
     plays = [play(1, "2FGM", "A0", "AAA"), play(2, "CM", "A0", "AAA", period=2), play(3, "2FGA", "A1", "AAA", period=2),
