@@ -55,6 +55,12 @@ def stored_plays(spark: SparkSession, out: str) -> DataFrame:
     return play_log(spark, out).read()
 
 
+def not_stored(plays: DataFrame, stored: DataFrame) -> DataFrame:
+    """The plays that the log doesn't hold yet. Its keys take little room in files but many times that in memory, so they are shuffled,
+    not sent through the driver."""
+    return plays.join(stored.select(*PLAY_KEY).hint("merge"), PLAY_KEY, "left_anti")
+
+
 def current_lineups(plays: DataFrame, box: DataFrame) -> DataFrame:
     tagged = L.tag_segments(plays, box)
     return L.current_lineups(L.segment_totals(tagged, L.segment_lineups(tagged, box)))
@@ -102,7 +108,7 @@ def write_live_games(
 
     def update(spark: SparkSession, n: int, new: DataFrame, places: dict[int, int], most: int, written: Callable[[str, DataFrame], DataFrame]) -> None:
         log = play_log(spark, out)
-        fresh = written("fresh", new.join(log.read(places, n).select(*PLAY_KEY), PLAY_KEY, "left_anti"))
+        fresh = written("fresh", not_stored(new, log.read(places, n)))
         log.append(n, fresh, most, places)
         games = game_log(spark, out)
         games.append(n, fresh.select(*_G).distinct(), most, places, last_batches)

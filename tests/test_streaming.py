@@ -34,6 +34,15 @@ def plain_players(plays):
     return out
 
 
+def test_stored_plays_are_not_sent_through_the_driver(spark, tmp_path):
+    pbp = League(spark, SF).pbp
+    pbp.where("true_numberofplay <= 60").write.parquet(f"{tmp_path}/stored")
+    fresh = R.not_stored(pbp, spark.read.schema(pbp.schema).parquet(f"{tmp_path}/stored"))
+    assert "BroadcastExchange" not in fresh._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted(map(tuple, df.select(*R.PLAY_KEY).collect()))
+    assert key(fresh) == key(pbp.where("true_numberofplay > 60"))
+
+
 def test_slices_end_like_the_batch(spark, tmp_path):
     """A feed delivered in slices, the last plays first and one slice twice, is at any time what the plays so far say."""
     lg = League(spark, SF)
