@@ -82,7 +82,7 @@ def running(
     match = F.col(_BLOCK) == F.col("__k_block")
     for k in keys:
         match = match & (F.col(k) == F.col(f"__k_{k}"))
-    joined = rows.join(carry, match, "left")
+    joined = rows.join(carry.hint("merge"), match, "left")
     result = {n: F.coalesce(F.col(f"__w_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums}
     result |= {n: F.coalesce(F.col(f"__w_{n}"), F.col(f"__c_{n}")) for n in {**lasts, **previous}}
     names = [c for c in df.columns if c not in result]

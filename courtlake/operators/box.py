@@ -1,7 +1,8 @@
 """Box-score statistics: partial aggregation per game and team, joined back to the player rows.
 
 Team totals are joined, not windowed: the aggregate combines map-side and the
-join can be split by AQE, so one oversized game never lands in a single task.
+join can be split by AQE, so one oversized game never lands in a single task. Hints keep
+the boxscores, whose files are many times smaller than their rows, off the driver.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def defensive_ratings(team_poss: DataFrame) -> DataFrame:
         F.sum("team_points").alias("game_points"), F.count("*").alias("game_teams")
     )
     opp = F.when(F.col("game_teams") >= 2, F.col("game_points") - F.col("team_points"))
-    return team_poss.join(game, C.GAME_KEYS).select(
+    return team_poss.join(game.hint("merge"), C.GAME_KEYS).select(
         *TEAM_GAME, "team_poss", "team_points", opp.alias("opp_points"),
         F.when(F.col("team_poss") > 0, opp / F.col("team_poss") * 100).alias("def_rating"),
     )
@@ -47,7 +48,7 @@ def advanced_stats(box: DataFrame) -> DataFrame:
     """Per player and game: possessions by minute share, TS%, ORtg, DRtg, usage and stop rate."""
     team = team_possessions(box)
     context = defensive_ratings(team).select(*TEAM_GAME, "def_rating").join(
-        team.select(*TEAM_GAME, "team_poss", "team_seconds"), TEAM_GAME
+        team.select(*TEAM_GAME, "team_poss", "team_seconds").hint("merge"), TEAM_GAME
     )
     fga = F.col("fga2") + F.col("fga3")
     share = F.when(F.col("team_seconds") > 0, F.col("seconds") / F.col("team_seconds")).otherwise(0.0)
@@ -55,7 +56,7 @@ def advanced_stats(box: DataFrame) -> DataFrame:
     stops = F.col("steals") + F.col("blocks_favour") + F.col("def_rebounds")
     used = X.involvement100(fga, "fta", "turnovers", "assists", "fouls_received")
     return (
-        box.join(context, TEAM_GAME)
+        box.join(context.hint("merge"), TEAM_GAME)
         .withColumn("possessions", F.col("team_poss") * share)
         .select(
             "season", "gamecode", "player_id", "player_name", "team_code", "is_home", "seconds", "minutes",

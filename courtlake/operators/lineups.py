@@ -67,7 +67,7 @@ def segment_lineups(tagged: DataFrame, box: DataFrame) -> DataFrame:
     last_seg = tagged.groupBy(*C.GAME_KEYS).agg(F.max("home_seg").alias("h"), F.max("away_seg").alias("a"))
     spans = (
         starters.unionByName(subs).withColumn("next", following).filter("enters")
-        .join(last_seg, C.GAME_KEYS)
+        .join(last_seg.hint("merge"), C.GAME_KEYS)
         .select(
             *keys, F.col("seg").alias("lo"),
             F.coalesce(F.col("next") - 1, F.when(F.col("side") == 1, F.col("h")).otherwise(F.col("a"))).alias("hi"),
@@ -113,7 +113,7 @@ def segment_totals(tagged: DataFrame, lineups: DataFrame) -> DataFrame:
     sums = rows.groupBy(*SEGMENT_KEYS, "team", "opponent").agg(
         *[F.sum(c).alias(c) for c in ("events", "pts_for", "pts_against", "team_poss", "opp_poss")]
     )
-    return sums.join(lineups, SEGMENT_KEYS, "left").withColumn(
+    return sums.join(lineups.hint("merge"), SEGMENT_KEYS, "left").withColumn(
         "lineup", F.coalesce("lineup", F.array().cast("array<string>"))
     )
 

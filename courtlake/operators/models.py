@@ -139,7 +139,7 @@ def lineup_features(lineups: DataFrame, players: DataFrame, keys: list[str]) ->
     feats = players.select("season", "player_id", *C.PLAYER_MODEL_FEATURES)
     return (
         lineups.select(*keys, F.explode("lineup").alias("player_id"))
-        .join(feats, ["season", "player_id"])
+        .join(feats.hint("merge"), ["season", "player_id"])
         .groupBy(*keys)
         .agg(
             F.count("*").alias("known"), *[F.avg(c).alias(f"mean_{c}") for c in C.PLAYER_MODEL_FEATURES],
@@ -153,7 +153,7 @@ def lineup_features(lineups: DataFrame, players: DataFrame, keys: list[str]) ->
 def lineup_training_set(stats: DataFrame, players: DataFrame, min_events: int = 30) -> DataFrame:
     keys = ["season", "team", "lineup"]
     enough = stats.filter(F.col("events") >= min_events)
-    return lineup_features(enough, players, keys).join(enough.select(*keys, "net_rtg"), keys).na.fill(0.0)
+    return lineup_features(enough, players, keys).join(enough.select(*keys, "net_rtg").hint("merge"), keys).na.fill(0.0)
 
 
 def train_lineup_model(training: DataFrame, min_rows: int = 30, trees: int = 200) -> PipelineModel | None:
@@ -185,8 +185,8 @@ def fifth_player_candidates(stats: DataFrame, players: DataFrame, box: DataFrame
     mates = players.select("season", F.col("team_code").alias("team"), F.col("player_id").alias("candidate"))
     if box is not None:
         played = box.filter(F.col("seconds") > 0).select("season", F.col("team_code").alias("team"), F.col("player_id").alias("candidate")).distinct()
-        mates = played.join(mates.select("season", "candidate"), ["season", "candidate"], "left_semi")
-    return cores.join(mates, ["season", "team"]).filter(~F.array_contains("core", F.col("candidate"))).withColumn(
+        mates = played.join(mates.select("season", "candidate").hint("merge"), ["season", "candidate"], "left_semi")
+    return cores.join(mates.hint("merge"), ["season", "team"]).filter(~F.array_contains("core", F.col("candidate"))).withColumn(
         "lineup", F.array_sort(F.array_append("core", F.col("candidate")))
     )
 
@@ -197,7 +197,7 @@ def best_fifth_player(model: PipelineModel | None, stats: DataFrame, players: Da
     keys = ["season", "team", "lineup"]
     scored = predict_lineups(model, lineup_features(cand.select(*keys).distinct(), players, keys)).select(*keys, "predicted_net_rtg")
     order = Window.partitionBy("season", "team", "core").orderBy(F.desc("predicted_net_rtg"), "candidate")
-    return cand.join(scored, keys).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("lineup")
+    return cand.join(scored.hint("merge"), keys).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("lineup")
 
 
 def lineup_radar(features: DataFrame, players: DataFrame, keys: list[str]) -> DataFrame:

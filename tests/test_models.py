@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from courtlake import config as C
-from courtlake.operators import models as M, projection as P
+from courtlake.operators import lineups as L, models as M, projection as P
+from courtlake.plans.league import League
 
 
 def test_similarity_equals_brute_force(spark):
@@ -27,6 +28,16 @@ def test_similarity_equals_brute_force(spark):
                 assert code == f"P{j:02d}" and s == pytest.approx(sims[i, j])
 
 
+def test_lineup_tables_are_not_sent_through_the_driver(spark, tmp_path):
+    """Tables of files that are small next to their rows: no step up to the candidates and their features broadcasts one."""
+    lg = League(spark, "/root/testdata/sf0.001")
+    totals = L.segment_totals(tagged := L.tag_segments(lg.pbp, lg.box), L.segment_lineups(tagged, lg.box))
+    stats, players, keys = L.lineup_stats(totals), M.player_season_features(lg.adv), ["season", "team", "lineup"]
+    cand = M.fifth_player_candidates(stats, players, lg.box)
+    for df in (M.lineup_training_set(stats, players), M.lineup_features(cand.select(*keys).distinct(), players, keys)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cluster_names_are_greedy_and_unique():
     c = np.zeros((5, 6))
     c[2] = [0.5, 0, 0, 0, 3, 3]
