@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -457,3 +458,14 @@ def test_chat_mask_is_read_by_its_spans(spark):
         wrong = F.transform("loss", lambda m: F.struct(m["turn"].alias("turn"), (m["start"] + start).alias("start"), F.greatest(m["length"] + length, F.lit(0)).alias("length")))
         got = {r.conv_id: r.learned for r in chat.read_back(out.withColumn("loss", wrong)).collect()}[1]
         assert all(a != b for a, b in zip(got, said) if b), (start, length)
+
+
+def test_word_hashes_need_little_memory_and_no_blocks():
+    """Hashes do not depend on the blocks they are taken in, and beside them little is held of a chunk of text."""
+    w = W.split(pa.array(["some words of \u00e9 text " * 100_000, None, "x" * 300_000, "", "a b"] * 2))
+    tracemalloc.start()
+    h = W.hashes(w)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most - h.nbytes * 2 < 32_000_000
+    assert all(np.array_equal(h, W.hashes(w, block=b)) for b in (1 << 10, 1 << 21))
