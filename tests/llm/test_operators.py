@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from courtlake.llm import chat, crf, langid, mixing, near_copies as nc, packing, pages, rules, substrings, vectors, words as W
+from courtlake.llm import chat, components, crf, langid, mixing, near_copies as nc, packing, pages, rules, substrings, vectors, words as W
 from courtlake.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -469,3 +469,30 @@ def test_word_hashes_need_little_memory_and_no_blocks():
     tracemalloc.stop()
     assert most - h.nbytes * 2 < 32_000_000
     assert all(np.array_equal(h, W.hashes(w, block=b)) for b in (1 << 10, 1 << 21))
+
+
+def test_near_copies_write_few_files(docs, spark, monkeypatch):
+    """An executor starts processes for each file; their number follows the text and the cores, not the shuffle partitions."""
+    want = {tuple(r) for r in nc.near_copies(docs).collect()}
+    parts, files = 61, collections.defaultdict(list)
+
+    def counted(df, name, *args, real=components.stored):
+        out = real(df, name, *args)
+        files[name].append(len(out.inputFiles()))
+        return out
+
+    for module in (components, nc):
+        monkeypatch.setattr(module, "stored", counted)
+    held = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = {tuple(r) for r in nc.near_copies(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert few < parts
+    assert all(max(n) <= few for name, n in files.items() if name not in ("shingle-sets", "sketch-words")), files
