@@ -133,7 +133,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         added = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(repeats, pa.list_(pa.list_(pa.int64())))]
         return pa.table([*out.columns, *added], schema=X._arrow(schema))
 
-    return X.answered(chunks, X.ask(chunks, keys, smaller=True), keys, cut, schema)
+    return X.answered(chunks, X.ask(chunks, keys), keys, cut, schema)
 
 
 def _spans(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:

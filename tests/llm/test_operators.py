@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from courtlake.llm import chat, components, crf, langid, mixing, near_copies as nc, packing, pages, rules, substrings, vectors, words as W
+from courtlake.llm import chat, components, crf, exchange, langid, mixing, near_copies as nc, packing, pages, rules, substrings, vectors, words as W
 from courtlake.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,6 +151,30 @@ def test_near_copies_edges(spark):
     assert got == [(0, 0, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1)]
 
 
+def test_questions_about_keys_take_few_bytes_however_many_buckets():
+    """A larger table has more buckets; what a chunk sends must not grow with them."""
+    rng = random.Random(11)
+    s = nc.Shingles(pa.array([sentence(rng, 200, 10**6) for _ in range(300)]), 5)
+    key, before = nc.sketch_keys(s, np.zeros(nc.CELLS, np.uint8), 75)
+    name = np.repeat(np.ascontiguousarray(s.node[:, 0]).view(np.int64), np.diff(before))
+    sent = {b: sum(len(x) + len(y) for _, x, y in exchange.shared_requests(nc.asked(key, name, b, 10**10))) / len(key) for b in (1, 40)}
+    assert sent[40] < 1.5 * sent[1] and sent[40] < 6, sent
+
+
+def test_near_copies_with_many_buckets_and_chunks(spark):
+    """Equal sets in texts of other spaces and case, and near copies, wherever they are dealt."""
+    rng, texts = random.Random(12), {}
+    for i in range(40):
+        w = sentence(rng, 60, 5000)
+        near = w.split()
+        near[30] = "else"
+        for t in (w, w.upper(), w.replace(" ", "  \n"), " ".join(near), w):
+            texts[len(texts)] = t
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in nc.near_copies(docs, chunk_bytes=500, bucket_keys=20).collect()}
+    assert got == linked({i: shingles(t) for i, t in texts.items()})
+
+
 def test_parity_bounds_the_difference():
     rng = random.Random(5)
     a = sentence(rng, 300).split()
