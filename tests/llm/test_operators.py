@@ -404,6 +404,27 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_without_clusters_are_not_copied_into_most_cells(spark, monkeypatch):
+    """Vectors spread evenly exclude no cell: each is put in a few at most, and its tile past half of the stacks, with the same links."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(900, 24))
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 24)) * 0.1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.95).sum(axis=1) - 1
+    kept = {}
+
+    def counted(df, name, *args, real=vectors.stored):
+        kept[name] = real(df, name, *args).count()
+        return real(df, name, *args)
+
+    monkeypatch.setattr(vectors, "stored", counted)
+    for stack_bytes in (1 << 26, 1):
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, cell_vectors=60, tile=64, stack_bytes=stack_bytes).collect()}
+        assert [got[i] for i in range(len(x))] == want.tolist() and want.sum() > 0
+        assert kept["placed"] <= 5 * len(x), kept
+
+
 # -- pages ---------------------------------------------------------------------------------
 def test_pages(spark):
     page = """<html><head><title>No</title><style>p{}</style></head><body class="sidebar-left"><!-- <p>no</p> --><nav><a href=1>Menu</a></nav>
