@@ -350,7 +350,7 @@ def _(lg):
 
 
 # -- landed files: one per game and feed, some records broken, every ninth game absent, in two loads ----------
-_FILED: dict[tuple, dict] = {}
+_FILED: dict[tuple, object] = {}
 _ABSENT = "gamecode % 9 = 4"
 #: Per feed: its raw schema, format, and which records are broken, in raw columns and in those of the statements.
 _LANDING = {
@@ -360,47 +360,92 @@ _LANDING = {
 }
 
 
-def _landed(lg):
-    """The three feeds as files, read in two loads, once per application and state of the data."""
+def _landed(lg, feed):
+    """The feed as files, read in two loads, once per application and state of the data."""
+    from courtlake.sources import files
     from courtlake.sources.ingest import Landing
 
-    key = (lg.spark.sparkContext.applicationId, lg.state("events"))
+    key = (lg.spark.sparkContext.applicationId, lg.state("events"), feed)
     if key not in _FILED:
-        out = {}
-        for feed, (schema, fmt, broken, _) in _LANDING.items():
-            folder, root = scratch_path(lg.spark, f"landing-{feed}"), scratch_path(lg.spark, f"read-{feed}")
-            names = [c.split()[0] for c in schema.split(", ")]
-            raw = lg.raw(feed).select(*names).where(f"NOT ({_ABSENT})")
-            line = F.to_json(F.struct(*names)) if fmt == "json" else F.to_csv(F.struct(*names))
-            damaged = F.expr("substring(line, 1, length(line) - 9)") if fmt == "json" else F.concat(F.lit("?"), "line")
-            lines = raw.select(F.col("Season").alias("s"), F.col("Gamecode").alias("g"), line.alias("line"), F.expr(broken).alias("broken"))
-            lines = lines.select("s", "g", F.when(F.col("broken"), damaged).otherwise(F.col("line")).alias("value"))
-            landing = Landing(lg.spark, root, schema, fmt)
-            for part in ("g % 2 = 0", "g % 2 = 1"):
-                lines.where(part).repartition(8, "s", "g").write.mode("append").partitionBy("s", "g").text(folder)
-                landing.load([f"{folder}/s=*", f"{folder}/s=1900/g=1"])
-            out[feed] = landing
-        _FILED[key] = out
+        schema, fmt, broken, _ = _LANDING[feed]
+        folder, later, root = (scratch_path(lg.spark, f"{n}-{feed}") for n in ("landing", "later", "read"))
+        names = [c.split()[0] for c in schema.split(", ")]
+        raw = lg.raw(feed).select(*names).where(f"NOT ({_ABSENT})")
+        line = F.to_json(F.struct(*names)) if fmt == "json" else F.to_csv(F.struct(*names))
+        damaged = F.expr("substring(line, 1, length(line) - 9)") if fmt == "json" else F.concat(F.lit("?"), "line")
+        lines = raw.select(F.col("Season").alias("s"), F.col("Gamecode").alias("g"), line.alias("line"), F.expr(broken).alias("broken"))
+        lines = lines.select(F.expr("CAST(g % 2 AS INT)").alias("half"), "s", "g", F.when(F.col("broken"), damaged).otherwise(F.col("line")).alias("value"))
+        put_lines(lines, later)  # the feed is derived once; its halves land one after the other
+        landing = Landing(lg.spark, root, schema, fmt)
+        for half in (0, 1):
+            if files.exists(lg.spark, f"{later}/half={half}"):
+                files.make_folder(lg.spark, folder)
+                files.rename(lg.spark, f"{later}/half={half}", f"{folder}/half={half}")
+            landing.load([f"{folder}/half=*/s=*", f"{folder}/half=0/s=1900/g=1"])
+        _FILED[key] = landing
     return _FILED[key]
 
 
+def put_lines(lines, folder):
+    """Text files of ``half, s, g, value``, one a game, in folders by these names.
+
+    Where the folder is on a file system that executors have in common, tasks write them directly: Spark's own writer starts processes for
+    every file there and has the driver move each of them.
+    """
+    import os
+    import uuid
+
+    import numpy as np
+
+    from courtlake.sources import files
+
+    lines = lines.repartition("half", "s", "g").sortWithinPartitions("half", "s", "g")
+    to = files.local(lines.sparkSession, folder)
+    if to is None:
+        lines.write.partitionBy("half", "s", "g").text(folder)
+        return
+
+    def write(batches):
+        game, draft, out = None, None, None
+
+        def end():
+            if out:
+                out.close()
+                os.replace(draft, f"{os.path.dirname(draft)}/game.txt")  # whole or not at all, if a task is run again
+
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            heads = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()] if len(keys) else []
+            for lo, hi in zip(heads, [*heads[1:], len(keys)]):
+                if game != (now := tuple(keys[lo].tolist())):
+                    end()
+                    game, draft = now, "{}/half={}/s={}/g={}/.{}".format(to, *now, uuid.uuid4().hex)
+                    os.makedirs(os.path.dirname(draft), exist_ok=True)
+                    out = open(draft, "wb")
+                out.write("".join(f"{x}\n" for x in b.column(3).slice(lo, hi - lo).to_pylist()).encode())
+        end()
+        yield from ()
+
+    lines.mapInArrow(write, "n int").write.format("noop").mode("overwrite").save()
+
+
 def _there(feed: str, columns: str, source: str) -> str:
     return f"SELECT {columns} FROM {source} WHERE NOT ({_ABSENT}) AND NOT ({_LANDING[feed][3]})"
 
 
 @query("s1_landed_boxscores", _there("boxscore", f"{_G}, player_id, player_name, team_code, seconds, {STATS}", "box"))
 def _(lg):
-    return N.clean_boxscores(_landed(lg)["boxscore"].rows()).select("season", "gamecode", "player_id", "player_name", "team_code", "seconds", *C.COUNT_STATS)
+    return N.clean_boxscores(_landed(lg, "boxscore").rows()).select("season", "gamecode", "player_id", "player_name", "team_code", "seconds", *C.COUNT_STATS)
 
 
 @query("s2_landed_plays", _there("play_by_play", f"{_G}, true_numberofplay, playtype, player_id, codeteam, clock_secs, points_a, points_b", "pbp"))
 def _(lg):
-    return N.clean_play_by_play(_landed(lg)["play_by_play"].rows()).select("season", "gamecode", "true_numberofplay", "playtype", "player_id", "codeteam", "clock_secs", "points_a", "points_b")
+    return N.clean_play_by_play(_landed(lg, "play_by_play").rows()).select("season", "gamecode", "true_numberofplay", "playtype", "player_id", "codeteam", "clock_secs", "points_a", "points_b")
 
 
 @query("s3_landed_shots", _there("shots", ", ".join(_SHOT), "shots"))
 def _(lg):
-    return N.clean_shots(_landed(lg)["shots"].rows()).select(*_SHOT)
+    return N.clean_shots(_landed(lg, "shots").rows()).select(*_SHOT)
 
 
 @query("s1_quarantined_records", " UNION ALL ".join(
@@ -412,7 +457,7 @@ def _(lg):
     from pyspark.sql import DataFrame
 
     part = lambda name: F.regexp_extract("file", f"/{name}=([0-9]+)", 1).cast("int")
-    each = [x.aside().select(F.lit(feed).alias("feed"), part("s").alias("season"), part("g").alias("gamecode"), "reason") for feed, x in _landed(lg).items()]
+    each = [_landed(lg, feed).aside().select(F.lit(feed).alias("feed"), part("s").alias("season"), part("g").alias("gamecode"), "reason") for feed in _LANDING]
     return reduce(DataFrame.unionByName, each).groupBy("feed", "season", "gamecode", "reason").agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -423,7 +468,7 @@ def _(lg):
 
     from pyspark.sql import DataFrame
 
-    each = [x.ledger().groupBy("load").agg(F.count(F.lit(1)).alias("n_files")).select(F.lit(feed).alias("feed"), "load", "n_files") for feed, x in _landed(lg).items()]
+    each = [_landed(lg, feed).ledger().groupBy("load").agg(F.count(F.lit(1)).alias("n_files")).select(F.lit(feed).alias("feed"), "load", "n_files") for feed in _LANDING]
     return reduce(DataFrame.unionByName, each)
 
 

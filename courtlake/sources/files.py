@@ -66,6 +66,22 @@ def delete(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).mkdirs(_path(spark, path))
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    if not _fs(spark, path).rename(_path(spark, path), _path(spark, to)):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def local(spark: SparkSession, path: str) -> str | None:
+    """The path on the file system that executors and driver have in common, if that is where it is; None in other stores."""
+    if _fs(spark, path).getUri().getScheme() != "file":
+        return None
+    return _path(spark, path).toUri().getPath()
+
+
 def state(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Names, sizes and times of change of a file, or of the files of a folder."""
     if not exists(spark, path):

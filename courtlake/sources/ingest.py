@@ -78,7 +78,10 @@ class Landing:
         else:
             reader = reader.option("ignoreCorruptFiles", "true")
         with _listing(self.spark):
-            rows = reader.option("ignoreMissingFiles", "true").load(names).withColumn(FILE, F.col("_metadata.file_path"))
+            reader = reader.option("ignoreMissingFiles", "true")
+            # All names in one call: a list would be handed over name by name.
+            rows = reader._df(reader._jreader.load(self.spark._jvm.org.apache.commons.lang3.StringUtils.split("\0".join(names), "\0")))
+            rows = rows.withColumn(FILE, F.col("_metadata.file_path"))
         return rows if text else rows.withColumn(RECORD, F.lit(None).cast("string"))
 
     def _reason(self) -> Column:
@@ -92,14 +95,16 @@ class Landing:
         numbers = self._loads()
         number, folder = max(numbers, default=0) + 1, f"{self.root}/parts/{uuid.uuid4().hex}"
         listed = scratch_path(self.spark, "landed")
-        self.new_files(paths).write.parquet(listed)
+        with _listing(self.spark):
+            self.new_files(paths).write.parquet(listed)
         new = self.spark.read.schema(_FILES).parquet(listed)
         names = [r.file for r in new.select("file").collect()]  # a reader is told its files by name
         if not names:
             return Load(0, 0, 0, 0)
         columns = [c.split()[0] for c in self.schema.split(", ")]
         whole = f"{folder}/all"
-        self._read(names).withColumn("__reason", self._reason()).write.parquet(whole)
+        with _listing(self.spark):
+            self._read(names).withColumn("__reason", self._reason()).write.parquet(whole)
         rows = self.spark.read.parquet(whole)
         rows.where("__reason IS NULL").select(*columns).write.parquet(f"{folder}/rows")
         record = F.coalesce(F.col(RECORD), F.to_json(F.struct(*columns)))
@@ -117,14 +122,18 @@ class Landing:
 
 @contextmanager
 def _listing(spark: SparkSession) -> Iterator[None]:
-    """Files told by name are looked up by a few tasks a core: Spark would start one for each file, up to ten thousand."""
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    """Files told by name are looked up by a few tasks a core: Spark would start one for each file, up to ten thousand. They are read some hundreds to
+    a task: by its default, Spark takes opening a file for as much work as reading 4 MB."""
+    keys = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes"
+    before = [spark.conf.get(k) for k in keys]
+    cost = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[1])
+    for k, v in zip(keys, (min(int(before[0]), 4 * spark.sparkContext.defaultParallelism), min(cost, 1 << 16))):
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
 
 
 def _plain(file: Column) -> Column:

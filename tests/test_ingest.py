@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from courtlake.plans.queries_sources import put_lines
 from courtlake.sources import feeds
 from courtlake.sources.ingest import Landing
 
@@ -85,3 +86,32 @@ def test_many_files_are_looked_up_by_few_tasks(spark, tmp_path):
         context.setLocalProperty("spark.jobGroup.id", None)
     assert tasks and max(tasks) <= most and spark.conf.get(key) == before
     assert sorted(r.Gamecode for r in read.collect()) == list(range(most + 40))
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    context, n, key = spark.sparkContext, 240, "spark.sql.files.maxPartitionBytes"
+    for i in range(n):
+        put(tmp_path / "land", f"g={i}/a.json", f'{{"Season": 1, "Gamecode": {i}, "Name": "A"}}\n')
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16m")
+    context.setJobGroup("many", "many")
+    try:
+        assert Landing(spark, str(tmp_path / "read"), SCHEMA).load([str(tmp_path / "land" / "g=*")]) == (1, n, n, 0)
+        tracker = context.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup("many") for s in tracker.getJobInfo(j).stageIds]
+        tasks = [x.numTasks for s in stages if (x := tracker.getStageInfo(s))]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set(key, before)
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism
+
+
+def test_lines_land_as_one_file_a_game(spark, tmp_path):
+    want = {(g % 2, 2024 + g // 50, g): [f"line {g} {k} é" for k in range(3)] for g in range(100)}
+    lines = spark.createDataFrame([(*key, v) for key, vs in want.items() for v in vs], "half int, s int, g int, value string").repartition(7)
+    put_lines(lines, str(tmp_path / "land"))
+    found = [os.path.join(d, n) for d, _, names in os.walk(tmp_path / "land") for n in names]
+    assert len(found) == len(want) and {os.path.basename(f) for f in found} == {"game.txt"}
+    for (half, s, g), vs in want.items():
+        with open(tmp_path / "land" / f"half={half}" / f"s={s}" / f"g={g}" / "game.txt", encoding="utf-8") as f:
+            assert sorted(f.read().splitlines()) == sorted(vs)
