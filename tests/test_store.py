@@ -1,4 +1,5 @@
 import pytest
+from conftest import box_row, play
 
 from courtlake.sources import constraints as K, files
 from courtlake.sources.store import Conflict, Store, publish, transact
@@ -132,3 +133,25 @@ def test_old_versions_can_go(spark, tmp_path):
     Store(spark, root).tidy(keep=2)
     assert codes(spark, root) == list("ABCD") and len(files.names(spark, f"{root}/teams")) == 2
     assert load(spark, root, "teams", teams(spark, "Z")) == 5
+
+
+def test_season_aggregates_are_made_by_a_small_plan(spark, make):
+    """What several branches read is written in between, so that the driver does not hold it once per branch."""
+    from courtlake.plans.season import aggregate_seasons
+
+    class Kept:
+        def __init__(self):
+            self.spark, self.plan, self.rows = spark, "", []
+
+        def read(self, name, seasons):
+            if name == "boxscores":
+                return make.box([box_row(f"{t}{i}", t, int(t == "A")) for t in "AB" for i in range(5)])
+            return make.pbp([play(1, "2FGM", "A0", "A"), play(2, "OUT", "A0", "A"), play(3, "IN", "A7", "A"), play(4, "3FGM", "B1", "B")])
+
+        def stage(self, name, df):
+            self.plan, self.rows = df._jdf.queryExecution().executedPlan().toString(), df.collect()
+
+    kept = Kept()
+    aggregate_seasons(kept, [2024])
+    assert 0 < kept.plan.count("Exchange") < 30
+    assert {r.player_id: r.on_events for r in kept.rows}["A1"] == 4
